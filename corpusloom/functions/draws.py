@@ -6,6 +6,8 @@ same on every layout of the data, in batch and in streams.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, functions as F
 
 SCALE = float(2**32)
@@ -24,3 +26,11 @@ def draw_int(hexed: Column, start: int) -> Column:
 def draw_unit(hexed: Column, start: int) -> Column:
     """Double in [0, 1)."""
     return draw_int(hexed, start) / F.lit(SCALE)
+
+
+def below(hexed: Column, share: float) -> Column:
+    """Whether ``draw_unit(hexed, 1) < share``, told from the digits without converting them."""
+    border = math.ceil(share * SCALE)
+    if border >= SCALE:
+        return F.lit(True)
+    return hexed < F.lit(f"{max(border, 0):08x}")

@@ -29,23 +29,25 @@ def _checked_json(rows: list, build) -> str:
     return text
 
 
-def _bounded_rows(table: DataFrame, *cols: str) -> list:
-    rows = table.select(*cols).limit(MAX_ENTRIES + 1).collect()
-    if len(rows) > MAX_ENTRIES:
-        raise TableTooLarge(f"lookup table has more than {MAX_ENTRIES} entries")
-    return rows
+def _bounded_rows(table: DataFrame, limit: int, *cols: str) -> list[tuple]:
+    rows = table.select(*cols).limit(limit + 1).toArrow().to_pydict()
+    if len(rows[cols[0]]) > limit:
+        raise TableTooLarge(f"lookup table has more than {limit} entries")
+    return list(zip(*[rows[c] for c in cols]))
 
 
-def token_lookup(table: DataFrame, token: str = "token", value: str = "id") -> Callable[[Column], Column]:
+def token_lookup(
+    table: DataFrame, token: str = "token", value: str = "id", limit: int = MAX_ENTRIES
+) -> Callable[[Column], Column]:
     """``token -> id`` as a Column function; null for unknown tokens."""
     hashed = table.select(F.hash(F.col(token)).alias("h"), F.col(token).alias("t"), F.col(value).alias("v"))
-    rows = _bounded_rows(hashed, "h", "t", "v")
+    rows = _bounded_rows(hashed, limit, "h", "t", "v")
     buckets = max(1, len(rows) // ENTRIES_PER_BUCKET)
 
     def build(rows):
         cells: list[dict] = [{} for _ in range(buckets)]
-        for row in rows:
-            cells[row.h % buckets][row.t] = row.v
+        for h, t, v in rows:
+            cells[h % buckets][t] = v
         return cells
 
     text = _checked_json(rows, build)
@@ -60,15 +62,15 @@ def token_lookup(table: DataFrame, token: str = "token", value: str = "id") -> C
 
 def id_lookup(table: DataFrame, token: str = "token", value: str = "id") -> Callable[[Column], Column]:
     """``id -> token`` as a Column function; ids are small and dense, so position is the key."""
-    rows = _bounded_rows(table, token, value)
-    top = max((r[value] for r in rows), default=-1)
+    rows = _bounded_rows(table, MAX_ENTRIES, token, value)
+    top = max((i for _, i in rows), default=-1)
     if top > 4 * MAX_ENTRIES:
         raise TableTooLarge("ids are too sparse for a positional table")
 
     def build(rows):
         names: list[str | None] = [None] * (top + 1)
-        for row in rows:
-            names[row[value]] = row[token]
+        for t, i in rows:
+            names[i] = t
         return names
 
     text = _checked_json(rows, build)

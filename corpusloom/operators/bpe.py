@@ -1,7 +1,8 @@
-"""Training a merge list: word counts once, then rounds of pair counts on the word table.
+"""Training a merge list: word counts once, then rounds over the word table.
 
 A word is kept as text with every symbol between two marks, so a merge is a plain text
-replacement inside the JVM. Only the best pairs of a round come to the driver.
+replacement inside the JVM. Pairs are counted once; a round recounts only the words its merges
+change and adds the difference. Only the best pairs of a round come to the driver.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from corpusloom.session import cut_lineage
 
 OPEN, CLOSE = "\x01", "\x02"
 TOP_PAIRS = 256
-ROUNDS_PER_TABLE = 12
+MERGES_PER_TABLE = 16
 
 
 def bpe_word_counts(
@@ -39,19 +40,48 @@ def symbol_table(word_counts: DataFrame) -> DataFrame:
     return word_counts.where(sound).select(_marked(F.col("token")).alias("symbols"), "n")
 
 
-def bpe_pair_counts(table: DataFrame) -> DataFrame:
-    """``(left, right, n)``: adjacent symbol pairs weighted with the counts of their words."""
-    parts = F.split(F.expr("substring(symbols, 2, length(symbols) - 2)"), f"{CLOSE}{OPEN}")
+def _symbols() -> Column:
+    return F.split(F.expr("substring(symbols, 2, length(symbols) - 2)"), f"{CLOSE}{OPEN}")
+
+
+def _pairs_of(table: DataFrame) -> DataFrame:
     pairs = F.arrays_zip(F.slice("p", 1, F.size("p") - 1).alias("left"), F.slice("p", 2, F.size("p") - 1).alias("right"))
     return (
-        table.select(parts.alias("p"), "n")
+        table.select(_symbols().alias("p"), "n")
         .where(F.size("p") > 1)
         .select(F.explode(pairs).alias("pair"), "n")
-        .groupBy(F.col("pair.left").alias("left"), F.col("pair.right").alias("right"))
-        .agg(F.sum("n").alias("n"))
+        .select("pair.left", "pair.right", "n")
     )
 
 
+def bpe_pair_counts(table: DataFrame) -> DataFrame:
+    """``(left, right, n)``: adjacent symbol pairs weighted with the counts of their words."""
+    return _pairs_of(table).groupBy("left", "right").agg(F.sum("n").alias("n"))
+
+
+def _side_by_side(left: str, right: str) -> str:
+    return f"{OPEN}{left}{CLOSE}{OPEN}{right}{CLOSE}"
+
+
+def merged_words(table: DataFrame, merges: Sequence[tuple[str, str]]) -> DataFrame:
+    """The word table after the given merges, one after the other."""
+    symbols = F.col("symbols")
+    for left, right in merges:
+        symbols = F.replace(symbols, F.lit(_side_by_side(left, right)), F.lit(f"{OPEN}{left}{right}{CLOSE}"))
+    return table.withColumn("symbols", symbols)
+
+
+def _changed_pairs(pairs: DataFrame, table: DataFrame, merges: Sequence[tuple[str, str]]) -> DataFrame:
+    """Pair counts after the merges: words with such a pair leave with their old pairs and come
+    back with the new ones."""
+    after = merged_words(table.withColumn("old", F.col("symbols")), merges)
+    touched = after.where(F.col("symbols") != F.col("old"))
+    old_and_new = F.array(F.struct(F.col("old").alias("symbols"), (-F.col("n")).alias("n")), F.struct("symbols", "n"))
+    change = _pairs_of(touched.select(F.inline(old_and_new)))
+    total = pairs.unionByName(change).groupBy("left", "right").agg(F.sum("n").alias("n"))
+    return total.where(F.col("n") > 0)
+
+
 def independent_prefix(
     ranked: Sequence[tuple[str, str, int]], more: bool, known: set[str] = frozenset()
 ) -> list[tuple[str, str]]:
@@ -96,37 +126,43 @@ def train_bpe(
     them one by one.
     """
     spark = df.sparkSession
-    table = cut_lineage(symbol_table(bpe_word_counts(df, text, split, min_count)), "bpe")
-    letters = table.select(F.explode(F.split(F.expr("substring(symbols, 2, length(symbols) - 2)"), f"{CLOSE}{OPEN}")))
-    alphabet = letters.toDF("token").distinct()
+    counted = symbol_table(bpe_word_counts(df, text, split, min_count))
+    # Every round scans this table, so it is spread evenly, however few bytes it has.
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = cut_lineage(counted.repartition(partitions), "bpe-words")
+    alphabet = table.select(F.explode(_symbols()).alias("token")).distinct()
     n_alphabet = alphabet.count()
     room = max(0, vocab_size - len(specials) - n_alphabet)
     if max_merges is not None:
         room = min(room, max_merges)
+    pairs = cut_lineage(bpe_pair_counts(table), "bpe-pairs")
     merges: list[tuple[str, str]] = []
     made: set[str] = set()
-    rounds = 0
+    held: list[DataFrame] = []
+    since_written = 0
     while len(made) < room:
-        best = bpe_pair_counts(table).orderBy(F.desc("n"), "left", "right").limit(TOP_PAIRS + 1).collect()
+        best = pairs.orderBy(F.desc("n"), "left", "right").limit(TOP_PAIRS + 1).collect()
         if not best:
             break
-        more = len(best) > TOP_PAIRS
-        for left, right in independent_prefix([(r.left, r.right, r.n) for r in best[:TOP_PAIRS]], more, made):
-            if len(made) >= room:
-                break
-            merges.append((left, right))
-            made.add(left + right)
-            table = table.withColumn(
-                "symbols",
-                F.replace(
-                    "symbols",
-                    F.lit(f"{OPEN}{left}{CLOSE}{OPEN}{right}{CLOSE}"),
-                    F.lit(f"{OPEN}{left}{right}{CLOSE}"),
-                ),
-            )
-        rounds += 1
-        if rounds % ROUNDS_PER_TABLE == 0:
-            table = cut_lineage(table.groupBy("symbols").agg(F.sum("n").alias("n")), "bpe")
+        ranked = [(r.left, r.right, r.n) for r in best[:TOP_PAIRS]]
+        done: list[tuple[str, str]] = []
+        for left, right in independent_prefix(ranked, len(best) > TOP_PAIRS, made):
+            if len(made) < room:
+                done.append((left, right))
+                made.add(left + right)
+        last, pairs = pairs, _changed_pairs(pairs, table, done)
+        table = merged_words(table, done)
+        merges += done
+        since_written += len(done)
+        if since_written >= MERGES_PER_TABLE:
+            pairs, table = cut_lineage(pairs, "bpe-pairs"), cut_lineage(table, "bpe-words")
+            since_written = 0
+        else:
+            # Kept for the next rounds; a lost part is computed again from the tables written last.
+            pairs.persist()
+        held.append(last)
+        if len(held) > 1:
+            held.pop(0).unpersist()
     merge_rows = [(i, left, right) for i, (left, right) in enumerate(merges)]
     merge_table = spark.createDataFrame(merge_rows, "rank int, left string, right string")
     fixed = spark.createDataFrame([(t, i) for i, t in enumerate(specials)], "token string, id int")

@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from corpusloom.functions.draws import digest, draw_int, draw_unit
+from corpusloom.functions.draws import below, digest, draw_int, draw_unit
 from corpusloom.functions.sequences import IGNORE_INDEX, Specials, mask_pad, pad_right, take_field
 
 # Shares of the chosen tokens that become the mask token and a random token.
@@ -86,32 +86,29 @@ def mask_tokens(
     ``md5(key, position, seed)``. Needs ``special_tokens_mask``.
     """
     drawn = F.transform(
-        F.arrays_zip(F.col("input_ids").alias("x"), F.col("special_tokens_mask").alias("s")),
-        lambda z, i: F.struct(z["x"].alias("x"), z["s"].alias("s"), digest(F.col(key), i, F.lit(seed)).alias("h")),
+        "special_tokens_mask", lambda s, i: F.when(s == 0, digest(F.col(key), i, F.lit(seed)))
     )
 
-    def chosen(d: Column) -> Column:
-        return (d["s"] == 0) & (draw_unit(d["h"], 1) < p)
+    def chosen(h: Column) -> Column:
+        return h.isNotNull() & below(h, p)
 
-    def hidden(d: Column) -> Column:
-        kind = draw_unit(d["h"], 9)
+    def hidden(x: Column, h: Column) -> Column:
+        kind = draw_unit(h, 9)
         return (
-            F.when(~chosen(d), d["x"])
-            .when(kind < MASK_SHARE, F.lit(specials.mask))
-            .when(kind < MASK_SHARE + RANDOM_SHARE, F.pmod(draw_int(d["h"], 17), F.lit(vocab_size)).cast("int"))
-            .otherwise(d["x"])
+            F.when(kind < MASK_SHARE, F.lit(specials.mask))
+            .when(kind < MASK_SHARE + RANDOM_SHARE, F.pmod(draw_int(h, 17), F.lit(vocab_size)).cast("int"))
+            .otherwise(x)
         )
 
-    def label(d: Column) -> Column:
-        return F.when(chosen(d), d["x"]).otherwise(F.lit(IGNORE_INDEX))
-
-    done = F.transform(drawn, lambda d: F.struct(hidden(d).alias("x"), label(d).alias("y")))
     return (
-        df.withColumn("__m", done)
+        df.withColumn("__h", drawn)
         .withColumns(
-            {"input_ids": take_field("__m", "x"), "labels": take_field("__m", "y")}
+            {
+                "input_ids": F.zip_with("input_ids", "__h", lambda x, h: F.when(chosen(h), hidden(x, h)).otherwise(x)),
+                "labels": F.zip_with("input_ids", "__h", lambda x, h: F.when(chosen(h), x).otherwise(IGNORE_INDEX)),
+            }
         )
-        .drop("__m")
+        .drop("__h")
     )
 
 

@@ -20,8 +20,9 @@ from corpusloom.session import cut_lineage
 
 MAX_RANGES = 16_384
 SAMPLES_PER_RANGE = 20
-SMALL = 2_048
+SMALL = 20_000
 MAX_HEAD_IN_ONE_TASK = 10_000
+NOT_UNIQUE = "order_by is not a unique key; aligned ranges need one"
 
 Keys = str | Column | Sequence[str | Column]
 
@@ -102,6 +103,8 @@ def _count_ranges(df: DataFrame, order_by: Keys, bounds: list, dtype: T.DataType
 def key_ranges(df: DataFrame, order_by: Keys, align: int | None = None, ranges: int | None = None) -> KeyRanges:
     """Cut the key into ranges of about equal row counts.
 
+    Up to ``SMALL`` keys are looked at directly; more are sampled and counted.
+
     ``align`` moves every cut to a row position that is a multiple of it, so that groups of that
     many consecutive rows never cross a range. That needs a unique key, which is checked.
     """
@@ -112,30 +115,39 @@ def key_ranges(df: DataFrame, order_by: Keys, align: int | None = None, ranges:
     if ranges is None:
         ranges = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranges = max(1, min(ranges, MAX_RANGES, total // max(1, align or 1)))
-    bounds: list = []
-    if ranges > 1:
-        # A hash threshold, not sample(): the same rows on every run. Distinct keys only, so a
-        # repeated key cannot fill the sample.
-        share = 1.0 if total <= SMALL else min(1.0, SAMPLES_PER_RANGE * ranges / total)
-        picked = keys.where(F.col("key").isNotNull())
-        if share < 1.0:
-            picked = picked.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int(share * (1 << 30)))
-        sample = [r.key for r in picked.distinct().orderBy("key").collect()]
-        bounds = list(dict.fromkeys(sample[len(sample) * i // ranges] for i in range(1, ranges))) if sample else []
+    if ranges == 1:
+        return KeyRanges(order_by, dtype, [], [0], total)
+    if total <= SMALL:
+        every = [r.key for r in keys.orderBy("key").collect()]
+        starts = sorted({_up(total * i // ranges, align or 1) for i in range(1, ranges)})
+        # A cut is exact only at the first row of its key, and no range starts with a null key.
+        starts = [t for t in starts if t < total and every[t] is not None and every[t] != every[t - 1]]
+        if align and len(set(every)) < total:
+            raise ValueError(NOT_UNIQUE)
+        return KeyRanges(order_by, dtype, [every[t] for t in starts], [0, *starts], total)
+    # A hash threshold, not sample(): the same rows on every run. Distinct keys only, so a
+    # repeated key cannot fill the sample.
+    share = min(1.0, SAMPLES_PER_RANGE * ranges / total)
+    picked = keys.where(F.col("key").isNotNull() & (F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int(share * (1 << 30))))
+    sample = [r.key for r in picked.distinct().orderBy("key").collect()]
+    bounds = list(dict.fromkeys(sample[len(sample) * i // ranges] for i in range(1, ranges))) if sample else []
     *offsets, total = _count_ranges(df, order_by, bounds, dtype)
     plan = KeyRanges(order_by, dtype, bounds, offsets, total)
     if not align or not bounds:
         return plan
-    targets = sorted({-(-o // align) * align for o in offsets[1:]})
-    found = plan.locate(df, [t for t in targets if 0 < t < total])
+    found = plan.locate(df, [t for t in {_up(o, align) for o in offsets[1:]} if 0 < t < total])
     starts = sorted(found)
     bounds = [found[t] for t in starts]
     *offsets, total = _count_ranges(df, order_by, bounds, dtype)
     if offsets[1:] != starts:
-        raise ValueError("order_by is not a unique key; aligned ranges need one")
+        raise ValueError(NOT_UNIQUE)
     return KeyRanges(order_by, dtype, bounds, offsets, total)
 
 
+def _up(position: int, align: int) -> int:
+    return -(-position // align) * align
+
+
 def with_row_index(
     df: DataFrame,
     order_by: Keys | None = None,

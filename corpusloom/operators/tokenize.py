@@ -63,13 +63,10 @@ class WordTokenizer:
         self.model_max_length = model_max_length
         self.split = split
         self._hot = min(HOT_ENTRIES, max_entries)
-        self.bounded = self.vocab.limit(max_entries + 1).count() <= max_entries
-        self._lookup = None
-        if self.bounded:
-            try:
-                self._lookup = token_lookup(self.vocab)
-            except TableTooLarge:
-                self.bounded = False
+        try:
+            self._lookup, self.bounded = token_lookup(self.vocab, limit=max_entries), True
+        except TableTooLarge:
+            self._lookup, self.bounded = None, False
         self._decode: Callable[[Column], Column] | None = None
 
     def tokens(self, text: Column | str) -> Column:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from corpusloom.functions.draws import digest, draw_unit
 from corpusloom.functions.sequences import Specials, add_special_pair, mask_pad, pad_right, proportional_budget
 from corpusloom.functions.text import join_ids
 from corpusloom.operators import bpe, collate, evaluate, instruct, predict, vocab as vocabulary
@@ -28,7 +27,7 @@ from corpusloom.operators.templates import (
 from corpusloom.operators.tokenize import WordTokenizer, decode, encode, overlength_report, roundtrip_report
 from corpusloom.plans import sql_parts as q
 from corpusloom.plans.registry import query, table
-from corpusloom.session import cut_lineage, scratch_path
+from corpusloom.session import cut_lineage, is_small, scratch_path, spread_small
 from corpusloom.sources import read_csv, read_jsonl, read_splits, read_text, write_jsonl
 from corpusloom.sources.files import lines_of
 from corpusloom.streaming import pack_stream, read_stream, run_available
@@ -45,7 +44,7 @@ SEED = 7
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "text")
+    return spread_small(table(spark, d, "documents").select("doc_id", "text"))
 
 
 def document_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -374,7 +373,7 @@ def _bpe_pair_counts(spark, d):
 
 @query("train_bpe")
 def _train_bpe(spark, d):
-    _, merges = bpe.train_bpe(documents(spark, d), "text", max_merges=48)
+    _, merges = bpe.train_bpe(documents(spark, d), "text", max_merges=32)
     return merges
 
 
@@ -766,17 +765,12 @@ def judged_documents(spark: SparkSession, d: str) -> DataFrame:
     """Masked documents with made-up predictions: the right id in about 70 % of the places."""
     rows = masked_documents(spark, d)
     truth = F.zip_with("input_ids", "labels", lambda x, y: F.when(y == -100, x).otherwise(y))
-    return rows.withColumn(
-        "preds",
-        F.transform(
-            truth,
-            lambda x, i: F.when(draw_unit(digest(F.col("doc_id"), i, F.lit(SEED)), 25) < 0.7, x).otherwise(x + 1),
-        ),
-    )
+    guess = F.transform(truth, lambda x, i: F.when((x * 7 + i * 3) % 10 < 7, x).otherwise(x + 1))
+    return rows.withColumn("preds", guess)
 
 
 JUDGED = f"""{DRAWN}, j AS (SELECT doc_id, i, label,
-      CASE WHEN {q.draw('h', 25)} / 4294967296.0::DOUBLE < 0.7 THEN x ELSE x + 1 END AS pred FROM m)"""
+      CASE WHEN (x * 7 + i * 3) % 10 < 7 THEN x ELSE x + 1 END AS pred FROM m)"""
 
 
 def _accuracy(df: DataFrame) -> DataFrame:
@@ -898,7 +892,9 @@ def _clean_answer(spark, d):
 
 
 def streamed(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return read_stream(spark, d, "parquet", table(spark, d, name).schema, pathGlobFilter=f"{name}.parquet")
+    present = table(spark, d, name)
+    stream = read_stream(spark, d, "parquet", present.schema, pathGlobFilter=f"{name}.parquet")
+    return stream.repartition(spark.sparkContext.defaultParallelism) if is_small(present) else stream
 
 
 @query("stream_read", "SELECT doc_id, text, lang FROM documents")

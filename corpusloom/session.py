@@ -55,3 +55,21 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+SMALL_INPUT_BYTES_PER_CORE = 32 << 20
+
+
+def is_small(df: DataFrame) -> bool:
+    """Whether the input of a plan is too small to fill the cores with its splits."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size < df.sparkSession.sparkContext.defaultParallelism * SMALL_INPUT_BYTES_PER_CORE
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """Spread a small scan over the cores; large inputs are returned as they are.
+
+    A small table often is one file that cannot be split, and everything up to the first shuffle
+    would run in one task. Large inputs have enough splits, and moving them would cost more.
+    """
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if is_small(df) else df

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from corpusloom.operators.order import Keys, with_row_index
 from corpusloom.operators.pack import BATCH_ROWS, pack
+from corpusloom.session import cut_lineage
 
 
 def packed_batches(
@@ -21,7 +22,8 @@ def packed_batches(
     """
 
     def write(batch: DataFrame, batch_no: int) -> None:
-        indexed = with_row_index(batch, order_by)
+        # The batch is a finished plan that would run again, unpruned, for every pass over it.
+        indexed = with_row_index(cut_lineage(batch, "micro-batch"), order_by)
         blocks = pack(indexed, block_size, batch_rows, **options)
         blocks.write.mode("overwrite").parquet(f"{path}/micro_batch={batch_no}")
 

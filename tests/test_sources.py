@@ -1,0 +1,139 @@
+import json
+import os
+
+import pytest
+
+from corpusloom import sources
+from corpusloom.sources.sinks import fingerprint
+
+
+def texts(df):
+    return sorted(r.text for r in df.collect())
+
+
+@pytest.mark.parametrize(
+    "data,kept,bare",
+    [
+        ("a\nb\n", ["a\n", "b\n"], ["a", "b"]),
+        ("a\nb", ["a\n", "b"], ["a", "b"]),
+        ("a\r\nb\r\n", ["a\n", "b\n"], ["a", "b"]),
+        ("a\r\nb", ["a\n", "b"], ["a", "b"]),
+        ("a\n\nb\n", ["\n", "a\n", "b\n"], ["", "a", "b"]),
+        ("x\nx\nx", ["x", "x\n", "x\n"], ["x", "x", "x"]),
+        ("", [], []),
+    ],
+)
+def test_text(spark, tmp_path, data, kept, bare):
+    path = tmp_path / "t.txt"
+    path.write_bytes(data.encode())
+    assert texts(sources.read_text(spark, str(path))) == sorted(kept)
+    assert texts(sources.read_text(spark, str(path), keep_linebreaks=False)) == sorted(bare)
+
+
+def test_text_files_with_and_without_a_last_newline(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("a1\na2\n")
+    (tmp_path / "b.txt").write_text("b1\nb2")
+    (tmp_path / "c.txt").write_text("c1")
+    df = sources.read_text(spark, str(tmp_path), position=True)
+    assert texts(df) == ["a1\n", "a2\n", "b1\n", "b2", "c1"]
+    assert [r.text for r in df.orderBy("src").collect()] == ["a1\n", "a2\n", "b1\n", "b2", "c1"]
+
+
+def test_long_text_in_many_splits(spark, tmp_path):
+    lines = [f"line {i} " + "x" * (i % 50) for i in range(5000)]
+    (tmp_path / "long.txt").write_text("\n".join(lines))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        df = sources.read_text(spark, str(tmp_path), position=True)
+        assert [r.text for r in df.orderBy("src").collect()] == [s + "\n" for s in lines[:-1]] + [lines[-1]]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_compressed_text_is_refused_with_line_breaks(spark, tmp_path):
+    import gzip
+
+    with gzip.open(tmp_path / "a.txt.gz", "wt") as f:
+        f.write("a\nb")
+    with pytest.raises(ValueError, match="compressed"):
+        sources.read_text(spark, str(tmp_path))
+    assert texts(sources.read_text(spark, str(tmp_path), keep_linebreaks=False)) == ["a", "b"]
+
+
+def test_csv(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('text,n\n"one\ntwo",1\n"say ""hi""",2\n,3\n')
+    rows = sources.read_csv(spark, str(tmp_path / "a.csv"), "text string, n int").orderBy("n").collect()
+    assert [r.text for r in rows] == ["one\ntwo", 'say "hi"', None]
+    assert sources.read_csv(spark, str(tmp_path / "a.csv")).dtypes == [("text", "string"), ("n", "int")]
+
+
+def test_jsonl_keeps_fields_and_nulls(spark, tmp_path):
+    rows = [{"input": "a", "extra": {"k": 1}, "target": None}, {"input": "b", "extra": {"k": 2}, "target": "t"}]
+    (tmp_path / "in.json").write_text("\n".join(json.dumps(r) for r in rows))
+    df = sources.read_jsonl(spark, str(tmp_path / "in.json"))
+    sources.write_jsonl(df, str(tmp_path / "out"))
+    lines = [json.loads(line) for f in (tmp_path / "out").glob("part*") for line in f.read_text().splitlines()]
+    assert sorted(lines, key=lambda r: r["input"]) == rows
+
+
+def test_history_is_inferred(spark, tmp_path):
+    row = {"prompt": "p", "response": "r", "history": [["q", "a"]]}
+    (tmp_path / "in.json").write_text(json.dumps(row) + "\n")
+    df = sources.read_jsonl(spark, str(tmp_path / "in.json"))
+    assert dict(df.dtypes)["history"] == "array<array<string>>"
+
+
+def test_splits(spark, tmp_path):
+    (tmp_path / "t.txt").write_text("a\nb")
+    (tmp_path / "v.json").write_text('{"text": "c"}\n')
+    df = sources.read_splits(spark, train=str(tmp_path / "t.txt"), validation=str(tmp_path / "v.json"))
+    assert sorted((r.split, r.text) for r in df.collect()) == [("train", "a\n"), ("train", "b"), ("validation", "c")]
+    with pytest.raises(ValueError, match="csv, json or txt"):
+        sources.read_splits(spark, train=str(tmp_path / "t.xml"))
+    with pytest.raises(ValueError, match="need a dataset"):
+        sources.read_splits(spark)
+
+
+def test_named(spark, tmp_path):
+    df = spark.createDataFrame([("a", "train"), ("b", "test")], "text string, split string")
+    df.write.partitionBy("split").parquet(str(tmp_path / "corpus/small"))
+    assert texts(sources.read_named(spark, str(tmp_path / "corpus"), "small", "test")) == ["b"]
+    assert sources.read_splits(spark, name=str(tmp_path / "corpus"), config="small").count() == 2
+    df.createOrReplaceTempView("corpus_tiny")
+    assert texts(sources.read_named(spark, "corpus", "tiny", "train")) == ["a"]
+
+
+def test_materialize(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    df = spark.createDataFrame([("a", "train"), ("b", "test")], "text string, split string")
+    first = sources.materialize(df, path, block=128)
+    stale = sources.materialize(df.where("text = 'a'"), path, block=128)
+    assert texts(first) == texts(stale) == ["a", "b"] and stale.columns == ["text", "split"]
+    assert texts(sources.materialize(df.where("text = 'a'"), path, block=64)) == ["a"]
+    assert texts(sources.materialize(df.where("text = 'a'"), path, overwrite=True, block=128)) == ["a"]
+    assert os.path.isdir(f"{path}/{fingerprint(columns=df.dtypes, block=128)}/split=train")
+
+
+def test_metrics(spark, tmp_path):
+    sources.write_metrics(spark.createDataFrame([(0.5, 10)], "loss double, samples long"), str(tmp_path / "m"))
+    (part,) = (tmp_path / "m").glob("part*")
+    assert json.loads(part.read_text()) == {"loss": 0.5, "samples": 10}
+
+
+def test_vocab_file(spark, tmp_path):
+    vocab = spark.createDataFrame([("b", 1), ("a", 0), ('"q"', 2), ("中", 3)], "token string, id int")
+    merges = spark.createDataFrame([(1, "c", "d"), (0, "a", "b")], "rank int, left string, right string")
+    sources.write_vocab(vocab, merges, str(tmp_path / "tok"))
+    (part,) = (tmp_path / "tok").glob("part*")
+    model = json.loads(part.read_text())["model"]
+    assert list(model["vocab"].items()) == [("a", 0), ("b", 1), ('"q"', 2), ("中", 3)]
+    assert model["merges"] == ["a b", "c d"]
+    v, m = sources.read_vocab(spark, str(tmp_path / "tok"))
+    assert sorted(map(tuple, v.collect())) == sorted(map(tuple, vocab.collect()))
+    assert sorted(map(tuple, m.collect())) == [(0, "a", "b"), (1, "c", "d")]
+
+
+def test_plain_vocab_file(spark, tmp_path):
+    (tmp_path / "vocab.json").write_text('{"a": 0, "b": 1}')
+    v, m = sources.read_vocab(spark, str(tmp_path / "vocab.json"))
+    assert sorted(map(tuple, v.collect())) == [("a", 0), ("b", 1)] and m.count() == 0
