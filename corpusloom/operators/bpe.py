@@ -130,7 +130,7 @@ def train_bpe(
     # Every round scans this table, so it is spread evenly, however few bytes it has.
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = cut_lineage(counted.repartition(partitions), "bpe-words")
-    alphabet = table.select(F.explode(_symbols()).alias("token")).distinct()
+    alphabet = cut_lineage(table.select(F.explode(_symbols()).alias("token")).distinct(), "bpe-alphabet")
     n_alphabet = alphabet.count()
     room = max(0, vocab_size - len(specials) - n_alphabet)
     if max_merges is not None:

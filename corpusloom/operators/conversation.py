@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from corpusloom.operators.order import with_row_index
+from corpusloom.session import cut_lineage
 
 CHUNK = 1_024
 
@@ -16,23 +17,21 @@ def turn_pairs(df: DataFrame, keep_open: bool = False) -> DataFrame:
     ``turn`` is that of the answer. ``keep_open`` also returns user turns without an answer
     (response null); ``turn`` is then that of the question.
 
-    Turns are numbered over the whole table and a user turn is sent to the number of its answer,
-    so the regrouping key is nearly unique: one huge conversation is spread like many small ones.
+    All turns are sorted by range of ``(conv_id, turn)``, not grouped by conversation, so one huge
+    conversation is spread over many ranges. Every range begins with a user turn: a question and
+    its answer are never apart, and the neighbour inside the range is enough.
     """
     spoken = df.where(F.col("role").isin("user", "assistant")).select("conv_id", "turn", "role", "text")
     user = F.col("role") == "user"
-    meets = with_row_index(spoken, ["conv_id", "turn"], "pos").withColumn("pos", F.col("pos") + user.cast("bigint"))
-    pairs = meets.groupBy("conv_id", "pos").agg(
-        F.max(F.when(~user, F.col("turn"))).alias("turn"),
-        F.max(F.when(user, F.col("turn"))).alias("user_turn"),
-        F.max(F.when(user, F.col("text"))).alias("prompt"),
-        F.max(F.when(~user, F.col("text"))).alias("response"),
-        F.max(user).alias("asked"),
-        F.max(~user).alias("answered"),
-    )
-    pairs = pairs.where(F.col("asked") if keep_open else F.col("asked") & F.col("answered"))
-    turn = F.col("user_turn" if keep_open else "turn").alias("turn")
-    return pairs.select("conv_id", turn, "pos", "prompt", "response")
+    step = F.lead if keep_open else F.lag
+    beside = {f"__{c}": step(c) for c in ("conv_id", "role", "text")}
+    rows = with_row_index(spoken, ["conv_id", "turn"], "pos", cut_at=user, extra=beside)
+    same = F.col("__conv_id") == F.col("conv_id")
+    if keep_open:
+        answer = F.when(same & (F.col("__role") == "assistant"), F.col("__text"))
+        return rows.where(user).select("conv_id", "turn", "pos", F.col("text").alias("prompt"), answer.alias("response"))
+    asked = ~user & same & (F.col("__role") == "user")
+    return rows.where(asked).select("conv_id", "turn", "pos", F.col("__text").alias("prompt"), F.col("text").alias("response"))
 
 
 def with_history(pairs: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -71,4 +70,5 @@ def with_history(pairs: DataFrame, chunk: int = CHUNK) -> DataFrame:
 def turns_to_instructions(df: DataFrame, history: bool = True) -> DataFrame:
     """Rows ``(conv_id, turn, pos, prompt, response[, history])``, one per answered user turn."""
     pairs = turn_pairs(df)
-    return with_history(pairs) if history else pairs
+    # Histories read the pairs several times.
+    return with_history(cut_lineage(pairs, "pairs")) if history else pairs

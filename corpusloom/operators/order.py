@@ -9,6 +9,7 @@ The counting passes read the key columns only.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -69,7 +70,7 @@ class KeyRanges:
         return _range_of(_key(self.order_by), self.bounds, self.dtype)
 
     def offset_of(self, range_col: Column) -> Column:
-        return F.get(F.array(*[F.lit(o).cast("bigint") for o in self.offsets]), range_col)
+        return F.get(F.from_json(F.lit(str(self.offsets)), "array<bigint>"), range_col)
 
     def locate(self, df: DataFrame, positions: Sequence[int]) -> dict:
         """Keys at the given 0-based positions. Only ranges that hold one are sorted."""
@@ -100,36 +101,50 @@ def _count_ranges(df: DataFrame, order_by: Keys, bounds: list, dtype: T.DataType
     return offsets + [seen]
 
 
-def key_ranges(df: DataFrame, order_by: Keys, align: int | None = None, ranges: int | None = None) -> KeyRanges:
+def key_ranges(
+    df: DataFrame,
+    order_by: Keys,
+    align: int | None = None,
+    ranges: int | None = None,
+    cut_at: Column | None = None,
+) -> KeyRanges:
     """Cut the key into ranges of about equal row counts.
 
     Up to ``SMALL`` keys are looked at directly; more are sampled and counted.
 
     ``align`` moves every cut to a row position that is a multiple of it, so that groups of that
     many consecutive rows never cross a range. That needs a unique key, which is checked.
+    ``cut_at`` allows only rows it holds for as the first row of a range.
     """
+    if align and cut_at is not None:
+        raise ValueError("align and cut_at exclude each other")
     spark = df.sparkSession
-    keys = df.select(_key(order_by).alias("key"))
+    first = F.lit(True) if cut_at is None else F.coalesce(cut_at, F.lit(False))
+    keys = df.select(_key(order_by).alias("key"), first.alias("first"))
     dtype = keys.schema["key"].dataType
     total = keys.count()
     if ranges is None:
-        ranges = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+        ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranges = max(1, min(ranges, MAX_RANGES, total // max(1, align or 1)))
     if ranges == 1:
         return KeyRanges(order_by, dtype, [], [0], total)
     if total <= SMALL:
-        every = [r.key for r in keys.orderBy("key").collect()]
-        starts = sorted({_up(total * i // ranges, align or 1) for i in range(1, ranges)})
+        rows = keys.orderBy("key").collect()
+        every = [r.key for r in rows]
         # A cut is exact only at the first row of its key, and no range starts with a null key.
-        starts = [t for t in starts if t < total and every[t] is not None and every[t] != every[t - 1]]
+        fit = [i for i in range(1, total) if rows[i].first and every[i] is not None and every[i] != every[i - 1]]
+        wanted = [_up(total * i // ranges, align or 1) for i in range(1, ranges)]
+        starts = sorted({fit[j] for w in wanted if (j := bisect_left(fit, w)) < len(fit)})
+        if align:
+            starts = [t for t in starts if t % align == 0]
         if align and len(set(every)) < total:
             raise ValueError(NOT_UNIQUE)
         return KeyRanges(order_by, dtype, [every[t] for t in starts], [0, *starts], total)
     # A hash threshold, not sample(): the same rows on every run. Distinct keys only, so a
     # repeated key cannot fill the sample.
     share = min(1.0, SAMPLES_PER_RANGE * ranges / total)
-    picked = keys.where(F.col("key").isNotNull() & (F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int(share * (1 << 30))))
-    sample = [r.key for r in picked.distinct().orderBy("key").collect()]
+    picked = keys.where(F.col("first") & F.col("key").isNotNull() & (F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int(share * (1 << 30))))
+    sample = [r.key for r in picked.select("key").distinct().orderBy("key").collect()]
     bounds = list(dict.fromkeys(sample[len(sample) * i // ranges] for i in range(1, ranges))) if sample else []
     *offsets, total = _count_ranges(df, order_by, bounds, dtype)
     plan = KeyRanges(order_by, dtype, bounds, offsets, total)
@@ -155,24 +170,29 @@ def with_row_index(
     align: int | None = None,
     range_col: str | None = None,
     ranges: int | None = None,
+    cut_at: Column | None = None,
+    extra: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Add the 0-based position of each row in the order of ``order_by``.
 
     Without a key the present order is kept: it is written down once, because a repeated scan may
     split its files differently. ``range_col`` keeps the range number; with ``align`` it lets later
-    windows over groups of ``align`` rows reuse the partitioning made here.
+    windows over groups of ``align`` rows reuse the partitioning made here. ``extra`` adds window
+    functions evaluated in row order inside a range, such as ``lag``; choose with ``cut_at`` where
+    ranges may begin so that they never have to look across.
     """
     drop = []
     if order_by is None:
         df = cut_lineage(df.withColumn("__scan_pos", F.monotonically_increasing_id()), "ordered")
         order_by, drop = "__scan_pos", ["__scan_pos"]
-    plan = key_ranges(df, order_by, align, ranges)
+    plan = key_ranges(df, order_by, align, ranges, cut_at)
     r = range_col or "__range"
     in_range = Window.partitionBy(r).orderBy(*_key_list(order_by))
-    out = df.withColumn(r, plan.range_col()).withColumn(
-        name, plan.offset_of(F.col(r)) + F.row_number().over(in_range) - 1
-    )
-    return out.drop(*drop, *([] if range_col else [r]))
+    # One range is one partition: hashing the range number would put several into one.
+    out = df.withColumn(r, plan.range_col()).repartitionById(len(plan.bounds) + 1, F.col(r))
+    out = out.withColumns({"__pos": F.row_number().over(in_range)} | {c: f.over(in_range) for c, f in (extra or {}).items()})
+    out = out.withColumn(name, plan.offset_of(F.col(r)) + F.col("__pos") - 1)
+    return out.drop("__pos", *drop, *([] if range_col else [r]))
 
 
 def _below(df: DataFrame, order_by: Keys, n: int) -> Column:

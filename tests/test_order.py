@@ -47,6 +47,16 @@ def test_aligned_groups_stay_in_one_range(spark, either_path, align):
     assert sorted(r.row_idx for r in out.collect()) == list(range(1000))
 
 
+def test_ranges_begin_where_they_may(spark, either_path):
+    df = spark.range(1000).withColumn("ok", F.col("id") % 7 == 3).repartition(5)
+    out = order.with_row_index(df, "id", range_col="r", ranges=8, cut_at=F.col("ok"), extra={"before": F.lag("id")})
+    starts = [r for r in out.collect() if r.before is None]
+    assert len(starts) > 3 and all(r.ok or r.id == 0 for r in starts)
+    assert out.where(F.col("before") != F.col("id") - 1).count() == 0
+    with pytest.raises(ValueError):
+        order.key_ranges(df, "id", align=2, cut_at=F.col("ok"))
+
+
 def test_alignment_needs_a_unique_key(spark, either_path):
     df = spark.createDataFrame([(i // 90,) for i in range(300)], "k int")
     with pytest.raises(ValueError, match="unique"):

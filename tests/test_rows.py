@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions.sequences import Specials
-from corpusloom.operators import instruct, predict, vocab as vocabulary
+from corpusloom.operators import instruct, order, predict, vocab as vocabulary
 from corpusloom.operators.conversation import turn_pairs, turns_to_instructions, with_history
 from corpusloom.operators.pack import pack
 from corpusloom.operators.templates import apply_template
@@ -41,8 +41,10 @@ def random_turns(seed, hot):
     return turns
 
 
+@pytest.mark.parametrize("small", [0, 20_000])
 @pytest.mark.parametrize("chunk", [1, 3, 1024])
-def test_one_long_conversation_among_short_ones(spark, chunk):
+def test_one_long_conversation_among_short_ones(spark, chunk, small, monkeypatch):
+    monkeypatch.setattr(order, "SMALL", small)
     turns = random_turns(chunk, 60)
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(4)
     out = with_history(turn_pairs(df), chunk)

@@ -168,7 +168,7 @@ def naive_bpe(counts, room):
     return merges
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(2))
 def test_rounds_give_the_merges_of_one_by_one_training(spark, seed, monkeypatch):
     monkeypatch.setattr(bpe, "MERGES_PER_TABLE", 5)
     rnd = random.Random(seed)
@@ -178,9 +178,9 @@ def test_rounds_give_the_merges_of_one_by_one_training(spark, seed, monkeypatch)
     for w in " ".join(text).split():
         counts[w] = counts.get(w, 0) + 1
     df = spark.createDataFrame([(t,) for t in text], "text string")
-    vocab, merges = bpe.train_bpe(df, "text", max_merges=18)
+    vocab, merges = bpe.train_bpe(df, "text", max_merges=12)
     got = [(r.left, r.right) for r in merges.orderBy("rank").collect()]
-    assert got == naive_bpe(counts, 18)
+    assert got == naive_bpe(counts, 12)
     ids = {r.token: r.id for r in vocab.collect()}
     assert ids["<|endoftext|>"] == 0 and sorted(ids.values()) == list(range(len(ids)))
     assert [t for t, _ in sorted(ids.items(), key=lambda e: e[1])][1 : 1 + len(set("".join(counts)))] == sorted(set("".join(counts)))
