@@ -20,6 +20,7 @@ from corpusloom.functions.draws import digest
 from corpusloom.session import cut_lineage
 
 MAX_RANGES = 16_384
+MIN_RANGE_ROWS = 16
 SAMPLES_PER_RANGE = 20
 SMALL = 20_000
 MAX_HEAD_IN_ONE_TASK = 10_000
@@ -124,7 +125,7 @@ def key_ranges(
     dtype = keys.schema["key"].dataType
     total = keys.count()
     if ranges is None:
-        ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        ranges = min(int(spark.conf.get("spark.sql.shuffle.partitions")), total // MIN_RANGE_ROWS)
     ranges = max(1, min(ranges, MAX_RANGES, total // max(1, align or 1)))
     if ranges == 1:
         return KeyRanges(order_by, dtype, [], [0], total)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -73,3 +75,23 @@ def spread_small(df: DataFrame) -> DataFrame:
     would run in one task. Large inputs have enough splits, and moving them would cost more.
     """
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if is_small(df) else df
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, wherever the driver was started.
+
+    Needed once per application for scorers, merge-list tokenizers and stateful packing, if the
+    package is not installed on the cluster.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        here = os.path.dirname(os.path.abspath(__file__))
+        folder = tempfile.mkdtemp(prefix="corpusloom-zip-")
+        archive = shutil.make_archive(
+            f"{folder}/corpusloom", "zip", os.path.dirname(here), os.path.basename(here)
+        )
+        sc.addPyFile(archive)
+        _SHIPPED.add(sc.applicationId)
