@@ -113,11 +113,15 @@ def mask_tokens(
 
 
 def collate_fixed(
-    df: DataFrame, batch_size: int, columns: Sequence[str] = ("input_ids", "labels"), order: str = "row_idx"
+    df: DataFrame,
+    batch_size: int,
+    columns: Sequence[str] = ("input_ids", "labels"),
+    order: str = "row_idx",
+    within: Sequence[str] = (),
 ) -> DataFrame:
     """Stack the rows of a mini-batch, which must have one common length, in order."""
     size = F.size(columns[0])
-    rows = mini_batches(df, batch_size, order).groupBy("mini_batch_id").agg(
+    rows = mini_batches(df, batch_size, order).groupBy(*within, "mini_batch_id").agg(
         F.array_sort(F.collect_list(F.struct(order, *columns))).alias("rows"),
         F.min(size).alias("lo"),
         F.max(size).alias("hi"),
@@ -126,9 +130,8 @@ def collate_fixed(
         F.raise_error(F.concat(F.lit("rows of different length in mini-batch "), F.col("mini_batch_id").cast("string")))
         .cast(rows.schema["rows"].dataType)
     )
-    return rows.select(
-        "mini_batch_id", checked.alias("rows")
-    ).select("mini_batch_id", *[take_field("rows", c).alias(c) for c in columns])
+    stacked = rows.select(*within, "mini_batch_id", checked.alias("rows"))
+    return stacked.select(*within, "mini_batch_id", *[take_field("rows", c).alias(c) for c in columns])
 
 
 COLLATORS: dict[str, Callable[..., DataFrame]] = {

@@ -26,7 +26,7 @@ def turn_pairs(df: DataFrame, keep_open: bool = False) -> DataFrame:
     step = F.lead if keep_open else F.lag
     beside = {f"__{c}": step(c) for c in ("conv_id", "role", "text")}
     rows = with_row_index(spoken, ["conv_id", "turn"], "pos", cut_at=user, extra=beside)
-    same = F.col("__conv_id") == F.col("conv_id")
+    same = F.col("__conv_id").eqNullSafe(F.col("conv_id"))
     if keep_open:
         answer = F.when(same & (F.col("__role") == "assistant"), F.col("__text"))
         return rows.where(user).select("conv_id", "turn", "pos", F.col("text").alias("prompt"), answer.alias("response"))

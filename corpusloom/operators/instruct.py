@@ -188,14 +188,16 @@ def seq2seq_rows(
     special: str = "prefix",
     ignore_pad: bool = True,
     keep_source: tuple[str, ...] = (),
+    within: tuple[str, ...] = (),
     **form,
 ) -> DataFrame:
     """Evaluation rows: source as ``input_ids`` padded within its batch, target as ``labels``.
 
     Batches are ``batch_rows`` consecutive rows; dropped pairs leave their batch smaller.
+    ``within`` names the range column of an index aligned to the batches.
     """
     sp = tokenizer.specials
-    keep = tuple(dict.fromkeys([*keep_source, order]))
+    keep = tuple(dict.fromkeys([*keep_source, *within, order]))
     pairs = filter_pairs(df, prompt, response)
     source = render_history(prompt, history, empty_as_bare=True, **form)
     df = _two_sides(pairs, source, response, tokenizer, keep, order)
@@ -206,7 +208,7 @@ def seq2seq_rows(
             "__b": add_special(cut("__b", max_target - 2), sp, special),
         }
     )
-    batch = Window.partitionBy("batch_id")
+    batch = Window.partitionBy(*within, "batch_id")
     labels = mask_pad("__b", sp.pad) if ignore_pad else F.col("__b")
     df = df.withColumn("longest", F.max(F.size("__a")).over(batch)).withColumns(
         {

@@ -176,6 +176,9 @@ def with_row_index(
 ) -> DataFrame:
     """Add the 0-based position of each row in the order of ``order_by``.
 
+    The plan below runs for its key columns alone a few times, then once in full. Where the keys
+    are not cheap to get (text must be read to filter or to make rows), cut the lineage first.
+
     Without a key the present order is kept: it is written down once, because a repeated scan may
     split its files differently. ``range_col`` keeps the range number; with ``align`` it lets later
     windows over groups of ``align`` rows reuse the partitioning made here. ``extra`` adds window
@@ -226,18 +229,27 @@ def take_head(df: DataFrame, n: int, split: str | None = None, order_by: Keys =
     return df.where(_below(df, order_by, n))
 
 
-def split_percent(df: DataFrame, pct: int, order_by: Keys = "row_idx") -> DataFrame:
-    """Add ``split``: the first ``pct`` percent of the rows are validation, the rest train.
+def in_percent_head(df: DataFrame, pct: int, order_by: Keys = "row_idx") -> Column:
+    """Condition of the first ``pct`` percent of the rows, the border rounded half to even.
 
-    The border is rounded half to even. Only the key column is scanned to find it.
+    A plain comparison with one key value, so filtering by it reaches the scan. The key must be
+    unique and not null.
     """
-    _batch_only(df, "split_percent")
+    _batch_only(df, "a percentage split")
     if not 0 <= pct <= 100:
         raise ValueError("pct must be between 0 and 100")
     total = df.count()
     head = round(total * pct / 100.0)
-    in_head = F.lit(True) if head >= total else _below(df, order_by, head)
-    return df.withColumn("split", F.when(in_head, F.lit("validation")).otherwise(F.lit("train")))
+    return F.lit(True) if head >= total else _below(df, order_by, head)
+
+
+def split_percent(df: DataFrame, pct: int, order_by: Keys = "row_idx") -> DataFrame:
+    """Add ``split``: the first ``pct`` percent of the rows are validation, the rest train.
+
+    Only the key column is scanned to find the border.
+    """
+    head = in_percent_head(df, pct, order_by)
+    return df.withColumn("split", F.when(head, F.lit("validation")).otherwise(F.lit("train")))
 
 
 def shuffle(df: DataFrame, seed: int, key: Keys, name: str = "row_idx") -> DataFrame:

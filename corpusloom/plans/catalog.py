@@ -629,8 +629,10 @@ BARE_SIDES = f"WITH {q.HISTORY}, " + q.sides(
            {q.text_of(q.pad(q.repeat(1, 'len(x)'), 'longest', 0))} AS attention_mask, {q.text_of('y')} AS labels FROM w""",
 )
 def _seq2seq_rows(spark, d):
-    rows = with_row_index(cut_lineage(instructions(spark, d), "instructions"), ["conv_id", "turn"])
-    built = instruct.seq2seq_rows(rows, SOURCE, TARGET, conversation_tokenizer(spark, d), batch_rows=16)
+    rows = cut_lineage(instructions(spark, d), "instructions")
+    rows = with_row_index(rows, ["conv_id", "turn"], align=16, range_col="rng")
+    tok = conversation_tokenizer(spark, d)
+    built = instruct.seq2seq_rows(rows, SOURCE, TARGET, tok, batch_rows=16, within=("rng",)).drop("rng")
     return as_text(built, "input_ids", "attention_mask", "labels")
 
 
@@ -680,7 +682,7 @@ def _collate_clm(spark, d):
     ),
 )
 def _collate_mult8(spark, d):
-    rows = lines_for_mlm(spark, d, pad_to_max=False).drop("special_tokens_mask")
+    rows = cut_lineage(lines_for_mlm(spark, d, pad_to_max=False).drop("special_tokens_mask"), "lines")
     indexed = with_row_index(rows, ["doc_id", "line_no"], align=8, range_col="rng")
     batches = collate.collate_clm(indexed, 8, SP, multiple_of=8, within=("rng",))
     out = batches.select("row_idx", "mini_batch_id", "input_ids", "labels", "attention_mask")
@@ -722,8 +724,9 @@ def _mask_tokens(spark, d):
     FROM x GROUP BY 1""",
 )
 def _collate_fixed(spark, d):
-    rows = with_row_index(llama_rows(spark, d), ["conv_id", "turn"])
-    stacked = collate.collate(rows, "fixed", 8)
+    rows = cut_lineage(llama_rows(spark, d), "rows")
+    rows = with_row_index(rows, ["conv_id", "turn"], align=8, range_col="rng")
+    stacked = collate.collate(rows, "fixed", 8, within=("rng",)).drop("rng")
     rows_text = {c: F.array_join(F.transform(c, join_ids), "|") for c in ("input_ids", "labels")}
     return stacked.withColumns(rows_text)
 

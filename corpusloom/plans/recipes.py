@@ -7,14 +7,15 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from corpusloom.functions.sequences import add_special
 from corpusloom.operators import instruct
 from corpusloom.operators.filters import filter_blank, resolve_text_column
-from corpusloom.operators.order import Keys, split_percent, take_head, with_row_index
+from corpusloom.operators.order import Keys, in_percent_head, take_head, with_row_index
 from corpusloom.operators.pack import BATCH_ROWS, pack, resolve_block_size
 from corpusloom.operators.predict import EOS_MARK, ScorerFactory, clean_answer, predict, route
 from corpusloom.operators.templates import apply_template, template
 from corpusloom.operators.tokenize import Tokenizer, encode
-from corpusloom.functions.sequences import add_special
+from corpusloom.session import cut_lineage
 from corpusloom.sources import read_jsonl, write_jsonl
 
 DEFAULT_PERCENT = 5
@@ -28,20 +29,20 @@ STYLES: dict[str, Callable[..., DataFrame]] = {
 }
 
 
-def ensure_validation(df: DataFrame, pct: int, order_by: Keys) -> DataFrame:
-    """Without a validation split, the first ``pct`` percent of train become one."""
-    if "split" not in df.columns:
-        return split_percent(df, pct, order_by)
-    splits = {r.split for r in df.select("split").distinct().limit(100).collect()}
-    if "validation" in splits or "train" not in splits:
-        return df
-    rest = df.where(F.col("split") != "train")
-    return split_percent(df.where(F.col("split") == "train").drop("split"), pct, order_by).unionByName(rest)
+def split_parts(df: DataFrame, pct: int, order_by: Keys) -> dict[str, DataFrame]:
+    """One frame per split; without a validation split, the first ``pct`` percent of train become it.
 
-
-def _per_split(df: DataFrame, splits: tuple[str, ...], build: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    parts = [build(df.where(F.col("split") == s).drop("split")).withColumn("split", F.lit(s)) for s in splits]
-    return reduce(DataFrame.unionByName, parts)
+    The parts are plain key filters on the input, so a sorted source is not read twice in full.
+    """
+    parts: dict[str, DataFrame] = {}
+    if "split" in df.columns:
+        names = [r.split for r in df.select("split").distinct().limit(100).collect()]
+        parts = {s: df.where(F.col("split") == s).drop("split") for s in names}
+        if "validation" in parts or "train" not in parts:
+            return parts
+        df = parts["train"]
+    head = in_percent_head(df, pct, order_by)
+    return parts | {"train": df.where(~head), "validation": df.where(head)}
 
 
 def pretrain_rows(
@@ -71,7 +72,7 @@ def pretrain_rows(
     masked = kind in ("masked", "lines")
     wanted = special or ("sentence" if masked else False)
     cut = {"lines": block, "truncated": block - 1}.get(kind)
-    df = ensure_validation(df.select(order_by, text, *(["split"] if "split" in df.columns else [])), pct, order_by)
+    parts = split_parts(df.select(order_by, text, *(["split"] if "split" in df.columns else [])), pct, order_by)
 
     def build(rows: DataFrame) -> DataFrame:
         if kind == "lines":
@@ -90,6 +91,9 @@ def pretrain_rows(
         )
         if kind == "truncated":
             ids = ids.withColumn("input_ids", add_special("input_ids", tokenizer.specials, "prefix"))
+        if kind == "lines":
+            # Which lines are left is known from their text only.
+            ids = cut_lineage(ids, "lines")
         if kind in ("lines", "truncated"):
             return with_row_index(ids, order_by).drop(order_by)
         indexed = with_row_index(ids, order_by, align=batch_rows, range_col="rng").drop(order_by)
@@ -97,18 +101,15 @@ def pretrain_rows(
         blocks = pack(indexed.drop(*([] if within else ["rng"])), block, batch_rows, kind == "causal", keep_short, within=within)
         return blocks.drop("rng")
 
-    return _capped(_per_split(df, splits, build), caps, kind in ("lines", "truncated"), batch_rows)
-
-
-def _capped(rows: DataFrame, caps: Caps | None, indexed: bool, batch_rows: int | None) -> DataFrame:
-    if not caps or all(v is None for v in caps.values()):
-        return rows
-    order = "row_idx" if indexed else ["batch_id", "block_id"] if batch_rows else "block_id"
-    parts = []
-    for (split,) in rows.select("split").distinct().collect():
-        cap = caps.get(split)
-        parts.append(rows.where(F.col("split") == split) if cap is None else take_head(rows, cap, split, order))
-    return reduce(DataFrame.unionByName, parts, rows.limit(0))
+    order = "row_idx" if kind in ("lines", "truncated") else ["batch_id", "block_id"] if batch_rows else "block_id"
+    out = []
+    for split in splits:
+        if split not in parts:
+            raise ValueError(f"split {split!r} is needed but missing")
+        rows, cap = build(parts[split]), (caps or {}).get(split)
+        rows = rows if cap is None else take_head(rows, cap, order_by=order)
+        out.append(rows.withColumn("split", F.lit(split)))
+    return reduce(DataFrame.unionByName, out)
 
 
 def instruction_rows(

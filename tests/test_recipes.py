@@ -63,12 +63,21 @@ def test_caps_count_blocks(spark, corpus, tok):
     assert sorted((r.batch_id, r.block_id) for r in rows) == [(0, 0), (0, 1), (0, 2), (0, 3)]
 
 
-def test_given_splits_are_kept(spark, corpus):
+def test_given_splits_are_kept(spark, corpus, tok):
     tagged = corpus.withColumn("split", F.when(F.col("doc_id") < 20, "validation").otherwise("train"))
-    assert recipes.ensure_validation(tagged, 50, "doc_id").where("split = 'validation'").count() == 10
+    assert {s: d.count() for s, d in recipes.split_parts(tagged, 50, "doc_id").items()} == {"train": 52, "validation": 10}
     train_only = corpus.withColumn("split", F.when(F.col("doc_id") < 20, "test").otherwise("train"))
-    got = {r.split: r["count"] for r in recipes.ensure_validation(train_only, 50, "doc_id").groupBy("split").count().collect()}
+    got = {s: d.count() for s, d in recipes.split_parts(train_only, 50, "doc_id").items()}
     assert got == {"test": 10, "train": 26, "validation": 26}
+    with pytest.raises(ValueError, match="missing"):
+        recipes.pretrain_rows(tagged, tok, "doc_id", splits=("test",), block_size=4)
+
+
+def test_splits_are_pushed_to_the_scan(spark, corpus, tmp_path):
+    corpus.write.parquet(str(tmp_path / "c"))
+    parts = recipes.split_parts(spark.read.parquet(str(tmp_path / "c")), 10, "doc_id")
+    for name, pushed in (("train", "GreaterThan(doc_id,10)"), ("validation", "LessThanOrEqual(doc_id,10)")):
+        assert pushed in parts[name]._jdf.queryExecution().executedPlan().toString()
 
 
 def test_instructions(spark, tok):
