@@ -138,8 +138,7 @@ def train_bpe(
     pairs = cut_lineage(bpe_pair_counts(table), "bpe-pairs")
     merges: list[tuple[str, str]] = []
     made: set[str] = set()
-    held: list[DataFrame] = []
-    since_written = 0
+    pending: list[tuple[str, str]] = []
     while len(made) < room:
         best = pairs.orderBy(F.desc("n"), "left", "right").limit(TOP_PAIRS + 1).collect()
         if not best:
@@ -150,19 +149,12 @@ def train_bpe(
             if len(made) < room:
                 done.append((left, right))
                 made.add(left + right)
-        last, pairs = pairs, _changed_pairs(pairs, table, done)
-        table = merged_words(table, done)
+        # Written every round: kept in memory, the plan of each round would hold all before it.
+        pairs = cut_lineage(_changed_pairs(pairs, merged_words(table, pending), done), "bpe-pairs")
         merges += done
-        since_written += len(done)
-        if since_written >= MERGES_PER_TABLE:
-            pairs, table = cut_lineage(pairs, "bpe-pairs"), cut_lineage(table, "bpe-words")
-            since_written = 0
-        else:
-            # Kept for the next rounds; a lost part is computed again from the tables written last.
-            pairs.persist()
-        held.append(last)
-        if len(held) > 1:
-            held.pop(0).unpersist()
+        pending += done
+        if len(pending) >= MERGES_PER_TABLE:
+            table, pending = cut_lineage(merged_words(table, pending), "bpe-words"), []
     merge_rows = [(i, left, right) for i, (left, right) in enumerate(merges)]
     merge_table = spark.createDataFrame(merge_rows, "rank int, left string, right string")
     fixed = spark.createDataFrame([(t, i) for i, t in enumerate(specials)], "token string, id int")

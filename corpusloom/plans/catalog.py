@@ -44,7 +44,7 @@ SEED = 7
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    return spread_small(table(spark, d, "documents").select("doc_id", "text"))
+    return spread_small(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
 
 
 def document_lines(spark: SparkSession, d: str) -> DataFrame:

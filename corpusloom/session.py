@@ -68,13 +68,14 @@ def is_small(df: DataFrame) -> bool:
     return size < df.sparkSession.sparkContext.defaultParallelism * SMALL_INPUT_BYTES_PER_CORE
 
 
-def spread_small(df: DataFrame) -> DataFrame:
-    """Spread a small scan over the cores; large inputs are returned as they are.
+def spread_small(df: DataFrame, *by: str) -> DataFrame:
+    """Spread a small scan over the cores, by the given columns or round robin; large inputs are
+    returned as they are.
 
     A small table often is one file that cannot be split, and everything up to the first shuffle
     would run in one task. Large inputs have enough splits, and moving them would cost more.
     """
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if is_small(df) else df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *by) if is_small(df) else df
 
 
 _SHIPPED: set[str] = set()
