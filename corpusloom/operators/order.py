@@ -9,7 +9,7 @@ The counting passes read the key columns only.
 
 from __future__ import annotations
 
-from bisect import bisect_left
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -19,12 +19,11 @@ from pyspark.sql import types as T
 from corpusloom.functions.draws import digest
 from corpusloom.session import cut_lineage
 
-MAX_RANGES = 16_384
 MIN_RANGE_ROWS = 16
 SAMPLES_PER_RANGE = 20
-SMALL = 20_000
-MAX_HEAD_IN_ONE_TASK = 10_000
+HASH_SPAN = 1 << 62
 NOT_UNIQUE = "order_by is not a unique key; aligned ranges need one"
+TIES = "order_by has equal keys across the border of the head; add a column that tells them apart"
 
 Keys = str | Column | Sequence[str | Column]
 
@@ -46,11 +45,24 @@ def _literal(value, dtype: T.DataType) -> Column:
     return F.lit(value).cast(dtype)
 
 
+PLAIN = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.StringType, T.BooleanType)
+
+
+def _bounds_array(bounds: list, dtype: T.DataType) -> Column:
+    """The cut values as one constant; a text literal where the type allows it, parsed once."""
+    fields = dtype.fields if isinstance(dtype, T.StructType) else [T.StructField("v", dtype)]
+    if all(isinstance(f.dataType, PLAIN) for f in fields):
+        struct = isinstance(dtype, T.StructType)
+        values = [dict(zip(dtype.names, b)) if struct else b for b in bounds]
+        return F.from_json(F.lit(json.dumps(values)), T.ArrayType(dtype))
+    return F.array(*[_literal(b, dtype) for b in bounds])
+
+
 def _range_of(key: Column, bounds: list, dtype: T.DataType) -> Column:
     """Number of bounds <= key, by binary search in the constant list of bounds."""
     if not bounds:
         return F.lit(0)
-    table = F.array(*[_literal(b, dtype) for b in bounds])
+    table = _bounds_array(bounds, dtype)
     steps = F.array(*[F.lit(1 << p) for p in reversed(range(len(bounds).bit_length()))])
     return F.aggregate(
         steps, F.lit(0), lambda lo, step: F.when(F.get(table, lo + step - 1) <= key, lo + step).otherwise(lo)
@@ -70,6 +82,12 @@ class KeyRanges:
     def range_col(self) -> Column:
         return _range_of(_key(self.order_by), self.bounds, self.dtype)
 
+    def begins(self) -> Column:
+        """Whether the key of a row is the first of a range other than range 0."""
+        if not self.bounds:
+            return F.lit(False)
+        return F.array_contains(_bounds_array(self.bounds, self.dtype), _key(self.order_by))
+
     def offset_of(self, range_col: Column) -> Column:
         return F.get(F.from_json(F.lit(str(self.offsets)), "array<bigint>"), range_col)
 
@@ -111,11 +129,11 @@ def key_ranges(
 ) -> KeyRanges:
     """Cut the key into ranges of about equal row counts.
 
-    Up to ``SMALL`` keys are looked at directly; more are sampled and counted.
-
-    ``align`` moves every cut to a row position that is a multiple of it, so that groups of that
-    many consecutive rows never cross a range. That needs a unique key, which is checked.
-    ``cut_at`` allows only rows it holds for as the first row of a range.
+    ``ranges`` (``spark.sql.shuffle.partitions`` if not given) bounds what the driver sees:
+    ``SAMPLES_PER_RANGE`` keys and one count for each. ``align`` moves every cut to a row position
+    that is a multiple of it, so that groups of that many consecutive rows never cross a range.
+    That needs a unique key; ``with_row_index`` checks it in every range. ``cut_at`` allows only
+    rows it holds for as the first row of a range.
     """
     if align and cut_at is not None:
         raise ValueError("align and cut_at exclude each other")
@@ -124,38 +142,26 @@ def key_ranges(
     keys = df.select(_key(order_by).alias("key"), first.alias("first"))
     dtype = keys.schema["key"].dataType
     total = keys.count()
-    if ranges is None:
-        ranges = min(int(spark.conf.get("spark.sql.shuffle.partitions")), total // MIN_RANGE_ROWS)
-    ranges = max(1, min(ranges, MAX_RANGES, total // max(1, align or 1)))
-    if ranges == 1:
-        return KeyRanges(order_by, dtype, [], [0], total)
-    if total <= SMALL:
-        rows = keys.orderBy("key").collect()
-        every = [r.key for r in rows]
-        # A cut is exact only at the first row of its key, and no range starts with a null key.
-        fit = [i for i in range(1, total) if rows[i].first and every[i] is not None and every[i] != every[i - 1]]
-        wanted = [_up(total * i // ranges, align or 1) for i in range(1, ranges)]
-        starts = sorted({fit[j] for w in wanted if (j := bisect_left(fit, w)) < len(fit)})
-        if align:
-            starts = [t for t in starts if t % align == 0]
-        if align and len(set(every)) < total:
-            raise ValueError(NOT_UNIQUE)
-        return KeyRanges(order_by, dtype, [every[t] for t in starts], [0, *starts], total)
-    # A hash threshold, not sample(): the same rows on every run. Distinct keys only, so a
+    wanted = ranges or min(int(spark.conf.get("spark.sql.shuffle.partitions")), total // MIN_RANGE_ROWS)
+    wanted = max(1, min(wanted, total // max(1, align or 1)))
+    # A hash threshold, not sample(): the same keys on every run. Distinct keys only, so a
     # repeated key cannot fill the sample.
-    share = min(1.0, SAMPLES_PER_RANGE * ranges / total)
-    picked = keys.where(F.col("first") & F.col("key").isNotNull() & (F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int(share * (1 << 30))))
-    sample = [r.key for r in picked.select("key").distinct().orderBy("key").collect()]
-    bounds = list(dict.fromkeys(sample[len(sample) * i // ranges] for i in range(1, ranges))) if sample else []
+    share = min(1.0, SAMPLES_PER_RANGE * wanted / max(1, total))
+    picked = keys.where(
+        F.col("first") & F.col("key").isNotNull() & (F.pmod(F.xxhash64("key"), F.lit(HASH_SPAN)) < F.lit(int(share * HASH_SPAN)))
+    )
+    sample = [] if wanted == 1 else [r.key for r in picked.select("key").distinct().orderBy("key").collect()]
+    bounds = list(dict.fromkeys(sample[len(sample) * i // wanted] for i in range(1, wanted))) if sample else []
     *offsets, total = _count_ranges(df, order_by, bounds, dtype)
     plan = KeyRanges(order_by, dtype, bounds, offsets, total)
     if not align or not bounds:
         return plan
     found = plan.locate(df, [t for t in {_up(o, align) for o in offsets[1:]} if 0 < t < total])
-    starts = sorted(found)
-    bounds = [found[t] for t in starts]
+    bounds = [found[t] for t in sorted(found)]
+    if len({repr(b) for b in bounds}) < len(bounds) or any(b is None for b in bounds):
+        raise ValueError(NOT_UNIQUE)
     *offsets, total = _count_ranges(df, order_by, bounds, dtype)
-    if offsets[1:] != starts:
+    if offsets[1:] != sorted(found):
         raise ValueError(NOT_UNIQUE)
     return KeyRanges(order_by, dtype, bounds, offsets, total)
 
@@ -194,32 +200,39 @@ def with_row_index(
     in_range = Window.partitionBy(r).orderBy(*_key_list(order_by))
     # One range is one partition: hashing the range number would put several into one.
     out = df.withColumn(r, plan.range_col()).repartitionById(len(plan.bounds) + 1, F.col(r))
-    out = out.withColumns({"__pos": F.row_number().over(in_range)} | {c: f.over(in_range) for c, f in (extra or {}).items()})
-    out = out.withColumn(name, plan.offset_of(F.col(r)) + F.col("__pos") - 1)
-    return out.drop("__pos", *drop, *([] if range_col else [r]))
+    added = {"__pos": F.row_number().over(in_range)} | {c: f.over(in_range) for c, f in (extra or {}).items()}
+    if align:
+        key = _key(order_by)
+        added["__again"] = F.lag(key).over(in_range).eqNullSafe(key) & (F.row_number().over(in_range) > 1)
+    out = out.withColumns(added)
+    position = plan.offset_of(F.col(r)) + F.col("__pos") - 1
+    out = out.withColumn(name, F.when(F.col("__again"), F.raise_error(F.lit(NOT_UNIQUE))).otherwise(position) if align else position)
+    return out.drop("__pos", "__again", *drop, *([] if range_col else [r]))
 
 
 def _below(df: DataFrame, order_by: Keys, n: int) -> Column:
-    """Condition that holds for the first ``n`` rows in key order; no row is moved for it."""
+    """Condition that holds for the first ``n`` rows in key order; no row is moved for it.
+
+    Nulls come first. Equal keys on both sides of the border are an error: no condition on the
+    key could tell them apart.
+    """
     key = _key(order_by)
     if n <= 0:
         return F.lit(False)
-    if n <= MAX_HEAD_IN_ONE_TASK:
-        keys = df.select(key.alias("key"))
-        rows = keys.orderBy("key").limit(n).agg(F.max("key").alias("top"), F.count("*").alias("c")).collect()[0]
-        if rows.c < n:
-            return F.lit(True)
-        return key <= _literal(rows.top, keys.schema["key"].dataType)
     plan = key_ranges(df, order_by)
     if n >= plan.total:
         return F.lit(True)
-    return key < _literal(plan.locate(df, [n])[n], plan.dtype)
+    border = plan.locate(df, [n - 1])[n - 1]
+    inside = key.isNull() if border is None else key.isNull() | (key <= _literal(border, plan.dtype))
+    if df.where(inside).count() != n:
+        raise ValueError(TIES)
+    return inside
 
 
 def take_head(df: DataFrame, n: int, split: str | None = None, order_by: Keys = "row_idx") -> DataFrame:
-    """First ``n`` rows in order, of the named split if one is given.
+    """First ``n`` rows in order, of the named split if one is given; nulls come first.
 
-    The key must be unique and not null. A split without rows is an error.
+    Equal keys across the border and a split without rows are errors.
     """
     _batch_only(df, "take_head")
     if split is not None:
@@ -232,8 +245,8 @@ def take_head(df: DataFrame, n: int, split: str | None = None, order_by: Keys =
 def in_percent_head(df: DataFrame, pct: int, order_by: Keys = "row_idx") -> Column:
     """Condition of the first ``pct`` percent of the rows, the border rounded half to even.
 
-    A plain comparison with one key value, so filtering by it reaches the scan. The key must be
-    unique and not null.
+    A plain comparison with one key value, so filtering by it reaches the scan. Equal keys across
+    the border are an error.
     """
     _batch_only(df, "a percentage split")
     if not 0 <= pct <= 100:
