@@ -99,3 +99,17 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND NOT ({' OR '.join(f'f_{r}' for r in _RULES)}) AS kept,
   concat_ws(',', {', '.join(f"CASE WHEN f_{r} THEN '{r}' END" for r in _RULES)}) AS failed_rules
 FROM judged"""
+
+OP5 = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+e AS (
+  SELECT *, regexp_replace(role, '<(\\*)\|', '<\1\\|', 'g') AS erole, regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g') AS etext FROM t)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length(erole) + length(etext) + 12 + 10 + 10)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id"""
