@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat, mixing, quality_rules, winnowing
+from corpusloom.llm import chat, language_id, mixing, pieces, quality_model, quality_rules, winnowing
 from corpusloom.llm.common import table, text_of, word_count
 from corpusloom.llm.sql import OP3, OP5, OP8
 from corpusloom.session import cut_lineage
@@ -13,6 +13,13 @@ QUERIES = {}
 ORACLES = {}
 
 
+def piece_model() -> str:
+    """Path of the public vocabulary the queries use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def query(name: str, sql: str | None = None):
     def add(fn):
         QUERIES[name] = fn
@@ -77,3 +84,39 @@ def _winnow(spark, d):
         winnowing.likeness(F.col("prints.hash"), F.col("edited_prints.hash")).alias("near_edited"),
         winnowing.likeness(F.col("prints.hash"), F.col("next_prints.hash")).alias("near_next"),
     )
+
+
+@query("op9_sentencepiece")
+def _pieces(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    encoded = pieces.encode_pieces(docs, piece_model())
+    return encoded.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        pieces.ids_sha256("ids").alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def held_out(key: str = "doc_id"):
+    """One fifth of the documents, told by their id; a row without an id is held out."""
+    return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))) % 5 == 0
+
+
+@query("op6_quality_discriminant")
+def _quality(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    # The texts are read once; labels meet the short vectors only.
+    measured = quality_model.with_statistics(docs).select("doc_id", held_out().alias("held_out"), "statistics")
+    measured = cut_lineage(measured, "quality-statistics")
+    labels = table(spark, d, "labels").where(~held_out()).select("doc_id", "quality")
+    model = quality_model.fit(measured.where("not held_out").join(labels, "doc_id"))
+    return quality_model.predict(measured, model).select("doc_id", "held_out", "score", "predicted")
+
+
+@query("op7_language_codes")
+def _language(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
+    model = language_id.fit(docs, ~held_out())
+    told = language_id.predict(docs.select("doc_id", "text", held_out().alias("held_out")), model)
+    return told.select("doc_id", "held_out", "lang_pred", "score", "ambiguous")

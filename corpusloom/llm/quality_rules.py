@@ -31,8 +31,8 @@ REACH = 6
 #: Value -> (tolerance beyond the fence, whether small values can be outlying too).
 VALUES = {
     "symbols": (1_000, False),
-    "dup_lines": (3_000, False),
-    "repeats": (2_000, False),
+    "dup_lines": (5_000, False),
+    "repeats": (3_000, False),
     "capitals": (1_000, False),
     "word_length": (10_000, True),
 }

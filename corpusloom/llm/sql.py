@@ -40,7 +40,7 @@ SELECT doc_id, source, size::BIGINT AS size, source_size, target, copies::INT AS
 FROM taken"""
 
 _RULES = ("symbols", "dup_lines", "repeats", "capitals", "word_length")
-_SLACK = "CASE rule WHEN 'symbols' THEN 1000 WHEN 'dup_lines' THEN 3000 WHEN 'repeats' THEN 2000 WHEN 'capitals' THEN 1000 ELSE 10000 END"
+_SLACK = "CASE rule WHEN 'symbols' THEN 1000 WHEN 'dup_lines' THEN 5000 WHEN 'repeats' THEN 3000 WHEN 'capitals' THEN 1000 ELSE 10000 END"
 
 
 def _fence(by: str) -> str:
