@@ -62,14 +62,15 @@ def best_paths(nodes: DataFrame, per_tree: int = 1) -> DataFrame:
             break
         reach.append(jumps)
         above = state.select(*[F.col(c).alias(f"a_{c}") for c in state.columns])
-        state = state.join(above, F.col("up") == F.col("a_id"), "left").select(
+        # Only messages that have not reached their root take part; each finds one row.
+        moved = state.where(F.col("up").isNotNull()).join(above, F.col("up") == F.col("a_id")).select(
             "id",
             F.col("a_up").alias("up"),
-            (F.col("turns") + F.coalesce("a_turns", F.lit(0))).alias("turns"),
-            (F.col("gain") + F.coalesce("a_gain", F.lit(0.0))).alias("gain"),
-            F.coalesce("a_top", "top").alias("top"),
+            (F.col("turns") + F.col("a_turns")).alias("turns"),
+            (F.col("gain") + F.col("a_gain")).alias("gain"),
+            F.col("a_top").alias("top"),
         )
-        state = cut_lineage(state, "chat-up")
+        state = cut_lineage(state.where(F.col("up").isNull()).unionByName(moved), "chat-up")
     answered = start.where(F.col("up").isNotNull()).select(F.col("up").alias("id"))
     leaves = state.where(F.col("up").isNull()).join(answered, "id", "left_anti")
     leaves = leaves.select(F.col("top").alias("root"), F.col("id").alias("leaf"), "turns", (F.col("gain") / F.col("turns")).alias("score"))
