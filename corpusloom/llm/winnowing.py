@@ -52,8 +52,8 @@ def _least_of_windows(placed: Column, window: int) -> Column:
     return out
 
 
-def fingerprint(text: Column) -> Column:
-    """array<struct<hash bigint, place int>> of a text, by place; ``place`` is the token the run begins at."""
+def packed_fingerprint(text: Column) -> Column:
+    """The kept hashes of a text with their places, by place, one number each."""
     high = (1 << (63 - PLACE_BITS)) - 1
     packed = lambda hs: F.transform(
         hs, lambda h, i: F.shiftleft(h.bitwiseAND(F.lit(high)), PLACE_BITS) + (F.lit(PLACE_END).cast("bigint") - i)
@@ -63,8 +63,13 @@ def fingerprint(text: Column) -> Column:
     )
     tokens = F.regexp_extract_all(text_of(text), F.lit(TOKEN), F.lit(0))
     kept = let(let(let(tokens, _token_hashes), packed), least)
+    return F.array_distinct(kept)
+
+
+def unpack(prints: Column) -> Column:
+    """array<struct<hash bigint, place int>>; ``place`` is the token the run of tokens begins at."""
     return F.transform(
-        F.array_distinct(kept),
+        prints,
         lambda v: F.struct(
             F.shiftright(v, PLACE_BITS).alias("hash"),
             (F.lit(PLACE_END) - v.bitwiseAND(F.lit(PLACE_END))).cast("int").alias("place"),
@@ -72,6 +77,10 @@ def fingerprint(text: Column) -> Column:
     )
 
 
+def fingerprint(text: Column) -> Column:
+    return unpack(packed_fingerprint(text))
+
+
 def as_text(prints: Column) -> Column:
     """``hash@place`` in hexadecimal and decimal, by place, with blanks between."""
     return F.array_join(F.transform(prints, lambda p: F.concat_ws("@", F.lower(F.hex(p["hash"])), p["place"].cast("string"))), " ")
@@ -84,11 +93,13 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def with_next(docs: DataFrame, key: str, columns: dict[str, Column]) -> DataFrame:
-    """Add the values that the next row in descending order of ``key`` has in ``columns`` (name -> value);
-    after the last row comes the first. Null keys come last, equal keys in the order of the first value.
+    """Add the values of ``columns`` (name -> value), and as ``next_<name>`` those of the next row in
+    descending order of ``key``; after the last row comes the first. Null keys come last, equal keys
+    in the order of the first value.
 
     The key is cut into ranges of the reversed order, and each range also gets the rows that begin
-    the range after it, so the next row is always in the same partition and texts move once.
+    the range after it, so the next row is always in the same partition and rows move once. The
+    values are computed behind that shuffle.
     """
     reverse = [F.col(key).isNull().cast("int"), -F.coalesce(F.col(key), F.lit(0))]
     plan = key_ranges(docs, reverse)
@@ -102,22 +113,19 @@ def with_next(docs: DataFrame, key: str, columns: dict[str, Column]) -> DataFram
     around = F.when(first, F.struct(F.lit(last).alias("__range"), F.lit(1).alias("__guest")))
     places = F.filter(F.array(own, guest, around), lambda p: p.isNotNull())
     spread = docs.select("*", F.inline(places)).repartitionById(last + 1, F.col("__range"))
-    spread = spread.withColumns({f"__v_{n}": v for n, v in columns.items()})
-    order = Window.partitionBy("__range").orderBy(
-        "__guest", F.desc_nulls_last(key), F.asc_nulls_first(f"__v_{next(iter(columns))}")
-    )
-    out = spread.withColumns({n: F.lead(f"__v_{n}").over(order) for n in columns}).where(F.col("__guest") == 0)
-    return out.drop("__range", "__guest", *[f"__v_{n}" for n in columns])
+    spread = spread.withColumns(columns)
+    order = Window.partitionBy("__range").orderBy("__guest", F.desc_nulls_last(key), F.asc_nulls_first(next(iter(columns))))
+    out = spread.withColumns({f"next_{n}": F.lead(n).over(order) for n in columns}).where(F.col("__guest") == 0)
+    return out.drop("__range", "__guest")
 
 
 def edited_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Every document with its fingerprint, that of the next document, and its edited text: the last
     third of its code points replaced by the first as many of the next document."""
-    docs = without(docs, "prints", "next_text", "next_prints", "n_chars", "edited", "edited_prints")
-    told = docs.withColumn("prints", fingerprint(F.col(text)))
-    paired = with_next(told, key, {"next_text": text_of(text), "next_prints": F.col("prints")})
-    n = F.length(text_of(text))
+    docs = without(docs, "prints", "whole", "next_whole", "next_prints", "n_chars", "edited", "edited_prints")
+    told = {"whole": text_of(text), "prints": packed_fingerprint(F.col(text))}
+    paired = with_next(docs, key, told).withColumn("n_chars", F.length("whole").cast("bigint"))
     cut = F.expr("n_chars div 3").cast("int")
-    edited = F.concat(F.substring(text_of(text), F.lit(1), (F.col("n_chars") - cut).cast("int")), F.substring("next_text", F.lit(1), cut))
-    out = paired.withColumn("n_chars", n.cast("bigint")).withColumn("edited", edited)
-    return out.withColumn("edited_prints", fingerprint(F.col("edited")))
+    edited = F.concat(F.substring("whole", F.lit(1), (F.col("n_chars") - cut).cast("int")), F.substring("next_whole", F.lit(1), cut))
+    out = paired.withColumn("edited", edited).withColumn("edited_prints", packed_fingerprint(F.col("edited")))
+    return out.withColumns({c: unpack(F.col(c)) for c in ("prints", "next_prints", "edited_prints")}).drop("whole", "next_whole")
