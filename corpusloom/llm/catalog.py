@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat, language_id, mixing, pieces, quality_model, quality_rules, winnowing
+from corpusloom.llm import chat, language_id, mixing, pieces, quality_model, quality_rules, sharding, winnowing
 from corpusloom.llm.common import table, text_of, word_count
 from corpusloom.llm.sql import OP3, OP5, OP8
 from corpusloom.session import cut_lineage
@@ -120,3 +120,11 @@ def _language(spark, d):
     model = language_id.fit(docs, ~held_out())
     told = language_id.predict(docs.select("doc_id", "text", held_out().alias("held_out")), model)
     return told.select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+
+
+@query("op4_kd_shards")
+def _shards(spark, d):
+    placed = sharding.shard_documents(table(spark, d, "documents"), shards=24)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
