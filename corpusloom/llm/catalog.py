@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat, language_id, mixing, pieces, quality_model, quality_rules, sharding, winnowing
+from corpusloom.llm import chat, language_id, mixing, ngram_join, pieces, quality_model, quality_rules, sharding, winnowing
 from corpusloom.llm.common import table, text_of, word_count
 from corpusloom.llm.sql import OP3, OP5, OP8
 from corpusloom.session import cut_lineage
@@ -128,3 +128,9 @@ def _shards(spark, d):
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+@query("op1_ngram_join")
+def _near(spark, d):
+    joined = ngram_join.jaccard_classes(table(spark, d, "documents"))
+    return joined.select("doc_id", "class_id", "n_copies", "n_links")
