@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat, language_id, mixing, ngram_join, pieces, quality_model, quality_rules, sharding, winnowing
+from corpusloom.llm import chat, html_text, language_id, mixing, ngram_join, pieces, quality_model, quality_rules, sharding, winnowing
 from corpusloom.llm.common import table, text_of, word_count
 from corpusloom.llm.sql import OP3, OP5, OP8
 from corpusloom.session import cut_lineage
@@ -134,3 +134,8 @@ def _shards(spark, d):
 def _near(spark, d):
     joined = ngram_join.jaccard_classes(table(spark, d, "documents"))
     return joined.select("doc_id", "class_id", "n_copies", "n_links")
+
+
+@query("op2_html_layout")
+def _html(spark, d):
+    return html_text.extract(table(spark, d, "pages")).select("page_id", "url", "text", "n_lines")
