@@ -165,6 +165,8 @@ def build(page: str) -> Node:
         elif m["tag"]:
             tag = m["tag"].lower()
             start(tag, _attributes(m["attrs"]))
+            if tag in ("pre", "textarea"):  # a line break right behind the tag is not part of the text
+                at += 2 if page.startswith("\r\n", at) else page.startswith("\n", at)
             if tag in RAW or tag in RAW_TEXT:
                 end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
                 stop, after = (end.start(), end.end()) if end else (len(page), len(page))
