@@ -11,11 +11,12 @@ from pyspark.sql import types as T
 from corpusloom.functions.text import strip
 from corpusloom.operators.instruct import sft_bos
 from corpusloom.operators.order import take_head
+from corpusloom.session import cut_lineage
 
 # Markers cut from generated text.
 END_MARK = "\nEND"
 EOS_MARK = "</s>"
-MAX_ADAPTERS = 10_000
+BROADCAST_ADAPTERS = 10_000
 
 Scorer = Callable[[list[str]], list[str]]
 ScorerFactory = Callable[[str | None, str | None], Scorer]
@@ -26,38 +27,32 @@ def parse_adapters(spec: str) -> dict[str, str]:
     parts = [p.strip() for p in spec.split(",") if p.strip()]
     if len(parts) % 2:
         raise ValueError("adapter list must hold names and paths in turn")
-    adapters = dict(zip(parts[::2], parts[1::2]))
-    if len(adapters) > MAX_ADAPTERS:
-        raise ValueError(f"more than {MAX_ADAPTERS} adapters")
-    return adapters
+    return dict(zip(parts[::2], parts[1::2]))
 
 
 def route(df: DataFrame, adapters: str | dict[str, str], col: str = "adapter_name", out: str = "adapter_path") -> DataFrame:
     """Add the path of the adapter named in each row; a missing or unknown name fails the job.
 
-    The list is an argument of the call and bounded, so it is broadcast.
+    A list of at most ``BROADCAST_ADAPTERS`` is broadcast; Spark plans the join with a longer one.
     """
     if isinstance(adapters, str):
         adapters = parse_adapters(adapters)
     if col not in df.columns:
         raise ValueError(f"no column {col!r} to route by")
     table = df.sparkSession.createDataFrame(list(adapters.items()), f"`{col}` string, `{out}` string")
-    routed = df.join(F.broadcast(table), col, "left")
+    routed = df.join(F.broadcast(table) if len(adapters) <= BROADCAST_ADAPTERS else table, col, "left")
     unknown = F.raise_error(F.concat(F.lit("unknown adapter: "), F.coalesce(F.col(col), F.lit("null"))))
     return routed.withColumn(out, F.coalesce(F.col(out), unknown.cast("string")))
 
 
 def _spread(df: DataFrame, adapter: str, partitions: int) -> DataFrame:
     """Partition by adapter and slot; an adapter has one slot per equal share of the rows."""
-    sizes = {r[adapter]: r["count"] for r in df.groupBy(adapter).count().limit(MAX_ADAPTERS + 1).collect()}
-    share = max(1, -(-sum(sizes.values()) // partitions))
-    slots = df.sparkSession.createDataFrame(
-        [(name, -(-n // share)) for name, n in sizes.items()], f"`{adapter}` string, `__slots` int"
-    )
+    sizes = cut_lineage(df.groupBy(F.col(adapter).alias("__who")).agg(F.count("*").alias("__n")), "adapters")
+    share = max(1, -(-(sizes.agg(F.sum("__n")).first()[0] or 0) // partitions))
+    slots = sizes.select("__who", F.ceil(F.col("__n") / share).cast("int").alias("__slots"))
     plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
     return (
-        df.join(F.broadcast(slots), df[adapter].eqNullSafe(slots[adapter]), "left")
-        .drop(slots[adapter])
+        df.join(slots, df[adapter].eqNullSafe(slots["__who"]))
         .withColumn("__slot", F.pmod(F.xxhash64(*[df[c] for c in plain]), F.col("__slots")))
         .repartition(partitions, adapter, "__slot")
         .sortWithinPartitions(adapter)
@@ -85,24 +80,26 @@ def predict(
     df = df.withColumn("prompt_text", prompt)
     if adapter is not None:
         df = _spread(df, adapter, partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType())])
+    who = (F.col(adapter), F.col(path)) if adapter is not None else (F.lit(None).cast("string"), F.lit(None).cast("string"))
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    # Only these three columns go to Python; all others stay as they are.
+    @F.pandas_udf(T.StringType())
+    def score(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         current: tuple | None = None
         scorer: Scorer | None = None
-        for batch in batches:
-            names = batch[adapter] if adapter is not None else pd.Series([None] * len(batch), index=batch.index)
+        for prompts, names, paths in batches:
+            names, paths = names.where(names.notna(), None), paths.where(paths.notna(), None)
             texts: list[str] = []
-            for _, run in batch.groupby((names != names.shift()).cumsum(), sort=False):
-                who = (run[adapter].iloc[0], run[path].iloc[0]) if adapter is not None else (None, None)
-                if scorer is None or who != current:
-                    scorer, current = scorer_factory(*who), who
-                prompts = run["prompt_text"].tolist()
-                for i in range(0, len(prompts), batch_rows):
-                    texts.extend(scorer(prompts[i : i + batch_rows]))
-            yield batch.assign(**{out: texts})
-
-    return df.mapInPandas(score, schema)
+            for _, run in prompts.groupby((names != names.shift()).cumsum(), sort=False):
+                named = (names[run.index[0]], paths[run.index[0]])
+                if scorer is None or named != current:
+                    scorer, current = scorer_factory(*named), named
+                asked = run.tolist()
+                for i in range(0, len(asked), batch_rows):
+                    texts.extend(scorer(asked[i : i + batch_rows]))
+            yield pd.Series(texts, index=prompts.index, dtype=object)
+
+    return df.withColumn(out, score.asNondeterministic()("prompt_text", *who))
 
 
 def clean_answer(out: Column | str, prompt: Column | str, eos: str | None = EOS_MARK, prefix_only: bool = False) -> Column:

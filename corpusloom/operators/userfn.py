@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 BatchFn = Callable[[dict[str, list]], dict[str, list]]
 
@@ -15,16 +17,17 @@ def map_batches(df: DataFrame, fn: BatchFn, schema: str, batch_col: str | None =
 
     Without ``batch_col`` the batches are Arrow batches of no fixed size. Where batch borders
     matter, name a column with the batch number: its rows, which should be few, go in together.
+    Values are passed as Python objects, so whole numbers beside nulls stay whole.
     """
-    names = df.columns
+    out = to_arrow_schema(StructType.fromDDL(schema))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(fn({c: pdf[c].tolist() for c in names}))
+    def run(table: pa.Table) -> pa.Table:
+        return pa.Table.from_pydict(fn(table.to_pydict()), schema=out)
 
-    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield run(pdf)
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from run(pa.Table.from_batches([batch])).to_batches()
 
     if batch_col is None:
-        return df.mapInPandas(stream, schema)
-    return df.groupBy(batch_col).applyInPandas(run, schema)
+        return df.mapInArrow(stream, schema)
+    return df.groupBy(batch_col).applyInArrow(run, schema)

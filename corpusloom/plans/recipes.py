@@ -29,15 +29,18 @@ STYLES: dict[str, Callable[..., DataFrame]] = {
 }
 
 
-def split_parts(df: DataFrame, pct: int, order_by: Keys) -> dict[str, DataFrame]:
+def split_parts(df: DataFrame, pct: int, order_by: Keys, wanted: tuple[str, ...] | None = None) -> dict[str, DataFrame]:
     """One frame per split; without a validation split, the first ``pct`` percent of train become it.
 
     The parts are plain key filters on the input, so a sorted source is not read twice in full.
+    Only the ``wanted`` splits are looked for; without them, all there are.
     """
     parts: dict[str, DataFrame] = {}
     if "split" in df.columns:
-        names = [r.split for r in df.select("split").distinct().limit(100).collect()]
-        parts = {s: df.where(F.col("split") == s).drop("split") for s in names}
+        names = df.select("split").where(F.col("split").isNotNull())
+        if wanted is not None:
+            names = names.where(F.col("split").isin("train", "validation", *wanted))
+        parts = {r.split: df.where(F.col("split") == r.split).drop("split") for r in names.distinct().collect()}
         if "validation" in parts or "train" not in parts:
             return parts
         df = parts["train"]
@@ -72,7 +75,7 @@ def pretrain_rows(
     masked = kind in ("masked", "lines")
     wanted = special or ("sentence" if masked else False)
     cut = {"lines": block, "truncated": block - 1}.get(kind)
-    parts = split_parts(df.select(order_by, text, *(["split"] if "split" in df.columns else [])), pct, order_by)
+    parts = split_parts(df.select(order_by, text, *(["split"] if "split" in df.columns else [])), pct, order_by, splits)
 
     def build(rows: DataFrame) -> DataFrame:
         if kind == "lines":
@@ -107,7 +110,8 @@ def pretrain_rows(
         if split not in parts:
             raise ValueError(f"split {split!r} is needed but missing")
         rows, cap = build(parts[split]), (caps or {}).get(split)
-        rows = rows if cap is None else take_head(rows, cap, order_by=order)
+        # The head looks for its border first and then reads the rows again.
+        rows = rows if cap is None else take_head(cut_lineage(rows, "capped"), cap, order_by=order)
         out.append(rows.withColumn("split", F.lit(split)))
     return reduce(DataFrame.unionByName, out)
 
@@ -133,11 +137,10 @@ def instruction_rows(
     if style not in STYLES:
         raise KeyError(f"unknown style {style!r}, known: {', '.join(STYLES)}")
     if caps:
-        parts = []
-        for (split,) in df.select("split").distinct().collect():
-            cap = caps.get(split)
-            parts.append(df.where(F.col("split") == split) if cap is None else take_head(df, cap, split, order_by))
-        df = reduce(DataFrame.unionByName, parts, df.limit(0))
+        capped = {split: cap for split, cap in caps.items() if cap is not None}
+        others = df.where(F.col("split").isNull() | ~F.col("split").isin(*capped)) if capped else df
+        heads = [take_head(df.where(F.col("split") == split), cap, order_by=order_by) for split, cap in capped.items()]
+        df = reduce(DataFrame.unionByName, heads, others)
     keep = tuple(dict.fromkeys([*keep_source, *(["split"] if "split" in df.columns else [])]))
     if style in ("llama", "halves"):
         df = apply_template(df, prompt_type, keep_source=keep)

@@ -31,18 +31,27 @@ def local_session(cpus: int | str = "*", app: str = "corpusloom", **conf: str) -
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder named by ``spark.checkpoint.dir``.
 
-    Only when the session names none (tests, a laptop) a temporary folder is made and set, so
-    that later calls in the session use the same one.
+    Only a session of one machine (``local[...]``, for tests or a laptop) that names none gets a
+    temporary folder, which later calls use too. On a cluster each executor would write to a disk
+    of its own, so there a missing folder is an error.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="corpusloom-")
         spark.sparkContext.setCheckpointDir(root)
     return root
 
 
+def is_written(spark: SparkSession, path: str) -> bool:
+    """Whether a write to ``path`` was completed (or begun, where Spark is told to leave no mark)."""
+    conf = spark._jsc.hadoopConfiguration()
+    marked = conf.getBoolean("mapreduce.fileoutputcommitter.marksuccessfuljobs", True)
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS" if marked else path)
+    return target.getFileSystem(conf).exists(target)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unused path below the shared folder."""
     return f"{checkpoint_root(spark).rstrip('/')}/corpusloom/{name}-{uuid.uuid4().hex}"
@@ -56,6 +65,8 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    if not is_written(df.sparkSession, path):
+        raise OSError(f"{path} does not hold what was written to it; is it a folder that all executors share?")
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

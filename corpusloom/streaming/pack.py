@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
@@ -12,6 +13,9 @@ from corpusloom.operators.pack import BATCH_ROWS, pack
 from corpusloom.session import cut_lineage
 
 
+EMITTED = 10_000  # blocks per batch handed back
+
+
 def packed_batches(
     path: str, block_size: int, order_by: Keys, batch_rows: int = BATCH_ROWS, **options
 ) -> Callable[[DataFrame, int], None]:
@@ -33,18 +37,15 @@ def packed_batches(
 def _carry_blocks(block_size: int, by: str, column: str, order: str):
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         tail, made = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
-        for batch in batches:
-            blocks = []
-            for ids in batch.sort_values(order)[column]:
-                tail.extend(int(i) for i in ids)
-                full = len(tail) // block_size
-                blocks += [tail[i * block_size : (i + 1) * block_size] for i in range(full)]
-                tail = tail[full * block_size :]
-            yield pd.DataFrame(
-                {by: [key[0]] * len(blocks), "block_id": range(made, made + len(blocks)), column: blocks, "labels": blocks}
-            )
-            made += len(blocks)
-        state.update((tail, made))
+        # The rows of a key come in several Arrow batches of no order.
+        rows = pd.concat([batch[[order, column]] for batch in batches], ignore_index=True).sort_values(order, kind="stable")
+        ids = np.concatenate([np.asarray(tail, np.int64), *rows[column]]).astype(np.int64)
+        full = len(ids) // block_size
+        for at in range(0, full, EMITTED):
+            blocks = list(ids[: full * block_size].reshape(full, block_size)[at : at + EMITTED])
+            number = range(made + at, made + at + len(blocks))
+            yield pd.DataFrame({by: [key[0]] * len(blocks), "block_id": number, column: blocks, "labels": blocks})
+        state.update(([int(i) for i in ids[full * block_size :]], made + full))
 
     return step
 
@@ -70,7 +71,9 @@ def pack_stream(
 
     With ``carry`` the result is a streaming frame: the rest is kept per value of ``by`` for the
     next micro-batch and no token is lost. The state of a value is less than one block. ``by``
-    should have many values of similar size; for a source that dominates use a hash shard.
+    should have many values of similar size; for a source that dominates use a hash shard. The rows
+    that one value has in one micro-batch are put in order together, so a task holds as many; the
+    files per trigger bound them.
     """
     if not df.isStreaming:
         raise ValueError("pack_stream needs a streaming frame; use pack for tables")

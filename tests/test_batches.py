@@ -145,3 +145,12 @@ def test_batch_functions(spark):
     assert sorted(r.x for r in twice.collect()) == sorted(list(range(10)) * 2)
     sums = map_batches(df, lambda cols: {"s": [sum(cols["id"])]}, "s long", batch_col="b")
     assert sorted(r.s for r in sums.collect()) == [6, 17, 22]
+
+
+def test_batch_functions_keep_whole_numbers_beside_nulls(spark):
+    rows = [(2**60 + 1, None), (None, [1, None]), (7, [])]
+    df = spark.createDataFrame(rows, "id long, l array<int>").coalesce(1)
+    same = map_batches(df, lambda cols: cols, "id long, l array<int>")
+    assert sorted(map(tuple, same.collect()), key=repr) == sorted(rows, key=repr)
+    grouped = map_batches(df.withColumn("b", F.lit(1)), lambda cols: {"id": cols["id"]}, "id long", batch_col="b")
+    assert sorted((r.id for r in grouped.collect()), key=repr) == sorted((r[0] for r in rows), key=repr)

@@ -96,22 +96,37 @@ def test_predict_keeps_every_row_and_spreads_a_popular_adapter(spark):
     assert (plain.prompt_text, plain.out_text) == ("T3", "T3@None")
 
 
-def python_clean(out, prompt, eos):
-    answer = out.replace(prompt, "").replace("\nEND", "").strip()
-    if eos and answer.endswith(eos):
-        answer = answer[: -len(eos)]
-    return answer
-
-
-@pytest.mark.parametrize(
-    "out", ["p a", "p a p b", "p a\nEND", "p a </s>", "p a</s>  ", "p a </s></s>", "p", "p  　", "x\n\nEND y\nEND", "p(.*) $1 \\ p a"]
-)
+#: Generated text after the prompt "p" -> answer with the end mark </s>, without an end mark, with only a leading prompt cut.
+ANSWERS = {
+    "p a": ("a", "a", "a"),
+    "p a p b": ("a  b", "a  b", "a p b"),
+    "p a\nEND": ("a", "a", "a"),
+    "p a </s>": ("a ", "a </s>", "a </s>"),
+    "p a</s>  ": ("a", "a</s>", "a</s>"),
+    "p a </s></s>": ("a </s>", "a </s></s>", "a </s></s>"),
+    "p": ("", "", ""),
+    "p  \u3000": ("", "", ""),
+    "x\n\nEND y\nEND": ("x\n y", "x\n y", "x\n y"),
+    "p(.*) $1 \\ p a": ("(.*) $1 \\  a", "(.*) $1 \\  a", "(.*) $1 \\ p a"),
+}
+
+
+@pytest.mark.parametrize("out", ANSWERS)
 def test_clean_answer(spark, out):
     df = spark.createDataFrame([(out, "p")], "o string, p string")
-    for eos in ("</s>", None):
-        assert df.select(predict.clean_answer("o", "p", eos).alias("r")).first().r == python_clean(out, "p", eos)
-    once = df.select(predict.clean_answer("o", "p", None, prefix_only=True).alias("r")).first().r
-    assert once == (out[1:] if out.startswith("p") else out).replace("\nEND", "").strip()
+    row = df.select(
+        predict.clean_answer("o", "p", "</s>"),
+        predict.clean_answer("o", "p", None),
+        predict.clean_answer("o", "p", None, prefix_only=True),
+    ).first()
+    assert tuple(row) == ANSWERS[out]
+
+
+def test_prediction_passes_every_value_through(spark):
+    rows = [(2**60 + 1, "a", 1.5, [1, None]), (None, "b", None, None), (2**53 + 1, None, 0.0, [])] * 3
+    df = spark.createDataFrame(rows, "id long, input string, x double, l array<int>").repartition(2)
+    out = predict.predict(df, lambda who, path: lambda prompts: [f"{p}!" for p in prompts])
+    assert sorted(((r.id, r.input, r.x, r.l, r.out_text) for r in out.collect()), key=repr) == sorted(((*r, f"{r[1]}!") for r in rows), key=repr)
 
 
 def word_tokenizer(spark, texts):
@@ -202,6 +217,21 @@ def test_stream_pack_with_carry_loses_nothing(spark, tmp_path):
         assert [t for b in blocks for t in b] == joined[: len(joined) // 7 * 7]
 
 
+def test_carry_keeps_the_order_over_arrow_batches(spark, tmp_path):
+    rows = [{"row_idx": i, "input_ids": [i]} for i in range(400)]
+    random.Random(1).shuffle(rows)
+    path = write_files(tmp_path / "in", [rows])
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        stream = read_stream(spark, path, "json", "row_idx long, input_ids array<int>").withColumn("shard", F.lit(0))
+        out = run_available(pack_stream(stream, 7, carry=True), str(tmp_path / "out"), str(tmp_path / "state")).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    blocks = [r.input_ids for r in sorted(out, key=lambda r: r.block_id)]
+    assert [t for b in blocks for t in b] == list(range(399))
+
+
 def test_encode_takes_streams(spark, tmp_path):
     path = write_files(tmp_path / "in", [[{"row_idx": 1, "prompt": "a b", "response": "c", "history": []}]])
     tok = word_tokenizer(spark, ["a b"])

@@ -104,14 +104,24 @@ def test_named(spark, tmp_path):
 
 
 def test_materialize(spark, tmp_path):
-    path = str(tmp_path / "cache")
+    path, source = str(tmp_path / "cache"), str(tmp_path / "in")
     df = spark.createDataFrame([("a", "train"), ("b", "test")], "text string, split string")
-    first = sources.materialize(df, path, block=128)
-    stale = sources.materialize(df.where("text = 'a'"), path, block=128)
-    assert texts(first) == texts(stale) == ["a", "b"] and stale.columns == ["text", "split"]
-    assert texts(sources.materialize(df.where("text = 'a'"), path, block=64)) == ["a"]
-    assert texts(sources.materialize(df.where("text = 'a'"), path, overwrite=True, block=128)) == ["a"]
-    assert os.path.isdir(f"{path}/{fingerprint(columns=df.dtypes, block=128)}/split=train")
+    df.write.parquet(source)
+    read = spark.read.parquet(source)
+    first = sources.materialize(read, path, block=128)
+    assert texts(first) == ["a", "b"] and first.columns == ["text", "split"]
+    kept = set(os.listdir(path))
+    assert texts(sources.materialize(spark.read.parquet(source), path, block=128)) == ["a", "b"] and set(os.listdir(path)) == kept
+    # Another plan, other parameters and changed files each make a folder of their own.
+    assert texts(sources.materialize(read.where("text = 'a'"), path, block=128)) == ["a"]
+    assert texts(sources.materialize(read, path, block=64)) == ["a", "b"]
+    df.limit(1).write.mode("append").parquet(source)
+    assert texts(sources.materialize(spark.read.parquet(source), path, block=128)) == ["a", "a", "b"]
+    assert len(os.listdir(path)) == 4
+    (folder,) = kept
+    assert os.path.isdir(f"{path}/{folder}/split=train")
+    assert sources.materialize(spark.range(3), path).count() == 3 and sources.materialize(spark.range(9), path).count() == 9
+    assert texts(sources.materialize(df, path, overwrite=True)) == ["a", "b"]
 
 
 def test_metrics(spark, tmp_path):
