@@ -29,8 +29,8 @@ from corpusloom.llm.common import text_of, without
 MAX_MODEL_BYTES = 64 << 20
 MARK = "▁"
 PARTS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-CACHED_PARTS = 300_000
-RUN_SIZE = 1 << 20
+CACHED_PARTS = 100_000
+RUN_SIZE = 1 << 19
 ADDED = ("ids", "starts", "ends", "decoded")
 SCHEMA = "ids array<int>, starts array<int>, ends array<int>, decoded string"
 
@@ -200,12 +200,12 @@ class PieceCodec:
         return self.library.decode([i.tolist() for i in ids])
 
 
-def runs(items: list) -> Iterator[list]:
-    """Consecutive texts, or encoded rows, of about ``RUN_SIZE`` characters or ids together."""
+def runs(texts: pd.Series) -> Iterator[list[str]]:
+    """Consecutive texts of about ``RUN_SIZE`` characters together."""
     run, size = [], 0
-    for item in items:
-        run.append(item)
-        size += len(item) if isinstance(item, str) else len(item[0])
+    for text in texts:
+        run.append(text)
+        size += len(text)
         if size >= RUN_SIZE:
             yield run
             run, size = [], 0
@@ -233,10 +233,11 @@ def encode_pieces(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
     @F.pandas_udf(SCHEMA)
     def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         codec = PieceCodec(proto.value)
+        # A batch is handed back in parts, so only the arrays of one part exist at a time.
         for batch in batches:
-            rows = [row for texts in runs(batch.tolist()) for row in codec.encode(texts)]
-            out = pd.DataFrame(rows, columns=list(ADDED[:3]))
-            yield out.assign(decoded=[t for ids in runs(rows) for t in codec.decode([r[0] for r in ids])])
+            for texts in runs(batch):
+                out = pd.DataFrame(list(codec.encode(texts)), columns=list(ADDED[:3]))
+                yield out.assign(decoded=codec.decode(list(out["ids"])))
 
     out = without(docs, *ADDED, "__pieces").withColumn("__pieces", encoded(text_of(text)))
     return out.select("*", *[F.col(f"__pieces.{c}").alias(c) for c in ADDED]).drop("__pieces")
