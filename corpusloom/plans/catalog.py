@@ -36,7 +36,8 @@ SP = Specials()
 VOCAB_SIZE = q.VOCAB_SIZE
 IDS_END = SP.first_free + VOCAB_SIZE
 BLOCK = 128
-SOURCE, TARGET = 24, 12
+SOURCE, TARGET = 1_024, 128
+BUDGETS = {"": (SOURCE, TARGET), "_short": (48, 24)}
 SEED = 7
 
 
@@ -510,84 +511,92 @@ def _rows_sql(sides: str, x: str, y: str, ids: str, labels: str) -> str:
 
 
 TOTAL = SOURCE + TARGET
-TOO_LONG = f"len(a) + len(b) > {TOTAL - 2}"
+
+
+def too_long(source: int, target: int) -> str:
+    return f"len(a) + len(b) > {source + target - 2}"
+
+
+TOO_LONG = too_long(SOURCE, TARGET)
 
 
 def alpaca_rows(spark: SparkSession, d: str) -> DataFrame:
     return apply_template(pairs(spark, d), "standard_alpaca", keep_source=("conv_id", "turn"))
 
 
-def llama_rows(spark: SparkSession, d: str) -> DataFrame:
+def llama_rows(spark: SparkSession, d: str, source: int = SOURCE, target: int = TARGET) -> DataFrame:
     rows, tok = alpaca_rows(spark, d), conversation_tokenizer(spark, d)
-    return instruct.sft_llama(rows, SOURCE, TARGET, tok, keep_source=("conv_id", "turn"))
-
-
-@query(
-    "sft_llama",
-    _rows_sql(
-        ALPACA_SIDES,
-        f"list_concat([1], CASE WHEN {TOO_LONG} THEN {q.cut('a', SOURCE - 1)} ELSE a END)",
-        f"list_concat(CASE WHEN {TOO_LONG} THEN {q.cut('b', TARGET - 1)} ELSE b END, [2])",
-        q.pad("list_concat(x, y)", TOTAL, 0),
-        q.pad(f"list_concat({IGNORED_SOURCE}, y)", TOTAL, -100),
-    ),
-)
-def _sft_llama(spark, d):
-    return as_text(llama_rows(spark, d), "input_ids", "labels")
+    return instruct.sft_llama(rows, source, target, tok, keep_source=("conv_id", "turn"))
 
 
 def _half_sql(side: str, length: int) -> str:
     return q.pad(f"list_concat(list_concat([1], {q.cut(side, length - 2)}), [2])", length, 0)
 
 
-@query(
-    "sft_halves",
-    _rows_sql(
-        ALPACA_SIDES,
-        _half_sql("a", SOURCE - 1),
-        _half_sql("b", TARGET - 1),
-        "list_concat(x, y)",
-        f"list_concat({IGNORED_SOURCE}, y)",
-    ),
-)
-def _sft_halves(spark, d):
-    rows, tok = alpaca_rows(spark, d), conversation_tokenizer(spark, d)
-    return as_text(
-        instruct.sft_halves(rows, SOURCE, TARGET, tok, keep_source=("conv_id", "turn")), "input_ids", "labels"
+def _sft_queries(suffix: str, source: int, target: int) -> None:
+    """The four layouts for one budget: the usual one, and one that cuts both sides."""
+    total, keep = source + target, ("conv_id", "turn")
+    cut_if = lambda side, n: f"CASE WHEN {too_long(source, target)} THEN {q.cut(side, n)} ELSE {side} END"
+
+    @query(
+        "sft_llama" + suffix,
+        _rows_sql(
+            ALPACA_SIDES,
+            f"list_concat([1], {cut_if('a', source - 1)})",
+            f"list_concat({cut_if('b', target - 1)}, [2])",
+            q.pad("list_concat(x, y)", total, 0),
+            q.pad(f"list_concat({IGNORED_SOURCE}, y)", total, -100),
+        ),
     )
+    def _sft_llama(spark, d):
+        return as_text(llama_rows(spark, d, source, target), "input_ids", "labels")
+
+    @query(
+        "sft_halves" + suffix,
+        _rows_sql(
+            ALPACA_SIDES,
+            _half_sql("a", source - 1),
+            _half_sql("b", target - 1),
+            "list_concat(x, y)",
+            f"list_concat({IGNORED_SOURCE}, y)",
+        ),
+    )
+    def _sft_halves(spark, d):
+        rows, tok = alpaca_rows(spark, d), conversation_tokenizer(spark, d)
+        return as_text(instruct.sft_halves(rows, source, target, tok, keep_source=keep), "input_ids", "labels")
+
+    @query(
+        "sft_bos" + suffix,
+        _rows_sql(
+            HISTORY_SIDES,
+            f"list_concat({q.cut('a', source - 1)}, [4])",
+            f"list_concat(list_concat([1], {q.cut('b', target - 2)}), [2])",
+            q.pad("list_concat(x, y)", total, 0),
+            HIDE_PAD.format(q.pad(f"list_concat({IGNORED_SOURCE}, y)", total, 0)),
+        ),
+    )
+    def _sft_bos(spark, d):
+        rows, tok = instructions(spark, d), conversation_tokenizer(spark, d)
+        return as_text(instruct.sft_bos(rows, source, target, tok, keep_source=keep), "input_ids", "labels")
+
+    @query(
+        "sft_prefix" + suffix,
+        _rows_sql(
+            CUSTOM_SIDES,
+            f"list_concat({q.cut('a', source - 2)}, [4, 1])",
+            f"list_concat({q.cut('b', target)}, [2])",
+            q.pad("list_concat(x, y)", total, 0),
+            HIDE_PAD.format(q.pad(f"list_concat({q.repeat(0, 'len(x)')}, y)", total, 0)),
+        ),
+    )
+    def _sft_prefix(spark, d):
+        rows, tok = instructions(spark, d), conversation_tokenizer(spark, d)
+        options = dict(keep_source=keep, turn_format=CUSTOM_FORMAT, separator="\n\n", first=1)
+        return as_text(instruct.sft_prefix(rows, source, target, tok, **options), "input_ids", "labels")
 
 
-@query(
-    "sft_bos",
-    _rows_sql(
-        HISTORY_SIDES,
-        f"list_concat({q.cut('a', SOURCE - 1)}, [4])",
-        f"list_concat(list_concat([1], {q.cut('b', TARGET - 2)}), [2])",
-        q.pad("list_concat(x, y)", TOTAL, 0),
-        HIDE_PAD.format(q.pad(f"list_concat({IGNORED_SOURCE}, y)", TOTAL, 0)),
-    ),
-)
-def _sft_bos(spark, d):
-    rows, tok = instructions(spark, d), conversation_tokenizer(spark, d)
-    return as_text(instruct.sft_bos(rows, SOURCE, TARGET, tok, keep_source=("conv_id", "turn")), "input_ids", "labels")
-
-
-@query(
-    "sft_prefix",
-    _rows_sql(
-        CUSTOM_SIDES,
-        f"list_concat({q.cut('a', SOURCE - 2)}, [4, 1])",
-        f"list_concat({q.cut('b', TARGET)}, [2])",
-        q.pad("list_concat(x, y)", TOTAL, 0),
-        HIDE_PAD.format(q.pad(f"list_concat({q.repeat(0, 'len(x)')}, y)", TOTAL, 0)),
-    ),
-)
-def _sft_prefix(spark, d):
-    rows, tok = instructions(spark, d), conversation_tokenizer(spark, d)
-    built = instruct.sft_prefix(
-        rows, SOURCE, TARGET, tok, keep_source=("conv_id", "turn"), turn_format=CUSTOM_FORMAT, separator="\n\n", first=1
-    )
-    return as_text(built, "input_ids", "labels")
+for _suffix, _budget in BUDGETS.items():
+    _sft_queries(_suffix, *_budget)
 
 
 SHARE = "CASE WHEN la + lb = 0 THEN 0 ELSE trunc(32 * (la * 1.0::DOUBLE / (la + lb)))::INT END"
@@ -638,10 +647,21 @@ def _seq2seq_rows(spark, d):
 
 @query(
     "check_sequences",
-    f"WITH {q.PAIRS} SELECT count(*) AS rows, 0::BIGINT AS unequal, 0::BIGINT AS wrong_length FROM pairs",
+    f"""WITH {q.PAIRS} SELECT count(*) AS rows, count(*) FILTER (turn % 3 = 0 AND conv_id % 5 != 0) AS unequal,
+      count(*) FILTER (conv_id % 5 = 0) AS wrong_length FROM pairs""",
 )
 def _check_sequences(spark, d):
-    return instruct.check_sequences(llama_rows(spark, d), TOTAL)
+    """Rows of which some are broken on purpose: labels one short, or both lists two short."""
+    shorter = lambda c, n: F.slice(c, F.lit(1), F.size(c) - n)
+    rows = llama_rows(spark, d)
+    both = F.col("conv_id") % 5 == 0
+    broken = rows.withColumns(
+        {
+            "input_ids": F.when(both, shorter("input_ids", 2)).otherwise(F.col("input_ids")),
+            "labels": F.when(both, shorter("labels", 2)).when(F.col("turn") % 3 == 0, shorter("labels", 1)).otherwise(F.col("labels")),
+        }
+    )
+    return instruct.check_sequences(broken, TOTAL)
 
 
 # --- mini-batches ---------------------------------------------------------------------------------
@@ -699,6 +719,43 @@ DRAWN = f"""{DOCS}, z AS (SELECT doc_id, {SPECIAL} AS ids FROM enc),
                  CASE WHEN chosen THEN x ELSE -100 END AS label, h FROM c)"""
 
 
+def _masked_sql(multiple: int | None) -> str:
+    longest = "max(len(ids)) OVER (PARTITION BY row_idx // 8)"
+    if multiple:
+        longest = f"(({longest}) + {multiple - 1}) // {multiple} * {multiple}"
+    return f"""WITH {LINE_ROWS}, i AS (SELECT row_number() OVER (ORDER BY k) - 1 AS row_idx, ids FROM lrow),
+    p AS (SELECT row_idx, ids, {longest} AS longest FROM i),
+    z AS (SELECT row_idx, {PADDED} AS ids FROM p),
+    t AS (SELECT row_idx, unnest(ids) AS x, generate_subscripts(ids, 1) - 1 AS i FROM z),
+    h AS (SELECT *, md5(concat_ws('-', row_idx, i, {SEED})) AS h FROM t),
+    c AS (SELECT *, x NOT IN (0, 1, 2) AND {q.draw('h', 1)} / 4294967296.0::DOUBLE < 0.15 AS chosen,
+                 {q.draw('h', 9)} / 4294967296.0::DOUBLE AS kind FROM h)
+    SELECT row_idx, row_idx // 8 AS mini_batch_id,
+      string_agg((CASE WHEN NOT chosen THEN x WHEN kind < 0.8 THEN 4 WHEN kind < 0.9 THEN ({q.draw('h', 17)} % {IDS_END})::INT
+                  ELSE x END)::VARCHAR, ' ' ORDER BY i) AS input_ids,
+      string_agg((CASE WHEN chosen THEN x ELSE -100 END)::VARCHAR, ' ' ORDER BY i) AS labels,
+      string_agg((i < n)::INT::VARCHAR, ' ' ORDER BY i) AS attention_mask
+    FROM c JOIN (SELECT row_idx, len(ids) AS n FROM i) USING (row_idx) GROUP BY row_idx"""
+
+
+def masked_batches(spark: SparkSession, d: str, multiple_of: int | None) -> DataFrame:
+    rows = cut_lineage(lines_for_mlm(spark, d, pad_to_max=False), "lines")
+    indexed = with_row_index(rows, ["doc_id", "line_no"], align=8, range_col="rng")
+    batches = collate.collate(indexed, "masked", 8, SP, IDS_END, seed=SEED, multiple_of=multiple_of, within=("rng",))
+    out = batches.select("row_idx", "mini_batch_id", "input_ids", "labels", "attention_mask")
+    return as_text(out, "input_ids", "labels", "attention_mask")
+
+
+@query("collate_mlm", _masked_sql(None))
+def _collate_mlm(spark, d):
+    return masked_batches(spark, d, None)
+
+
+@query("collate_mlm8", _masked_sql(8))
+def _collate_mlm8(spark, d):
+    return masked_batches(spark, d, 8)
+
+
 def masked_documents(spark: SparkSession, d: str) -> DataFrame:
     ids = encoded_documents(spark, d, special=True, special_mask=True, attention_mask=False)
     return collate.mask_tokens(ids, SP, IDS_END, seed=SEED, key="doc_id")
