@@ -1,81 +1,62 @@
-"""Key lookups inside arrays, without exploding the array.
+"""Vocabulary lookups for whole lists, without exploding them.
 
-A map column is searched entry by entry, so a vocabulary must not be one map. The table is cut
-into hash buckets of a few entries each: the bucket is found by position, the entry by a short
-search. The whole table is one constant in the plan, which is why its size is limited; larger
-tables go through ``corpusloom.operators.tokenize.map_arrays``, which joins.
+The table is broadcast in Arrow form, behind a check of its size, and a list of any length is looked
+up by one vectorised call per batch. The same path serves tables of every size up to that limit, in
+batch and in streams; what is larger is joined, which the caller asks for.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-MAX_ENTRIES = 65_536
-MAX_BYTES = 8 << 20
-ENTRIES_PER_BUCKET = 4
+MAX_BYTES = 256 << 20
 
 
 class TableTooLarge(ValueError):
-    """The table does not fit the limits of a plan constant."""
+    """The table exceeds what may be broadcast."""
 
 
-def _checked_json(rows: list, build) -> str:
-    text = json.dumps(build(rows), ensure_ascii=False, separators=(",", ":"))
-    if len(text.encode()) > MAX_BYTES:
-        raise TableTooLarge(f"lookup table has more than {MAX_BYTES} bytes")
-    return text
+def _checked(table: DataFrame, token: str, value: str, max_bytes: int) -> tuple[pa.Array, pa.Array]:
+    """Tokens and ids of a table whose size was summed first."""
+    size = table.agg(F.sum(F.coalesce(F.octet_length(token), F.lit(0)) + 12)).first()[0] or 0
+    if size > max_bytes:
+        raise TableTooLarge(f"the table takes {size} bytes; at most {max_bytes} are broadcast")
+    rows = table.select(F.col(token).alias("t"), F.col(value).cast("int").alias("v")).toArrow()
+    return rows["t"].combine_chunks(), rows["v"].combine_chunks()
 
 
-def _bounded_rows(table: DataFrame, limit: int, *cols: str) -> list[tuple]:
-    rows = table.select(*cols).limit(limit + 1).toArrow().to_pydict()
-    if len(rows[cols[0]]) > limit:
-        raise TableTooLarge(f"lookup table has more than {limit} entries")
-    return list(zip(*[rows[c] for c in cols]))
+def _relist(lists: pa.Array, values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(lists.offsets, values, mask=lists.is_null() if lists.null_count else None)
 
 
-def token_lookup(
-    table: DataFrame, token: str = "token", value: str = "id", limit: int = MAX_ENTRIES
+def token_ids(
+    table: DataFrame, unknown: int | None, token: str = "token", value: str = "id", max_bytes: int | None = None
 ) -> Callable[[Column], Column]:
-    """``token -> id`` as a Column function; null for unknown tokens."""
-    hashed = table.select(F.hash(F.col(token)).alias("h"), F.col(token).alias("t"), F.col(value).alias("v"))
-    rows = _bounded_rows(hashed, limit, "h", "t", "v")
-    buckets = max(1, len(rows) // ENTRIES_PER_BUCKET)
+    """List of tokens -> list of ids; ``unknown`` (or null) where the table lacks a token."""
+    shared = table.sparkSession.sparkContext.broadcast(_checked(table, token, value, max_bytes or MAX_BYTES))
 
-    def build(rows):
-        cells: list[dict] = [{} for _ in range(buckets)]
-        for h, t, v in rows:
-            cells[h % buckets][t] = v
-        return cells
+    @F.arrow_udf("array<int>")
+    def look_up(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        tokens, ids = shared.value
+        for lists in batches:
+            found = ids.take(pc.index_in(lists.values, value_set=tokens))
+            yield _relist(lists, found if unknown is None else found.fill_null(unknown))
 
-    text = _checked_json(rows, build)
+    return look_up
 
-    def lookup(key: Column) -> Column:
-        constant = F.from_json(F.lit(text), "array<map<string,int>>")
-        cell = F.get(constant, F.pmod(F.hash(key), F.lit(buckets)))
-        return F.try_element_at(cell, key)
 
-    return lookup
+def id_tokens(table: DataFrame, token: str = "token", value: str = "id", max_bytes: int | None = None) -> Callable[[Column], Column]:
+    """List of ids -> list of tokens; null for an id that the table lacks. Ids may be sparse."""
+    shared = table.sparkSession.sparkContext.broadcast(_checked(table, token, value, max_bytes or MAX_BYTES))
 
+    @F.arrow_udf("array<string>")
+    def look_up(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        tokens, ids = shared.value
+        for lists in batches:
+            yield _relist(lists, tokens.take(pc.index_in(lists.values, value_set=ids)))
 
-def id_lookup(table: DataFrame, token: str = "token", value: str = "id") -> Callable[[Column], Column]:
-    """``id -> token`` as a Column function; ids are small and dense, so position is the key."""
-    rows = _bounded_rows(table, MAX_ENTRIES, token, value)
-    top = max((i for _, i in rows), default=-1)
-    if top > 4 * MAX_ENTRIES:
-        raise TableTooLarge("ids are too sparse for a positional table")
-
-    def build(rows):
-        names: list[str | None] = [None] * (top + 1)
-        for t, i in rows:
-            names[i] = t
-        return names
-
-    text = _checked_json(rows, build)
-
-    def lookup(key: Column) -> Column:
-        return F.get(F.from_json(F.lit(text), "array<string>"), key)
-
-    return lookup
+    return look_up

@@ -8,7 +8,7 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from corpusloom.functions.lookup import MAX_ENTRIES, TableTooLarge, id_lookup, token_lookup
+from corpusloom.functions.lookup import TableTooLarge, id_tokens, token_ids
 from corpusloom.functions.sequences import (
     Specials,
     add_special,
@@ -30,7 +30,10 @@ class Tokenizer(Protocol):
     model_max_length: int
 
     def with_ids(self, df: DataFrame, texts: dict[str, Column | str], key: str | None = None) -> DataFrame:
-        """Add one id list column per entry of ``texts`` (column name -> text)."""
+        """Add one id list column per entry of ``texts`` (column name -> text).
+
+        ``WordTokenizer`` also takes ``limit``: only so many ids are looked up.
+        """
         ...
 
     def decoded(self, df: DataFrame, ids: str, out: str, key: str | None = None) -> DataFrame:
@@ -45,9 +48,10 @@ def _empty(dtype: str) -> Column:
 class WordTokenizer:
     """Words and single signs looked up in a ``(token, id)`` table; unknown words get ``unk``.
 
-    A table up to the constant limit is looked up inside the row, without a shuffle, in batch and
-    in streams. Above it the most frequent entries (smallest ids) are looked up that way and only
-    the remaining tokens are joined by value; that needs ``key``, a unique row column.
+    The table is broadcast, whatever its size up to ``max_bytes``, and looked up inside the row, in
+    batch and in streams; more is an error. With ``join`` the most frequent entries (smallest ids)
+    are looked up that way and all other tokens are joined by value, for tables of every word of a
+    large corpus; that needs ``key``, a unique row column.
     """
 
     def __init__(
@@ -56,42 +60,49 @@ class WordTokenizer:
         specials: Specials = Specials(),
         model_max_length: int = 1 << 30,
         split: Callable[[Column], Column] = words,
-        max_entries: int = MAX_ENTRIES,
+        join: bool = False,
+        max_bytes: int | None = None,
     ):
         self.vocab = vocab.select("token", F.col("id").cast("int").alias("id"))
         self.specials = specials
         self.model_max_length = model_max_length
         self.split = split
-        self._hot = min(HOT_ENTRIES, max_entries)
-        try:
-            self._lookup, self.bounded = token_lookup(self.vocab, limit=max_entries), True
-        except TableTooLarge:
-            self._lookup, self.bounded = None, False
+        self.join, self.max_bytes = join, max_bytes
+        self._lookup: Callable[[Column], Column] | None = None
         self._decode: Callable[[Column], Column] | None = None
 
-    def tokens(self, text: Column | str) -> Column:
-        return F.coalesce(self.split(as_col(text)), _empty("array<string>"))
+    def tokens(self, text: Column | str, limit: int | None = None) -> Column:
+        tokens = F.coalesce(self.split(as_col(text)), _empty("array<string>"))
+        return tokens if limit is None else cut(tokens, limit)
 
-    def ids(self, text: Column | str) -> Column:
-        """Id list as a Column; only for tables within the limit."""
-        if not self.bounded:
-            raise TableTooLarge("the vocabulary is too large for a column expression; use with_ids with a key")
-        unk = F.lit(self.specials.unk)
-        return F.transform(self.tokens(text), lambda t: F.coalesce(self._lookup(t), unk))
+    def plain(self, text: Column | str) -> Column:
+        """What encoding and decoding give back where every token is known."""
+        return self.text_of(self.tokens(text))
 
-    def with_ids(self, df: DataFrame, texts: dict[str, Column | str], key: str | None = None) -> DataFrame:
-        if self.bounded:
-            return df.withColumns({out: self.ids(text) for out, text in texts.items()})
+    def text_of(self, tokens: Column) -> Column:
+        return F.array_join(tokens, " ")
+
+    def ids(self, text: Column | str, limit: int | None = None) -> Column:
+        """Id list as a Column."""
+        if self._lookup is None:
+            self._lookup = token_ids(self.vocab, self.specials.unk, max_bytes=self.max_bytes)
+        return self._lookup(self.tokens(text, limit))
+
+    def with_ids(
+        self, df: DataFrame, texts: dict[str, Column | str], key: str | None = None, limit: int | None = None
+    ) -> DataFrame:
+        if not self.join:
+            return df.withColumns({out: self.ids(text, limit) for out, text in texts.items()})
         if key is None:
-            raise ValueError("a vocabulary above the limit is joined by row; name the unique row column as key")
+            raise ValueError("a joined vocabulary needs the unique row column as key")
         for out, text in texts.items():
-            df = self._joined_ids(df, out, text, key)
+            df = self._joined_ids(df, out, text, key, limit)
         return df
 
-    def _joined_ids(self, df: DataFrame, out: str, text: Column | str, key: str) -> DataFrame:
+    def _joined_ids(self, df: DataFrame, out: str, text: Column | str, key: str, limit: int | None) -> DataFrame:
         if self._lookup is None:
-            self._lookup = token_lookup(self.vocab.orderBy("id").limit(self._hot))
-        split = df.withColumn("__t", self.tokens(text)).withColumn("__i", F.transform("__t", self._lookup))
+            self._lookup = token_ids(self.vocab.where(F.col("id") < self.specials.first_free + HOT_ENTRIES), None)
+        split = df.withColumn("__t", self.tokens(text, limit)).withColumn("__i", self._lookup(F.col("__t")))
         # Rare tokens in row order: the i-th of them belongs to the i-th gap.
         rare = F.filter("__t", lambda t, i: F.get(F.col("__i"), i).isNull())
         found = (
@@ -123,12 +134,12 @@ class WordTokenizer:
         return self.vocab.unionByName(spark.createDataFrame(names, "token string, id int"))
 
     def decoded(self, df: DataFrame, ids: str, out: str, key: str | None = None) -> DataFrame:
-        if self.bounded:
+        if not self.join:
             if self._decode is None:
-                self._decode = id_lookup(self._named())
-            return df.withColumn(out, F.transform(ids, self._decode))
+                self._decode = id_tokens(self._named(), max_bytes=self.max_bytes)
+            return df.withColumn(out, self._decode(F.col(ids)))
         if key is None:
-            raise ValueError("a vocabulary above the limit is joined by row; name the unique row column as key")
+            raise ValueError("a joined vocabulary needs the unique row column as key")
         found = (
             df.select(key, F.posexplode(ids).alias("pos", "id"))
             .join(self._named(), "id", "left")
@@ -248,6 +259,10 @@ class BpeTokenizer:
     def decoded(self, df: DataFrame, ids: str, out: str, key: str | None = None) -> DataFrame:
         return WordTokenizer.decoded(self._as_words(), df, ids, out, key)
 
+    def plain(self, text: Column | str) -> Column:
+        """What encoding and decoding give back where every symbol is known."""
+        return F.coalesce(as_col(text), F.lit(""))
+
     def _as_words(self) -> WordTokenizer:
         if getattr(self, "_words", None) is None:
             self._words = WordTokenizer(self.vocab, self.specials)
@@ -283,10 +298,13 @@ def encode(
     layout = "sentence" if special is True else special
     keep = list(dict.fromkeys([*keep_source, *([key] if key else [])]))
     text = as_col(text)
-    out = tokenizer.with_ids(df.select(*keep, text.alias("__text")), {"input_ids": "__text"}, key).drop("__text")
-    ids = F.col("input_ids")
-    if max_length is not None:
-        ids = cut(ids, max_length - (2 if layout else 0))
+    rows, ids = df.select(*keep, text.alias("__text")), F.col("input_ids")
+    limit = None if max_length is None else max_length - (2 if layout else 0)
+    if isinstance(tokenizer, WordTokenizer):
+        out = tokenizer.with_ids(rows, {"input_ids": "__text"}, key, limit).drop("__text")
+    else:
+        out = tokenizer.with_ids(rows, {"input_ids": "__text"}, key).drop("__text")
+        ids = ids if limit is None else cut(ids, limit)
     if layout:
         ids = add_special(ids, sp, layout)
     out = out.withColumn("input_ids", ids)
@@ -309,21 +327,21 @@ def decode(
     df = tokenizer.decoded(df, ids, out, key)
     if per_token:
         return df
-    if isinstance(tokenizer, BpeTokenizer):
-        return df.withColumn(out, tokenizer.text_of(F.col(out)))
-    return df.withColumn(out, F.array_join(out, " "))
+    return df.withColumn(out, tokenizer.text_of(F.col(out)))
 
 
-def roundtrip_report(df: DataFrame, text: str, tokenizer: WordTokenizer, key: str | None = None) -> DataFrame:
+def roundtrip_report(
+    df: DataFrame, text: str, tokenizer: WordTokenizer | BpeTokenizer, key: str | None = None
+) -> DataFrame:
     """Encode, decode and compare: one row with mismatching rows, unknown tokens and sizes."""
     keep = (key,) if key else ()
-    df = df.select(*keep, F.col(text).alias("__text"), F.array_join(tokenizer.tokens(text), " ").alias("__want"))
+    df = df.select(*keep, F.col(text).alias("__text"), tokenizer.plain(text).alias("__want"))
     df = tokenizer.decoded(tokenizer.with_ids(df, {"__ids": "__text"}, key), "__ids", "__back", key)
     unknown = F.size(F.filter("__ids", lambda x: x == tokenizer.specials.unk))
     tokens, chars = F.sum(F.size("__ids")), F.sum(F.length("__text"))
     return df.agg(
         F.count("*").alias("rows"),
-        F.count_if(F.array_join("__back", " ") != F.col("__want")).alias("mismatched_rows"),
+        F.count_if(tokenizer.text_of(F.col("__back")) != F.col("__want")).alias("mismatched_rows"),
         tokens.alias("tokens"),
         F.sum(unknown).cast("bigint").alias("unknown_tokens"),
         F.round(F.sum(unknown) / F.nullif(tokens, F.lit(0)), 6).alias("unknown_rate"),

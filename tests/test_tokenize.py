@@ -3,10 +3,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.functions.lookup import TableTooLarge, id_lookup, token_lookup
+from corpusloom.functions.lookup import TableTooLarge
 from corpusloom.functions.sequences import Specials
 from corpusloom.functions.text import words
-from corpusloom.operators import bpe, vocab as vocabulary
+from corpusloom.operators import bpe, tokenize, vocab as vocabulary
 from corpusloom.operators.tokenize import (
     BpeTokenizer,
     WordTokenizer,
@@ -46,38 +46,41 @@ def test_ranked_by_count_then_token(spark, vocab, docs):
 
 
 @pytest.mark.parametrize("size", [None, 4])
-@pytest.mark.parametrize("limit", [65_536, 3, 1])
-def test_large_vocabularies_are_joined_with_the_same_result(spark, docs, size, limit):
+@pytest.mark.parametrize("join,hot", [(False, 0), (True, 3), (True, 0)])
+def test_joined_vocabularies_give_the_same(spark, docs, size, join, hot, monkeypatch):
+    monkeypatch.setattr(tokenize, "HOT_ENTRIES", hot)
     table = vocabulary.word_vocab(docs, "text", size)
     ids = {r.token: r.id for r in table.collect()}
-    tok = WordTokenizer(table, max_entries=limit)
-    assert tok.bounded == (len(ids) <= limit)
+    tok = WordTokenizer(table, join=join)
     token_lists = {r.i: r.w for r in docs.select("i", F.coalesce(words("text"), F.array().cast("array<string>")).alias("w")).collect()}
-    got = {r.i: r.input_ids for r in encode(docs, "text", tok, keep_source=("i",), key="i").collect()}
-    assert got == {i: [ids.get(t, 3) for t in ts] for i, ts in token_lists.items()}
+    for limit in (None, 3):
+        got = {r.i: r.input_ids for r in encode(docs, "text", tok, max_length=limit, keep_source=("i",), key="i").collect()}
+        assert got == {i: [ids.get(t, 3) for t in ts[:limit]] for i, ts in token_lists.items()}
     back = decode(encode(docs, "text", tok, keep_source=("i",), key="i"), "input_ids", tok, key="i")
     assert {r.i: r.text for r in back.collect()} == {
         i: " ".join(t if t in ids else "<unk>" for t in ts) for i, ts in token_lists.items()
     }
 
 
-def test_joined_lookup_needs_a_key(docs, vocab):
-    tok = WordTokenizer(vocab, max_entries=2)
+def test_a_joined_lookup_needs_a_key(docs, vocab):
     with pytest.raises(ValueError, match="key"):
-        encode(docs, "text", tok)
-    with pytest.raises(TableTooLarge):
-        tok.ids("text")
+        encode(docs, "text", WordTokenizer(vocab, join=True))
 
 
-def test_lookups_are_limited(spark, monkeypatch):
-    from corpusloom.functions import lookup
+def test_broadcast_tables_are_limited(docs, vocab):
+    tok = WordTokenizer(vocab, max_bytes=20)
+    for call in (lambda: tok.ids("text"), lambda: decode(docs.select(F.array(F.lit(5)).alias("l")), "l", tok)):
+        with pytest.raises(TableTooLarge):
+            call()
 
-    table = spark.createDataFrame([("x" * 50, 1), ("y", 2)], "token string, id int")
-    monkeypatch.setattr(lookup, "MAX_BYTES", 20)
-    with pytest.raises(TableTooLarge):
-        token_lookup(table)
-    with pytest.raises(TableTooLarge):
-        id_lookup(table.withColumn("id", F.lit(10**9)))
+
+def test_a_large_vocabulary_with_sparse_ids(spark):
+    table = spark.range(100_000).select(F.concat(F.lit("w"), "id").alias("token"), (F.col("id") * 7 + 5).cast("int").alias("id"))
+    tok = WordTokenizer(table)
+    text = "w0 w65531 nothing w65536 w99999"
+    ids = encode(spark.createDataFrame([(text,), (None,)], "text string"), "text", tok)
+    assert sorted(r.input_ids for r in ids.collect()) == [[], [5, 65531 * 7 + 5, 3, 65536 * 7 + 5, 99999 * 7 + 5]]
+    assert sorted(r.text for r in decode(ids, "input_ids", tok).collect()) == ["", text.replace("nothing", "<unk>")]
 
 
 def test_encode_options(spark, docs, vocab):
