@@ -38,6 +38,7 @@ TREES, DEPTH, RECALL = 32, 8, 0.9999
 LABEL = 2  # bytes
 BLOCK_ROWS, BLOCK_GRAMS = 512, 1 << 20
 SIZE_STEP = 1.26  # a little over 1 / 0.8: linked sets are in the same or the next size class
+PAGE, BITS_EACH, MOST_BITS = 1 << 15, 8, 1 << 27
 WORDS = re.compile(WORD)
 STEP = 4_096
 ADDED = ("class_id", "n_copies", "n_links")
@@ -225,6 +226,26 @@ def blocks(members: DataFrame) -> DataFrame:
     return dealt.select("cluster", "key", "n_copies", "grams", F.inline(every))
 
 
+def maybe_among(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows that may have a partner in ``wanted`` by ``keys``, told by a bitmap of hashes.
+
+    The bitmap has about ``BITS_EACH`` bits for each wanted row and at most ``MOST_BITS`` (16 MB), so
+    it can be broadcast whatever the input; the join that follows is exact. It keeps the texts of
+    all other documents out of the shuffle.
+    """
+    bits = 1 << min(MOST_BITS.bit_length() - 1, max(PAGE.bit_length() - 1, (BITS_EACH * wanted.count()).bit_length()))
+    place = F.pmod(F.xxhash64(*keys), F.lit(bits))
+    pages = (
+        wanted.select((place / PAGE).cast("int").alias("__page"), (place % PAGE).alias("__bit"))
+        .groupBy("__page")
+        .agg(F.bitmap_construct_agg("__bit").alias("__bitmap"))
+    )
+    placed = rows.withColumns({"__page": (place / PAGE).cast("int"), "__bit": (place % PAGE).cast("int")})
+    byte = F.conv(F.hex(F.substring("__bitmap", F.expr("__bit div 8").cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = placed.join(F.broadcast(pages), "__page").withColumn("__byte", byte).where(F.expr("shiftright(__byte, __bit % 8) & 1 = 1"))
+    return found.select(*rows.columns)
+
+
 def jaccard_classes(
     docs: DataFrame, n: int = 5, threshold: float = 0.8, text: str = "text", key: str = "doc_id"
 ) -> DataFrame:
@@ -262,7 +283,8 @@ def jaccard_classes(
     found = docs.select(F.col(key).alias("first_id"), words_key(F.col(text)).alias("key"), text_of(text).alias("text"))
     no_id = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     found = found.withColumn("at", no_id("first_id")).drop("first_id")
-    texts = found.join(wanted.withColumn("at", no_id("first_id")).drop("first_id"), ["key", "at"])
+    wanted = wanted.withColumn("at", no_id("first_id")).drop("first_id")
+    texts = maybe_among(found, wanted, ["key", "at"]).join(wanted, ["key", "at"])
     members = texts.dropDuplicates(["key", "at"]).select("key", "cluster", "n_copies", shingled("text").alias("grams"))
     members = cut_lineage(members.withColumn("size", F.size("grams")), "join-members")
     found = blocks(members).groupBy("cluster", "pair").applyInPandas(

@@ -76,6 +76,16 @@ def test_small_blocks_give_the_same(spark, monkeypatch, size):
     assert got(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
 
 
+@pytest.mark.parametrize("most", [1 << 15, 1 << 17])
+def test_the_bitmap_loses_nothing(spark, monkeypatch, most):
+    monkeypatch.setattr(j, "MOST_BITS", most)
+    wanted = spark.range(0, 9_000, 3).select(F.col("id").alias("a"), F.concat(F.lit("k"), "id").alias("b"))
+    rows = spark.range(9_000).select(F.col("id").alias("a"), F.concat(F.lit("k"), "id").alias("b"), F.lit("x").alias("c"))
+    kept = {r.a for r in j.maybe_among(rows, wanted, ["a", "b"]).collect()}
+    assert set(range(0, 9_000, 3)) <= kept and len(kept) < 4_500
+    assert j.maybe_among(rows, wanted.limit(0), ["a", "b"]).count() == 0
+
+
 def test_one_of_each(spark):
     rows = near_copies(3, 6, 5) + [(0, near_copies(3, 6, 5)[0][1]), (None, "lone words here"), (50_000, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("__key", F.lit("clash"))
