@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
@@ -13,25 +13,22 @@ Schema = T.StructType | str | None
 COMPRESSED = (".gz", ".bz2", ".zst", ".lz4", ".snappy", ".deflate")
 
 
-def _ends_without_newline(spark: SparkSession, files: list[str]) -> list[str]:
-    """Files whose last byte is no line break; one byte is read per file."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+def _by_last_line(spark: SparkSession, path: str | list[str]) -> tuple[list[str], list[str]]:
+    """Files that end in a line break, and files that do not; Spark adds up the bytes of each.
 
-    def ragged(file: str) -> bool:
-        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file))
-        fs = path.getFileSystem(conf)
-        size = fs.getFileStatus(path).getLen()
-        if size == 0:
-            return False
-        stream = fs.open(path)
-        try:
-            stream.seek(size - 1)
-            return stream.read() not in (10, 13)
-        finally:
-            stream.close()
-
-    with ThreadPoolExecutor(32) as pool:
-        return [f for f, is_ragged in zip(files, pool.map(ragged, files)) if is_ragged]
+    A file is as long as its lines with one break behind each. One byte less says that the last
+    break is missing, unless the last line ends in ``\\r``.
+    """
+    at = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), "value", at.alias("at")
+    )
+    sums = lines.groupBy("file", "size").agg(
+        F.sum(F.octet_length("value") + 1).alias("bytes"), F.max_by(F.col("value").endswith("\r"), "at").alias("cr")
+    )
+    found = sums.select("file", ((F.col("bytes") > F.col("size")) & ~F.col("cr")).alias("ragged")).collect()
+    names = lambda ragged: [unquote(r.file) for r in found if r.ragged == ragged]
+    return names(False), names(True)
 
 
 def read_text(spark: SparkSession, path: str | list[str], keep_linebreaks: bool = True, position: bool = False) -> DataFrame:
@@ -48,12 +45,11 @@ def read_text(spark: SparkSession, path: str | list[str], keep_linebreaks: bool
     )
     lines = raw.select(F.col("value").alias("text"), src.alias("src"))
     if keep_linebreaks:
-        files = raw.inputFiles()
-        packed = [f for f in files if f.endswith(COMPRESSED)]
+        packed = [f for f in raw.inputFiles() if f.endswith(COMPRESSED)]
         if packed:
             raise ValueError(f"the end of a compressed file cannot be looked at, read without line breaks: {packed[0]}")
         broken = F.concat("text", F.lit("\n"))
-        ragged = _ends_without_newline(spark, files)
+        whole, ragged = _by_last_line(spark, path)
         if ragged:
             # The last line is the largest position of its file. A repeated scan may cut the
             # files elsewhere, so the rows of these files are written down first.
@@ -62,7 +58,6 @@ def read_text(spark: SparkSession, path: str | list[str], keep_linebreaks: bool
             ends = fixed.join(last, F.col("src") == F.col("last"), "left").select(
                 F.when(F.col("last").isNull(), broken).otherwise(F.col("text")).alias("text"), "src"
             )
-            whole = [f for f in files if f not in set(ragged)]
             lines = ends
             if whole:
                 rest = spark.read.text(whole).select(F.col("value").alias("text"), src.alias("src"))
@@ -72,9 +67,13 @@ def read_text(spark: SparkSession, path: str | list[str], keep_linebreaks: bool
     return lines if position else lines.select("text")
 
 
-def read_csv(spark: SparkSession, path: str | list[str], schema: Schema = None) -> DataFrame:
-    """CSV with a header; quoted line breaks and doubled quotes are part of the value."""
-    reader = spark.read.options(header=True, multiLine=True, escape='"')
+def read_csv(spark: SparkSession, path: str | list[str], schema: Schema = None, multi_line: bool = True) -> DataFrame:
+    """CSV with a header; quoted line breaks and doubled quotes are part of the value.
+
+    Quoted line breaks keep a file in one task, whatever its size; turn ``multi_line`` off for large
+    files that have none, and Spark splits them.
+    """
+    reader = spark.read.options(header=True, multiLine=multi_line, escape='"')
     return (reader.schema(schema) if schema is not None else reader.option("inferSchema", True)).csv(path)
 
 

@@ -21,6 +21,7 @@ def texts(df):
         ("a\n\nb\n", ["\n", "a\n", "b\n"], ["", "a", "b"]),
         ("x\nx\nx", ["x", "x\n", "x\n"], ["x", "x", "x"]),
         ("", [], []),
+        ("a\rb\r", ["a\n", "b\n"], ["a", "b"]),
     ],
 )
 def test_text(spark, tmp_path, data, kept, bare):
@@ -33,7 +34,7 @@ def test_text(spark, tmp_path, data, kept, bare):
 def test_text_files_with_and_without_a_last_newline(spark, tmp_path):
     (tmp_path / "a.txt").write_text("a1\na2\n")
     (tmp_path / "b.txt").write_text("b1\nb2")
-    (tmp_path / "c.txt").write_text("c1")
+    (tmp_path / "c 1%.txt").write_text("c1")
     df = sources.read_text(spark, str(tmp_path), position=True)
     assert texts(df) == ["a1\n", "a2\n", "b1\n", "b2", "c1"]
     assert [r.text for r in df.orderBy("src").collect()] == ["a1\n", "a2\n", "b1\n", "b2", "c1"]
@@ -64,6 +65,9 @@ def test_csv(spark, tmp_path):
     (tmp_path / "a.csv").write_text('text,n\n"one\ntwo",1\n"say ""hi""",2\n,3\n')
     rows = sources.read_csv(spark, str(tmp_path / "a.csv"), "text string, n int").orderBy("n").collect()
     assert [r.text for r in rows] == ["one\ntwo", 'say "hi"', None]
+    (tmp_path / "b.csv").write_text('text,n\n"say ""hi""",2\n,3\n')
+    flat = sources.read_csv(spark, str(tmp_path / "b.csv"), "text string, n int", multi_line=False).orderBy("n")
+    assert [r.text for r in flat.collect()] == ['say "hi"', None]
     assert sources.read_csv(spark, str(tmp_path / "a.csv")).dtypes == [("text", "string"), ("n", "int")]
 
 
