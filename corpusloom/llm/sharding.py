@@ -24,8 +24,8 @@ from corpusloom.llm.common import text_of, without
 from corpusloom.operators.order import with_row_index
 from corpusloom.session import cut_lineage
 
-CELLS = 4_096
-TOLERANCE = 0.01
+CELLS, TEXT_CELLS = 4_096, 65_536
+TOLERANCE = 0.02
 MAX_SHARDS = 100_000
 ADDED = ("size", "text_crc32", "shard", "slot")
 
@@ -67,7 +67,7 @@ def points(docs: DataFrame, text: str, key: str, categories: tuple[str, ...]) ->
     out = coded.select("__key", *group).join(least, group)
     out = out.withColumns(
         {
-            "__text_cell": F.pmod(F.xxhash64("text_hash", "text_crc32"), F.lit(CELLS)).cast("int"),
+            "__text_cell": F.pmod(F.xxhash64("text_hash", "text_crc32"), F.lit(TEXT_CELLS)).cast("int"),
             "__row_cell": F.pmod(F.xxhash64("__key", "text_hash", F.lit(1)), F.lit(CELLS)).cast("int"),
         }
     )
@@ -105,7 +105,7 @@ def kd_shards(rows: DataFrame, dims: list[str], shards: int) -> DataFrame:
     if not 1 <= shards <= MAX_SHARDS:
         raise ValueError(f"shards must be between 1 and {MAX_SHARDS}")
     placed = rows.withColumns({"node": F.lit(0), "first": F.lit(0)})
-    open_nodes = {0: shards}
+    open_nodes = {0: shards} if shards > 1 else {}
     per_shard = (rows.agg(F.sum("size")).first()[0] or 0) / shards
     schema = "node int, dim int, cell int, text_cell int, row_cell int, left int, right int, skip int"
     while open_nodes:

@@ -33,12 +33,13 @@ def test_near_equal_bytes(spark, shards):
     df = spark.createDataFrame(given, "doc_id long, text string, lang string, source string").withColumns({"shard": F.lit("old"), "node": F.lit(1)})
     out = sharding.shard_documents(df.repartition(4), shards=shards).collect()
     check(out, given, shards, 0.07)
-    by_text = {}
-    texts = {k: t for k, t, _, _ in given if k}
+    # Equal texts stay together unless a border runs through a group of more than the tolerance.
+    by_text, texts = {}, {k: t for k, t, _, _ in given if k}
     for r in out:
         if r.doc_id:
-            by_text.setdefault(texts[r.doc_id], set()).add(r.shard)
-    assert all(len(s) == 1 for s in by_text.values())
+            by_text.setdefault(texts[r.doc_id], []).append(r)
+    light = 2 * sharding.TOLERANCE * sum(r.size for r in out) / shards
+    assert all(len({r.shard for r in g}) == 1 for g in by_text.values() if sum(r.size for r in g) <= light)
 
 
 def test_a_hot_text_is_divided(spark):
