@@ -40,7 +40,7 @@ BLOCK_ROWS, BLOCK_GRAMS = 512, 1 << 20
 SIZE_STEP = 1.26  # a little over 1 / 0.8: linked sets are in the same or the next size class
 PAGE, BITS_EACH, MOST_BITS = 1 << 15, 8, 1 << 27
 WORDS = re.compile(WORD)
-STEP = 4_096
+STEP, KNOWN_WORDS, HANDED_BACK = 4_096, 100_000, 500
 ADDED = ("class_id", "n_copies", "n_links")
 _RNG = np.random.default_rng(20240229)
 MULTIPLIERS = _RNG.integers(1, 1 << 63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -63,7 +63,7 @@ class Shingler:
 
     def __call__(self, text: str) -> np.ndarray:
         """Sorted distinct n-gram hashes of a text."""
-        if len(self.known) > 500_000:
+        if len(self.known) > KNOWN_WORDS:
             self.known.clear()
         known, hashes = self.known, []
         for w in WORDS.findall(text):
@@ -268,7 +268,8 @@ def jaccard_classes(
     def shingled(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         shingle = Shingler(n)
         for batch in batches:
-            yield pd.Series([shingle(t).view(np.int64) for t in batch])
+            for at in range(0, len(batch), HANDED_BACK):
+                yield pd.Series([shingle(t).view(np.int64) for t in batch[at : at + HANDED_BACK]])
 
     rows = docs.select(F.col(key).alias("doc_id"), words_key(F.col(text)).alias("key"), labelled(text_of(text)).alias("labels"))
     rows = cut_lineage(rows, "join-rows")
