@@ -151,5 +151,6 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for batch in batches:
             yield pd.DataFrame([shared.value.predict(t) for t in batch], columns=list(ADDED))
 
-    out = without(docs, *ADDED, "__told").withColumn("__told", told(text_of(text)))
+    # Not moved or repeated by the optimiser: a filter on the result would else run it twice.
+    out = without(docs, *ADDED, "__told").withColumn("__told", told.asNondeterministic()(text_of(text)))
     return out.select("*", *[F.col(f"__told.{c}").alias(c) for c in ADDED]).drop("__told")
