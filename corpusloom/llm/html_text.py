@@ -10,8 +10,8 @@ indentation for list items, line breaks, preformatted text as it stands, and cel
 column widths.
 
 Defined cases: null and empty pages give an empty text; broken markup never fails: a stray ``<`` is
-text, an end tag without a start is left out, unclosed elements end with the page; depth and
-length are limited by memory alone, since nothing recurses. Pages are independent, so ties and
+text, a stray quote inside a tag is an ordinary character, an end tag without a start is left out,
+unclosed elements end with the page; depth and length are limited by memory alone, since nothing recurses. Pages are independent, so ties and
 repeated rows need no rule, and an empty table stays empty. Extra columns stay; those that clash
 with the added ones are replaced.
 """
@@ -29,13 +29,20 @@ from pyspark.sql import DataFrame, functions as F
 
 from corpusloom.llm.common import text_of, without
 
+# Attributes as the standard reads them: a quote opens a value right behind ``=`` only, elsewhere it
+# is part of a name or of an unquoted value, and ``>`` ends the tag.
+BLANK = r" \t\n\r\f"
+NAME = rf"[^{BLANK}/>][^{BLANK}/>=]*"
+EQUALS = rf"[{BLANK}]*=[{BLANK}]*"
+UNQUOTED = rf"""[^{BLANK}>"'][^{BLANK}>]*"""
 TOKEN = re.compile(
     r"<!--(?:.*?--!?>|.*\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|</(?P<end>[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)"
-    r"""|<(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)""",
+    rf"|<(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[{BLANK}/]+|{NAME}"
+    rf"""(?:{EQUALS}(?:"[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|{UNQUOTED})?)?)*+)(?:>|\Z)""",
     re.S,
 )
-ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"?|'([^']*)'?|([^\s>]+)))?""")
+ATTRIBUTE = re.compile(rf"""({NAME})(?:{EQUALS}(?:"([^"]*)"?|'([^']*)'?|({UNQUOTED}))?)?""")
 UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 SPACES = re.compile(r"[ \t\n\r\f]+")
 

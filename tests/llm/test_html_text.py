@@ -43,6 +43,31 @@ def test_layout(page):
     assert html_text.visible_text(page) == CASES[page]
 
 
+STRAY_QUOTES = {
+    '<p><a href="x"">first</a> second <b class="y">third</b> <i id="k">fourth</i> fifth</p> sixth': "first second third fourth fifth\n\nsixth",
+    '<p "><b>first</b> second</p><p>third</p>': "first second\n\nthird",
+    "<a title=don't href=x>first</a> second <i>it's end</i>": "first second it's end",
+    "<a href='x''>one</a> two's": "one two's",
+    "<a href=x\">one</a> two": "one two",
+    '<p a"b=c>one</p>"two"': 'one\n\n"two"',
+    '<p =">one</p>two': "one\n\ntwo",
+    '<p a= "x > y" b>one</p>': "one",
+    "<p a=>one</p>'two'": "one\n\n'two'",
+    '<a title="a"hidden>no</a>yes': "yes",
+    "<img alt=it's/>'s": "it's/'s",
+    '<b/"/>one</b> "two"': 'one "two"',
+}
+
+
+@pytest.mark.parametrize("page", STRAY_QUOTES, ids=range(len(STRAY_QUOTES)))
+def test_stray_quotes_swallow_no_text(page):
+    assert html_text.visible_text(page) == STRAY_QUOTES[page]
+
+
+def test_many_quotes_take_time_in_proportion():
+    assert html_text.visible_text("<p " + "\" ' = a= " * 100_000 + ">text") == "text"
+
+
 def test_deep_long_and_broken_pages():
     assert html_text.visible_text("<div>" * 100_000 + "deep") == "deep"
     assert html_text.visible_text("<p>x" * 20_000).count("x") == 20_000
