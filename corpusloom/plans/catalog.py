@@ -952,8 +952,13 @@ def _clean_answer(spark, d):
 
 
 def streamed(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A table as a stream, be it one file or a folder of files."""
     present = table(spark, d, name)
-    stream = read_stream(spark, d, "parquet", present.schema, pathGlobFilter=f"{name}.parquet")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/{name}.parquet")
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(folder).isDirectory():
+        stream = read_stream(spark, f"{d}/{name}.parquet", "parquet", present.schema)
+    else:
+        stream = read_stream(spark, d, "parquet", present.schema, pathGlobFilter=f"{name}.parquet")
     return stream.repartition(spark.sparkContext.defaultParallelism) if is_small(present) else stream
 
 

@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import types as T
 
 from corpusloom.operators.order import Keys, with_row_index
-from corpusloom.operators.pack import BATCH_ROWS, pack
+from corpusloom.operators.pack import BATCH_ROWS, _pieces, pack
 from corpusloom.session import cut_lineage
 
 
-EMITTED = 10_000  # blocks per batch handed back
-
-
 def packed_batches(
     path: str, block_size: int, order_by: Keys, batch_rows: int = BATCH_ROWS, **options
 ) -> Callable[[DataFrame, int], None]:
@@ -34,20 +31,101 @@ def packed_batches(
     return write
 
 
-def _carry_blocks(block_size: int, by: str, column: str, order: str):
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        tail, made = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
-        # The rows of a key come in several Arrow batches of no order.
-        rows = pd.concat([batch[[order, column]] for batch in batches], ignore_index=True).sort_values(order, kind="stable")
-        ids = np.concatenate([np.asarray(tail, np.int64), *rows[column]]).astype(np.int64)
-        full = len(ids) // block_size
-        for at in range(0, full, EMITTED):
-            blocks = list(ids[: full * block_size].reshape(full, block_size)[at : at + EMITTED])
-            number = range(made + at, made + at + len(blocks))
-            yield pd.DataFrame({by: [key[0]] * len(blocks), "block_id": number, column: blocks, "labels": blocks})
-        state.update(([int(i) for i in ids[full * block_size :]], made + full))
+@dataclass(frozen=True)
+class CarriedBlocks:
+    """Blocks of a stream whose rest is carried on per value of ``by``; ``run_available`` writes them."""
+
+    rows: DataFrame
+    block_size: int
+    by: str
+    column: str
+    order: str
+
+    @property
+    def sparkSession(self) -> SparkSession:
+        return self.rows.sparkSession
+
+    @property
+    def schema(self) -> T.StructType:
+        ids = T.ArrayType(T.IntegerType())
+        fields = [(self.by, self.rows.schema[self.by].dataType), ("block_id", T.LongType()), (self.column, ids), ("labels", ids)]
+        return T.StructType([T.StructField(name, kind) for name, kind in fields])
+
+    def writer(self, path: str, checkpoint: str) -> Callable[[DataFrame, int], None]:
+        """``foreachBatch`` function: blocks of one micro-batch below ``path``, the rest below ``checkpoint``.
+
+        A micro-batch reads the rest that the one before left and overwrites the folders of its own,
+        so one that is run again after a failure gives the same. Two rests are kept in turn.
+        """
+        state = f"{checkpoint.rstrip('/')}/carry"
+        kept = T.StructType([self.schema[self.by], T.StructField("made", T.LongType()), T.StructField("tail", self.schema[self.column].dataType)])
+
+        def write(batch: DataFrame, batch_no: int) -> None:
+            spark = batch.sparkSession
+            ids = F.coalesce(F.col(self.column).cast("array<int>"), F.array().cast("array<int>"))
+            rows = batch.select(
+                F.col(self.by).alias("by"), F.lit(1).alias("turn"), F.col(self.order).alias("order"), ids.alias("ids"), F.lit(0).cast("bigint").alias("made")
+            )
+            if batch_no:
+                # The rest goes before all rows of its value, at the place its first token has in the whole stream.
+                before = spark.read.schema(kept).parquet(f"{state}/{(batch_no - 1) % 2}")
+                none = F.lit(None).cast(rows.schema["order"].dataType)
+                rows = rows.unionByName(
+                    before.select(F.col(self.by).alias("by"), F.lit(0).alias("turn"), none.alias("order"), F.col("tail").alias("ids"), "made")
+                )
+            rows = rows.withColumns({"n": F.size("ids").cast("bigint"), "tie": F.xxhash64("ids")})
+            placed, totals = _places(cut_lineage(rows, "micro-batch"), self.block_size)
+            pieces = _pieces(placed, ["ids"], self.block_size, F.col("end"), ["by"], "row")
+            blocks = cut_lineage(pieces, "carried-blocks")
+            whole = F.size("ids") == self.block_size
+            out = blocks.where(whole).select(
+                F.col("by").alias(self.by), "block_id", F.col("ids").alias(self.column), F.col("ids").alias("labels")
+            )
+            out.write.mode("overwrite").parquet(f"{path}/micro_batch={batch_no}")
+            rest = blocks.where(~whole).select(F.col("by").alias("of"), F.col("ids").alias("tail"))
+            left = totals.join(rest, F.col("by").eqNullSafe(F.col("of")), "left").select(
+                F.col("by").alias(self.by),
+                F.expr(f"total div {self.block_size}").alias("made"),
+                F.coalesce("tail", F.array().cast("array<int>")).alias("tail"),
+            )
+            left.write.mode("overwrite").parquet(f"{state}/{batch_no % 2}")
+
+        return write
+
+    def run(self, path: str, checkpoint: str) -> DataFrame:
+        """Pack what the stream has now and read all blocks written so far."""
+        write = self.writer(path, checkpoint)
+        stream = self.rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+        stream.trigger(availableNow=True).start().awaitTermination()
+        spark = self.sparkSession
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+            return spark.createDataFrame([], self.schema)
+        return spark.read.schema(self.schema).parquet(path).select(*self.schema.names)
+
+
+def _places(rows: DataFrame, block_size: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with ``row``, ``start`` and ``end``, the token positions in their value of ``by``; and the total per value.
 
-    return step
+    Positions count from the first token of the stream: a row weighs its tokens and those of the
+    ``made`` blocks before it. Rows are put in order by range, so a value with many rows is spread
+    over many tasks; at most one value of a range has rows in the ranges before it.
+    """
+    keys = ["by", "turn", F.col("order").isNull(), "order", "tie"]
+    indexed = with_row_index(rows, keys, "row", range_col="part")
+    indexed = indexed.withColumn("weight", F.col("n") + F.col("made") * block_size)
+    sums = cut_lineage(indexed.groupBy("part", "by").agg(F.sum("weight").alias("weight")), "carried-sums")
+    before = Window.partitionBy("by").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(F.col("part").alias("in_part"), F.col("by").alias("of"), F.sum("weight").over(before).alias("offset"))
+    offsets = F.broadcast(offsets.where(F.col("offset").isNotNull()))
+    inside = Window.partitionBy("part", "by").orderBy("row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = (
+        indexed.withColumn("run", F.sum("weight").over(inside))
+        .join(offsets, (F.col("part") == F.col("in_part")) & F.col("by").eqNullSafe(F.col("of")), "left")
+        .withColumn("end", F.coalesce("offset", F.lit(0)) + F.col("run"))
+        .withColumn("start", F.col("end") - F.col("n"))
+    )
+    return placed.select("by", "row", "n", "ids", "start", "end"), sums.groupBy("by").agg(F.sum("weight").alias("total"))
 
 
 def pack_stream(
@@ -69,26 +147,16 @@ def pack_stream(
     ``path``; the rest of each batch of rows is dropped. Returns the started query, which handles
     what is there now and stops.
 
-    With ``carry`` the result is a streaming frame: the rest is kept per value of ``by`` for the
-    next micro-batch and no token is lost. The state of a value is less than one block. ``by``
-    should have many values of similar size; for a source that dominates use a hash shard. The rows
-    that one value has in one micro-batch are put in order together, so a task holds as many; the
-    files per trigger bound them.
+    With ``carry`` the result is for ``run_available``: the rest is kept per value of ``by`` for the
+    next micro-batch and no token is lost. The state of a value is less than one block and a count.
+    A value may hold any share of the rows: they are put in order by range and cut into pieces of
+    blocks in Spark, so no task holds a value whole. Rows of a value with equal ``order`` are put in
+    the order of their hashes.
     """
     if not df.isStreaming:
         raise ValueError("pack_stream needs a streaming frame; use pack for tables")
     if carry:
-        return (
-            df.select(by, order, column)
-            .groupBy(by)
-            .applyInPandasWithState(
-                _carry_blocks(block_size, by, column, order),
-                f"`{by}` {df.schema[by].dataType.simpleString()}, block_id bigint, `{column}` array<int>, labels array<int>",
-                "tail array<int>, made bigint",
-                "append",
-                "NoTimeout",
-            )
-        )
+        return CarriedBlocks(df.select(by, order, column), block_size, by, column, order)
     return (
         df.writeStream.foreachBatch(packed_batches(path, block_size, order_by, batch_rows, **options))
         .option("checkpointLocation", checkpoint)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from corpusloom.streaming.pack import CarriedBlocks
+
 FORMATS = ("json", "csv", "text", "parquet")
 
 
@@ -35,8 +37,10 @@ def read_stream(
     return out.withColumnRenamed("value", "text") if fmt == "text" and schema is None else out
 
 
-def run_available(df: DataFrame, path: str, checkpoint: str) -> DataFrame:
+def run_available(df: DataFrame | CarriedBlocks, path: str, checkpoint: str) -> DataFrame:
     """Write everything a stream has now to parquet and read it back."""
+    if isinstance(df, CarriedBlocks):
+        return df.run(path, checkpoint)
     query = (
         df.writeStream.format("parquet")
         .option("path", path)

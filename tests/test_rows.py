@@ -12,8 +12,9 @@ from corpusloom.operators.conversation import turn_pairs, turns_to_instructions,
 from corpusloom.operators.pack import pack
 from corpusloom.operators.templates import apply_template
 from corpusloom.operators.tokenize import WordTokenizer, encode
+from corpusloom.plans.catalog import streamed
 from corpusloom.streaming import pack_stream, read_stream, run_available
-from corpusloom.streaming.pack import shard
+from corpusloom.streaming.pack import _places, shard
 
 SP = Specials()
 
@@ -232,6 +233,38 @@ def test_carry_keeps_the_order_over_arrow_batches(spark, tmp_path):
     assert [t for b in blocks for t in b] == list(range(399))
 
 
+def test_carry_spreads_one_value_over_many_tasks(spark, tmp_path):
+    """One value with nearly all rows, a null value, empty rows; over three micro-batches and a restart."""
+    rnd = random.Random(5)
+    rows = [{"k": i, "source": rnd.choice(["hot"] * 9 + ["cold", None]), "ids": [rnd.randrange(99)] * rnd.choice([0, 1, 5, 40])} for i in range(600)]
+    schema = "k long, source string, ids array<int>"
+    path = write_files(tmp_path / "in", [rows[:200], rows[200:400]])
+    for arrives in ([], rows[400:]):  # the third file comes after a stop
+        if arrives:
+            (tmp_path / "in" / "late.json").write_text("\n".join(json.dumps(r) for r in arrives) + "\n")
+        stream = read_stream(spark, path, "json", schema, max_files=1)
+        packed = pack_stream(stream, 7, carry=True, by="source", column="ids", order="k")
+        out = run_available(packed, str(tmp_path / "out"), str(tmp_path / "state"))
+        assert out.columns == ["source", "block_id", "ids", "labels"]
+    got = out.collect()
+    for source in ("hot", "cold", None):
+        joined = [t for r in rows if r["source"] == source for t in r["ids"]]
+        blocks = sorted((r for r in got if r.source == source), key=lambda r: r.block_id)
+        assert [r.block_id for r in blocks] == list(range(len(joined) // 7))
+        assert [t for r in blocks for t in r.ids] == joined[: len(joined) // 7 * 7] and all(r.ids == r.labels for r in blocks)
+    hot = [{"by": "hot", "turn": 1, "order": i, "ids": [i], "made": 0, "n": 1, "tie": i} for i in range(400)]
+    placed, _ = _places(spark.createDataFrame(hot, "by string, turn int, order long, ids array<int>, made long, n long, tie long"), 7)
+    assert [r.start for r in placed.orderBy("row").collect()] == list(range(400))
+    assert placed.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 200
+
+
+def test_a_table_of_several_files_is_streamed_whole(spark, tmp_path):
+    spark.range(30).repartition(3).write.parquet(str(tmp_path / "in" / "rows.parquet"))
+    stream = streamed(spark, str(tmp_path / "in"), "rows")
+    out = run_available(stream, str(tmp_path / "out"), str(tmp_path / "state"))
+    assert sorted(r.id for r in out.collect()) == list(range(30))
+
+
 def test_encode_takes_streams(spark, tmp_path):
     path = write_files(tmp_path / "in", [[{"row_idx": 1, "prompt": "a b", "response": "c", "history": []}]])
     tok = word_tokenizer(spark, ["a b"])
