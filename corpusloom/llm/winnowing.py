@@ -3,7 +3,9 @@
 Tokens are runs of non-blank characters, cut after ``LONGEST`` code points; each Han, Hiragana,
 Katakana, Hangul or Thai character is a token of its own. Every run of ``GRAM`` tokens is hashed, and of each
 ``WINDOW`` consecutive hashes the least is kept, the rightmost on ties, with its position. Two
-texts that share a run of ``GRAM + WINDOW - 1`` tokens therefore share a fingerprint inside it. Only
+texts that share a run of ``GRAM + WINDOW - 1`` tokens therefore share a fingerprint inside it. Longer
+runs are cut from their start, so after an insertion their tokens differ and nothing is promised
+inside them. Only
 DataFrame functions are used; a text is handled inside its row.
 
 Defined cases: null text is empty and has no fingerprint; a text of fewer tokens than ``GRAM`` has
