@@ -1,0 +1,93 @@
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from corpusloom.llm import whitening
+
+SCHEMA = "vec_id bigint, embedding array<float>"
+
+
+def plain(vectors):
+    x = np.floor(1024 * np.array(vectors, np.float64)).astype(np.int64) + 100_000
+    n, sums = len(x), x.sum(0)
+    centred = (n * x - sums) / n
+    values, vecs = np.linalg.eigh(centred.T @ centred / n)
+    values, vecs = values[::-1], vecs[:, ::-1]
+    return n, ((n * x - sums) ** 2).sum(1), centred @ vecs[:, :8] / np.sqrt(values[:8]), values / values.sum()
+
+
+def test_solver_against_dense_eigenvectors():
+    rng = np.random.default_rng(1)
+    for size, spectrum in ((3, [3, 2, 1]), (40, np.linspace(1, 2, 40)), (40, [5] * 4 + [1] * 36), (200, 1 / np.arange(1, 201))):
+        q, _ = np.linalg.qr(rng.standard_normal((size, size)))
+        a = (q * np.array(spectrum, float)) @ q.T
+        calls = []
+        values, vectors = whitening.jacobi_davidson(lambda b: calls.append(1) or a @ b, size, 8)  # noqa: B023
+        want = np.sort(spectrum)[::-1][:8]
+        assert np.abs(values - want).max() < 1e-13 * want[0]
+        assert np.linalg.norm(a @ vectors - vectors * values, axis=0).max() < 1e-12 * want[0]
+        assert np.abs(vectors.T @ vectors - np.eye(len(want))).max() < 1e-13
+        assert len(calls) < 150
+
+
+def test_minres_solves_indefinite_systems():
+    rng = np.random.default_rng(2)
+    q, _ = np.linalg.qr(rng.standard_normal((12, 12)))
+    a = (q * np.array([-4, -3, -1, 1, 2, 3, 4, 5, 6, 7, 8, 9.0])) @ q.T
+    rhs = rng.standard_normal((12, 3))
+    assert np.abs(a @ whitening.minres(lambda b: a @ b, rhs, 12) - rhs).max() < 1e-9
+
+
+def test_against_plain_numpy(spark, sf_dir):
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    rows = table.select("vec_id", "embedding").collect()
+    n, deviation, white, explained = plain([r.embedding for r in rows])
+    got = {(r.vec_id, r.component): r for r in whitening.whiten(table).collect()}
+    assert len(got) == 8 * n
+    turned = np.array([[got[r.vec_id, k + 1].whitened for k in range(8)] for r in rows])
+    signs = np.sign((turned * white).sum(0))
+    assert np.abs(turned * signs - white).max() < 1e-9
+    for i, r in enumerate(rows):
+        row = got[r.vec_id, 3]
+        assert row.n == n and int(row.deviation) == deviation[i]
+        assert abs(row.explained / explained[2] - 1) < 1e-10 and row.identity_error < 1e-10
+
+
+def test_odd_rows_are_dropped_and_clashing_columns_left_alone(spark):
+    rng = np.random.default_rng(4)
+    good = [(i % 5 if i else None, [float(v) for v in rng.standard_normal(6)]) for i in range(30)]
+    nan, inf = float("nan"), float("inf")
+    bad = [(90, None), (91, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (92, [nan] * 6), (93, [inf] + [0.0] * 5), (94, [-inf] + [0.0] * 5), (95, []), (96, [1.0, 2.0])]
+    rows = [(k, v, 1, "x", 2.0) for k, v in good + good[:3] + bad]
+    df = spark.createDataFrame(rows, SCHEMA + ", n int, component string, x double")
+    got = whitening.whiten(df).collect()
+    n, deviation, white, explained = plain(np.array([v for _, v in good + good[:3]], np.float32))
+    assert len(got) == 6 * n == 6 * 33
+    assert {r.vec_id for r in got} == {None, 0, 1, 2, 3, 4}
+    assert sorted(int(r.deviation) for r in got if r.component == 1) == sorted(deviation)
+    found = sorted(abs(r.whitened) for r in got)
+    assert np.allclose(found, sorted(np.abs(white[:, :6]).ravel()), atol=1e-9)
+
+
+def test_components_without_variance_are_left_out(spark):
+    line = [(i, [float(i), 2.0 * i, 5.0]) for i in range(9)]
+    got = whitening.whiten(spark.createDataFrame(line, SCHEMA)).collect()
+    assert {r.component for r in got} == {1} and len(got) == 9
+    assert got[0].explained == pytest.approx(1)
+    for rows in ([], [(1, [1.0, 2.0])], [(1, [1.0, 2.0])] * 3, [(1, None)], [(1, [])]):
+        found = whitening.whiten(spark.createDataFrame(rows, SCHEMA))
+        assert found.count() == 0 and "vec_id" in found.columns
+
+
+def test_deviation_beyond_a_long_is_exact():
+    n, x = 10**9, np.array([[10**6, -(10**6)], [7, 8]])
+    sums = [5 * 10**9 + 3, -12]
+    centre = whitening.Centre(sums, n)
+    want = [sum((n * int(v) - s) ** 2 for v, s in zip(row, sums)) for row in x]
+    assert [int(v) for v in centre.deviation(x).to_pylist()] == want
+    assert centre(x)[1, 0] == pytest.approx(7 - sums[0] / n, rel=1e-15)
+
+
+def test_whole_entries_floor(spark):
+    df = spark.createDataFrame([(1, [0.5, -0.0001, 0.0])], SCHEMA)
+    assert df.select(whitening.whole_entries(F.col("embedding"))).first()[0] == [100512, 99999, 100000]
