@@ -4,9 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat, html_text, language_id, mixing, ngram_join, pieces, quality_model, quality_rules, sharding, winnowing
+from corpusloom.llm import (
+    bayes_dedup,
+    chat,
+    divergence,
+    html_text,
+    language_id,
+    mixing,
+    ngram_join,
+    pieces,
+    quality_model,
+    quality_rules,
+    sharding,
+    whitening,
+    winnowing,
+)
 from corpusloom.llm.common import table, text_of, word_count
-from corpusloom.llm.sql import OP3, OP5, OP8
+from corpusloom.llm.sql import OP3, OP5, OP8, OP11, OP12
 from corpusloom.session import cut_lineage
 
 QUERIES = {}
@@ -139,3 +153,19 @@ def _near(spark, d):
 @query("op2_html_layout")
 def _html(spark, d):
     return html_text.extract(table(spark, d, "pages")).select("page_id", "url", "text", "n_lines")
+
+
+@query("op11_bayes_dedup", OP11)
+def _bayes(spark, d):
+    return bayes_dedup.near_copies(table(spark, d, "documents"))
+
+
+@query("op12_source_divergence", OP12)
+def _divergence(spark, d):
+    return divergence.audit(table(spark, d, "documents"))
+
+
+@query("op13_whitening")
+def _whitening(spark, d):
+    white = whitening.whiten(table(spark, d, "embeddings"))
+    return white.withColumn("deviation", F.col("deviation").try_cast("bigint"))

@@ -113,3 +113,54 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(length(erole) + length(etext) + 12 + 10 + 10)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id"""
+
+
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SHARE = "1 + (1000000000::HUGEINT * ({} + 2)) // ({} + 2 * terms)"
+
+OP12 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_LOW} AS text FROM documents),
+t AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM t GROUP BY ALL),
+k AS (SELECT lang, term, sum(n) AS total FROM c GROUP BY ALL HAVING sum(docs) >= 10),
+v AS (SELECT lang, count(*) AS terms, sum(total) AS in_lang FROM k GROUP BY lang),
+kept AS (SELECT c.* FROM c JOIN k USING (lang, term)),
+g AS (
+  SELECT s.lang, s.source, coalesce(x.n, 0) AS in_group, terms, in_lang
+  FROM (SELECT DISTINCT lang, source FROM d) s LEFT JOIN v USING (lang)
+    LEFT JOIN (SELECT lang, source, sum(n) AS n FROM kept GROUP BY ALL) x USING (lang, source)),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, {_SHARE.format('coalesce(c.n, 0)', 'in_group')} AS p,
+    {_SHARE.format('k.total', 'in_lang')} AS q
+  FROM g JOIN k USING (lang) LEFT JOIN kept c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+f AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM p WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM parts)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10"""
+
+
+OP11 = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOW}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, list_sort(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END) AS grams FROM w),
+c AS (SELECT min(doc_id) AS id, len(grams) AS n, any_value(grams) AS grams FROM s WHERE len(grams) > 0 GROUP BY md5(grams::VARCHAR), len(grams)),
+g AS MATERIALIZED (SELECT id, n, md5_number(unnest(grams)) AS gram FROM c),
+joint AS (
+  SELECT a.id AS x, b.id AS y, a.n AS nx, b.n AS ny, count(*) AS n
+  FROM g a JOIN g b ON a.gram = b.gram AND a.id < b.id WHERE 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY ALL),
+links AS MATERIALIZED (SELECT x, y FROM joint WHERE 100 * n >= 85 * (nx + ny - n)),
+edges AS MATERIALIZED (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT x, y FROM edges UNION SELECT reach.x, edges.y FROM reach JOIN edges ON reach.y = edges.x),
+comp AS (SELECT x AS id, least(min(y), x) AS component_id FROM reach GROUP BY x),
+ids AS (
+  SELECT s.doc_id, len(s.grams) AS n_shingles, coalesce(comp.component_id, c.id, s.doc_id) AS component_id
+  FROM s LEFT JOIN c ON md5(s.grams::VARCHAR) = md5(c.grams::VARCHAR) AND len(s.grams) > 0 LEFT JOIN comp ON comp.id = c.id)
+SELECT doc_id, n_shingles::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM ids"""
