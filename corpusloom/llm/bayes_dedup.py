@@ -42,7 +42,7 @@ from corpusloom.session import cut_lineage
 
 BANDS, ROWS, BATCH, MISS = 24, 5, 24, 1e-6
 LABEL = 2  # bytes
-BLOCK, PAIRS_PER_HUB, STEP = 512, 2_048, 8_192
+BLOCK, PAIRS_PER_HUB, STEP, HANDED_BACK = 512, 2_048, 8_192, 500
 PART = 1 << 20
 _RNG = np.random.default_rng(20240517)
 MULTIPLIERS = _RNG.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -177,16 +177,22 @@ def likely(left: np.ndarray, right: np.ndarray, threshold: Fraction, miss: float
     return out
 
 
-def exactly(left: list, right: list, threshold: Fraction) -> np.ndarray:
+def arrays(lists: pa.Array) -> Iterator[np.ndarray]:
+    """The lists of an Arrow array as unsigned numbers, without a copy."""
+    flat, cuts = lists.values.to_numpy(zero_copy_only=False).view(np.uint64), lists.offsets.to_numpy()
+    return (flat[a:b] for a, b in zip(cuts[:-1], cuts[1:]))
+
+
+def exactly(left: Iterator[np.ndarray], right: Iterator[np.ndarray], threshold: Fraction) -> np.ndarray:
     """Whether the Jaccard similarity of two sorted sets is at least the threshold."""
-    out = np.zeros(len(left), bool)
-    for i, (a, b) in enumerate(zip(left, right)):
-        a, b = np.asarray(a), np.asarray(b)
+    out = []
+    for a, b in zip(left, right):
+        out.append(False)
         if min(len(a), len(b)) * threshold.denominator >= max(len(a), len(b)) * threshold.numerator:
             place = np.searchsorted(a, b)
             both = int((a[np.minimum(place, len(a) - 1)] == b).sum())
-            out[i] = both * threshold.denominator >= (len(a) + len(b) - both) * threshold.numerator
-    return out
+            out[-1] = both * threshold.denominator >= (len(a) + len(b) - both) * threshold.numerator
+    return np.array(out, bool)
 
 
 def survivors(group: pd.DataFrame, threshold: Fraction, miss: float) -> pd.DataFrame:
@@ -276,7 +282,7 @@ def near_copies(
 
     @F.arrow_udf("struct<key: binary, grams: array<bigint>>")
     def gathered(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
+        for texts in (batch[at : at + HANDED_BACK] for batch in batches for at in range(0, len(batch), HANDED_BACK)):
             grams = list(sets_of(texts, n))
             keys = [hashlib.blake2b(g.tobytes(), digest_size=16).digest() for g in grams]
             cuts = np.cumsum([0, *map(len, grams)]).astype(np.int32)
@@ -288,10 +294,9 @@ def near_copies(
     def passes(left: pa.Array, right: pa.Array) -> pa.Array:
         return pa.array(likely(as_labels(left), as_labels(right), threshold, miss))
 
-    @F.pandas_udf("boolean")
-    def proved(left: pd.Series, right: pd.Series) -> pd.Series:
-        unsigned = lambda s: [np.asarray(g).view(np.uint64) for g in s]
-        return pd.Series(exactly(unsigned(left), unsigned(right), threshold))
+    @F.arrow_udf("boolean")
+    def proved(left: pa.Array, right: pa.Array) -> pa.Array:
+        return pa.array(exactly(arrays(left), arrays(right), threshold))
 
     rows = cut_lineage(docs.select(F.col(key).alias("doc_id"), measured(text_of(text)).alias("m")).select("doc_id", "m.*"), "dedup-rows")
     classes = rows.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("first_id"), F.max("labels").alias("labels"))
