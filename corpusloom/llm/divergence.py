@@ -32,7 +32,7 @@ from corpusloom.llm.common import text_of
 from corpusloom.session import cut_lineage
 
 TERM, BREAK = re.compile(rb"[a-z\x80-\xff]+"), re.compile(rb"[^a-z\x80-\xff]")  # of lower-cased UTF-8
-PART, HELD_TERMS = 1 << 20, 200_000
+PART, HELD_TERMS = 1 << 20, 400_000
 BLOCK_TERMS, BLOCK_GROUPS, TILE = 512, 32, 1_024
 UNIT, MIN_DOCS, TOP_TERMS = 1_000_000_000, 10, 10
 
@@ -48,15 +48,16 @@ def text_parts(body: bytes, part: int = PART) -> Iterator[bytes]:
 
 
 def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, source, term, n, docs) of the rows of a task; a row without a term names the group."""
+    """(lang, source, term, n, docs) of the rows of a task, summed as far as memory allows."""
     counts: dict[tuple[str, str], tuple[Counter, Counter]] = {}
 
     def held() -> pa.RecordBatch:
-        rows = [(*g, None, 0, 0) for g in counts]
-        rows += [(*g, t.decode(), n, docs[t]) for g, (total, docs) in counts.items() for t, n in total.items()]
-        columns = list(zip(*rows))
-        types = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["lang", "source", "term", "n", "docs"])
+        sizes = [len(total) for total, _ in counts.values()]
+        groups = [pa.array([g[i] for g in counts], pa.string()).take(pa.array(np.repeat(np.arange(len(sizes)), sizes))) for i in (0, 1)]
+        terms = pa.array([t for total, _ in counts.values() for t in total], pa.binary()).cast(pa.string())
+        n = pa.array([n for total, _ in counts.values() for n in total.values()], pa.int64())
+        in_docs = pa.array([docs[t] for total, docs in counts.values() for t in total], pa.int64())
+        return pa.RecordBatch.from_arrays([*groups, terms, n, in_docs], ["lang", "source", "term", "n", "docs"])
 
     for batch in batches:
         for lang, source, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
@@ -75,9 +76,11 @@ def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def term_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """(lang, source, term, n, docs); one row with a null term for every group."""
+    """(lang, source, term, n, docs), all rows of a term of a language in one partition."""
     rows = docs.select(text_of(lang).alias("lang"), text_of(source).alias("source"), text_of(text).alias("text"))
     counted = rows.mapInArrow(count_terms, "lang string, source string, term string, n bigint, docs bigint")
+    # Tasks have summed their own rows; one shuffle serves the sums and the windows over a term.
+    counted = counted.repartition("lang", "term")
     return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
@@ -137,10 +140,11 @@ def joint_tables(
 
 
 def share(count: Column, total: Column, terms: Column, unit: int = UNIT) -> Column:
-    """1 + floor(unit * (count + 2) / (total + 2 * terms)), in whole numbers."""
+    """1 + floor(unit * (count + 2) / (total + 2 * terms)), in whole numbers; decimals where a long is too short."""
     wide = lambda c: c.cast("decimal(18,0)")
-    above = (wide(count) + 2) * F.lit(unit).cast("decimal(10,0)")
-    return F.call_function("div", above, F.nullif(wide(total) + wide(terms) * 2, F.lit(0))) + 1
+    below = F.nullif(total + terms * 2, F.lit(0))
+    exact = F.call_function("div", (wide(count) + 2) * F.lit(unit).cast("decimal(10,0)"), wide(below))
+    return F.when(count < (1 << 62) // unit, F.call_function("div", (count + 2) * unit, below)).otherwise(exact) + 1
 
 
 def price(p: Column, q: Column) -> Column:
@@ -163,17 +167,17 @@ def audit(
     terms that the source uses more than its language does. ``blocks`` sizes the matrix products:
     terms and groups of a block, columns of a tile.
     """
-    counted = cut_lineage(term_counts(docs, text, lang, source), "audit-counts")
     of_term = Window.partitionBy("lang", "term")
-    whole = counted.where(F.col("term").isNotNull()).withColumns(
-        {"in_docs": F.sum("docs").over(of_term), "total": F.sum("n").over(of_term)}
+    whole = term_counts(docs, text, lang, source).withColumns(
+        {"in_docs": F.sum("docs").over(of_term), "total": F.sum("n").over(of_term), "first": F.min("source").over(of_term)}
     )
-    kept = cut_lineage(whole.where(F.col("in_docs") >= min_docs).select("lang", "source", "term", "n", "total"), "audit-kept")
-    langs = kept.select("lang", "term", "total").distinct().groupBy("lang").agg(F.count("*").alias("terms"), F.sum("total").alias("in_lang"))
+    kept = whole.where(F.col("in_docs") >= min_docs).select("lang", "source", "term", "n", "total", (F.col("source") == F.col("first")).alias("first"))
+    kept = cut_lineage(kept, "audit-kept")
+    langs = kept.where("first").groupBy("lang").agg(F.count("*").alias("terms"), F.sum("total").alias("in_lang"))
     sums = kept.groupBy("lang", "source").agg(F.sum("n").alias("in_group"))
     by_source = Window.partitionBy("lang").orderBy("source")
     groups = (
-        counted.select("lang", "source")
+        docs.select(text_of(lang).alias("lang"), text_of(source).alias("source"))
         .distinct()
         .join(sums, ["lang", "source"], "left")
         .join(langs, "lang", "left")
@@ -187,14 +191,14 @@ def audit(
     side = lambda g, name, p: groups.select("lang", F.col("g").alias(g), F.col("in_group").alias(name), *p)
     priced = tables.join(side("g", "in_g", ["terms"]), ["lang", "g"]).join(side("h", "in_h", []), ["lang", "h"])
     f = price(share(F.col("a"), F.col("in_g"), F.col("terms")), share(F.col("b"), F.col("in_h"), F.col("terms")))
-    wide = lambda c: c.cast("decimal(19,0)")
-    distance = priced.groupBy("lang", "g", "h").agg(F.sum(wide(F.col("n")) * wide(f)).alias("found"), F.sum("n").alias("n"))
+    # at most ``UNIT`` for every term of the vocabulary: a long holds it
+    distance = priced.groupBy("lang", "g", "h").agg(F.sum(F.col("n") * f).alias("found"), F.sum("n").alias("n"))
     one = groups.select("lang", "terms", F.col("g"), F.col("source").alias("one"), F.col("in_group").alias("in_g"))
     other = groups.select("lang", F.col("g").alias("h"), F.col("source").alias("other"), F.col("in_group").alias("in_h"))
     pairs = one.join(other, "lang").where("g < h").join(distance, ["lang", "g", "h"], "left")
     nothing = price(share(F.lit(0), F.col("in_g"), F.col("terms")), share(F.lit(0), F.col("in_h"), F.col("terms")))
-    rest = wide(F.col("terms") - F.coalesce("n", F.lit(0))) * wide(F.coalesce(nothing, F.lit(0)))
-    value = (F.coalesce("found", F.lit(0)) + rest).cast("bigint")
+    rest = (F.col("terms") - F.coalesce("n", F.lit(0))) * F.coalesce(nothing, F.lit(0))
+    value = F.coalesce("found", F.lit(0)) + rest
     pairs = pairs.select("lang", "one", "other", value.alias("value"))
     both = pairs.select("lang", F.col("one").alias("source"), F.col("other").alias("item"), "value").unionByName(
         pairs.select("lang", F.col("other").alias("source"), F.col("one").alias("item"), "value")
