@@ -1,14 +1,23 @@
-"""Training a merge list: word counts once, then rounds over the word table.
+"""Training a merge list: word counts once, then a few rounds over the word table.
 
-A word is kept as text with every symbol between two marks, so a merge is a plain text
-replacement inside the JVM. Pairs are counted once; a round recounts only the words its merges
-change and adds the difference. Only the best pairs of a round come to the driver.
+A word is kept as text with every symbol between two marks. A round counts all pairs and calls the
+most frequent ones hot. As long as only pairs above the count of the best cold pair are merged,
+nothing outside the runs of symbols that hot pairs join can matter: a pair that a merge brings into
+being beside a cold pair counts at most as much as that one. So equal runs of all words are summed
+by a shuffle, the driver does the merges one by one on the distinct runs, with an index from pairs
+to the runs that hold them, until the best pair is no longer above the cold ones, and the next
+round applies these merges to the word table. The driver holds ``MAX_RUNS`` distinct runs at most,
+whatever the corpus: where there are more, fewer pairs are hot. Thousands of merges take a dozen
+rounds, and the result is that of training one by one on all words.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import heapq
+from collections import defaultdict
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusloom.functions.text import words
@@ -17,8 +26,7 @@ from corpusloom.operators.vocab import token_counts
 from corpusloom.session import cut_lineage
 
 OPEN, CLOSE = "\x01", "\x02"
-TOP_PAIRS = 256
-MERGES_PER_TABLE = 16
+MAX_HOT, MAX_RUNS = 65_536, 65_536
 
 
 def bpe_word_counts(
@@ -59,54 +67,138 @@ def bpe_pair_counts(table: DataFrame) -> DataFrame:
     return _pairs_of(table).groupBy("left", "right").agg(F.sum("n").alias("n"))
 
 
-def _side_by_side(left: str, right: str) -> str:
-    return f"{OPEN}{left}{CLOSE}{OPEN}{right}{CLOSE}"
+def _parts(symbols: str) -> list[str]:
+    return symbols[1:-1].split(CLOSE + OPEN)
+
+
+def _whole(parts: list[str]) -> str:
+    return OPEN + (CLOSE + OPEN).join(parts) + CLOSE
+
+
+def merge_pair(symbols: list[str], left: str, right: str) -> list[str]:
+    """One merge, from left to right."""
+    out, i = [], 0
+    while i < len(symbols):
+        if symbols[i] == left and i + 1 < len(symbols) and symbols[i + 1] == right:
+            out.append(left + right)
+            i += 2
+        else:
+            out.append(symbols[i])
+            i += 1
+    return out
+
+
+def merge_in_order(symbols: list[str], ranks: dict[tuple[str, str], list[int]]) -> list[str]:
+    """All merges one after the other, each once: a pair that comes back after its turn stays."""
+    last = -1
+    while len(symbols) > 1:
+        ahead = [(r, p) for p in zip(symbols, symbols[1:]) for r in ranks.get(p, ()) if r > last]
+        if not ahead:
+            break
+        last, (left, right) = min(ahead)
+        symbols = merge_pair(symbols, left, right)
+    return symbols
+
+
+def _mapped(table: DataFrame, change: Callable[[list[str]], Iterator[list[str]]]) -> DataFrame:
+    """``(symbols, n)`` with every word replaced by what ``change`` gives for its symbols."""
+
+    def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made, n = [], []
+            for symbols, count in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for parts in change(_parts(symbols)):
+                    made.append(_whole(parts))
+                    n.append(count)
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.string()), pa.array(n, pa.int64())], ["symbols", "n"])
+
+    return table.select("symbols", "n").mapInArrow(words_of, "symbols string, n bigint")
 
 
 def merged_words(table: DataFrame, merges: Sequence[tuple[str, str]]) -> DataFrame:
     """The word table after the given merges, one after the other."""
-    symbols = F.col("symbols")
-    for left, right in merges:
-        symbols = F.replace(symbols, F.lit(_side_by_side(left, right)), F.lit(f"{OPEN}{left}{right}{CLOSE}"))
-    return table.withColumn("symbols", symbols)
+    ranks: dict[tuple[str, str], list[int]] = defaultdict(list)
+    for rank, pair in enumerate(merges):
+        ranks[pair].append(rank)
+    ranks = dict(ranks)
+    return _mapped(table, lambda parts: iter([merge_in_order(parts, ranks)]))
+
 
+def hot_runs(table: DataFrame, hot: set[tuple[str, str]]) -> DataFrame:
+    """``(symbols, n)``: the longest runs of symbols that hot pairs join, equal ones summed."""
 
-def _changed_pairs(pairs: DataFrame, table: DataFrame, merges: Sequence[tuple[str, str]]) -> DataFrame:
-    """Pair counts after the merges: words with such a pair leave with their old pairs and come
-    back with the new ones."""
-    after = merged_words(table.withColumn("old", F.col("symbols")), merges)
-    touched = after.where(F.col("symbols") != F.col("old"))
-    old_and_new = F.array(F.struct(F.col("old").alias("symbols"), (-F.col("n")).alias("n")), F.struct("symbols", "n"))
-    change = _pairs_of(touched.select(F.inline(old_and_new)))
-    total = pairs.unionByName(change).groupBy("left", "right").agg(F.sum("n").alias("n"))
-    return total.where(F.col("n") > 0)
+    def runs(parts: list[str]) -> Iterator[list[str]]:
+        start = 0
+        for i in range(1, len(parts) + 1):
+            if i == len(parts) or (parts[i - 1], parts[i]) not in hot:
+                if i - start > 1:
+                    yield parts[start:i]
+                start = i
 
+    return _mapped(table, runs).groupBy("symbols").agg(F.sum("n").alias("n"))
 
-def independent_prefix(
-    ranked: Sequence[tuple[str, str, int]], more: bool, known: set[str] = frozenset()
+
+def merges_above(
+    runs: Sequence[tuple[list[str], int]], first: tuple[str, str], cold: int, room: int, known: set[str]
 ) -> list[tuple[str, str]]:
-    """The merges that one-by-one training would take next, in order, from one ranked pair list.
-
-    Pairs are taken from the top while no symbol repeats. Merging one of them then leaves the
-    counts of the others alone, and a pair that comes into being by it counts at most as much as
-    the first pair left out that shares a symbol; pairs tied with that one wait for the next
-    round. A pair of twice the same symbol, or one that spells a token there is already (``known``),
-    can raise other counts and ends the round. ``more`` says that the list was cut, so that pairs
-    tied with its end may be missing.
+    """The merges that one-by-one training does next, as far as the runs tell them.
+
+    ``first`` is the best pair of all. Later ones must count more than ``cold``. A token that two
+    merges spell is one symbol, and pairs with it add up over places the runs may not show, at most
+    ``cold`` for each way of spelling either side; such a pair is never taken, and the merges end
+    where it could be the best. ``room`` is the number of new tokens wanted; ``known`` grows by them.
     """
-    taken: list[tuple[str, str, int]] = []
-    used: set[str] = set()
-    border = ranked[-1][2] if more and ranked else 0
-    for left, right, n in ranked:
-        if used & {left, right} or left + right in used:
-            border = n
-            break
-        taken.append((left, right, n))
-        if left == right or left + right in known:
-            border = max(border, ranked[len(taken)][2] if len(taken) < len(ranked) else 0)
-            break
-        used |= {left, right, left + right}
-    return [(left, right) for i, (left, right, n) in enumerate(taken) if i == 0 or n > border]
+    runs = [(list(symbols), n) for symbols, n in runs]
+    counts: dict[tuple[str, str], int] = defaultdict(int)
+    where: dict[tuple[str, str], set[int]] = defaultdict(set)
+    for i, (symbols, n) in enumerate(runs):
+        for pair in zip(symbols, symbols[1:]):
+            counts[pair] += n
+            where[pair].add(i)
+    heap = [(-n, *pair) for pair, n in counts.items()]
+    heapq.heapify(heap)
+    ways: dict[str, int] = {}
+    unsure: set[tuple[str, str]] = set()
+    done: list[tuple[str, str]] = []
+    while heap and room > 0:
+        n, left, right = heapq.heappop(heap)
+        pair, n = (left, right), -n
+        if counts.get(pair) != n:
+            continue
+        if not done:
+            pair = first
+        else:
+            doubled = [w for w in ways.values() if w > 1]
+            hidden = cold * max(doubled) ** 2 if doubled else 0
+            if n <= cold or pair in unsure or (doubled and max((counts.get(p, 0) for p in unsure), default=0) + hidden >= n):
+                break
+        done.append(pair)
+        token = pair[0] + pair[1]
+        if token in known:
+            ways[token] = ways.get(token, 1) + 1
+            unsure |= {p for p in counts if token in p}
+        else:
+            known.add(token)
+            ways[token] = 1
+            room -= 1
+        changed: dict[tuple[str, str], int] = defaultdict(int)
+        for i in where.pop(pair):
+            symbols, times = runs[i]
+            for p in zip(symbols, symbols[1:]):
+                changed[p] -= times
+            symbols = merge_pair(symbols, *pair)
+            for p in zip(symbols, symbols[1:]):
+                changed[p] += times
+                where[p].add(i)
+            runs[i] = symbols, times
+        for p, by in changed.items():
+            if by:
+                counts[p] += by
+                if counts[p]:
+                    heapq.heappush(heap, (-counts[p], *p))
+                if ways.get(p[0], 1) > 1 or ways.get(p[1], 1) > 1:
+                    unsure.add(p)
+    return done
 
 
 def train_bpe(
@@ -117,13 +209,15 @@ def train_bpe(
     split: Callable[[Column], Column] = words,
     min_count: int = 1,
     max_merges: int | None = None,
+    max_hot: int = MAX_HOT,
+    max_runs: int = MAX_RUNS,
 ) -> tuple[DataFrame, DataFrame]:
     """Vocabulary ``(token, id)`` and merges ``(rank, left, right)``.
 
     Ids: special tokens, then the single symbols in order, then the merges. The best pair has the
     highest count, and among equals the smallest symbols. Training ends at ``vocab_size`` or when
-    no pair is left. Several independent merges are done per round; the result is that of doing
-    them one by one.
+    no pair is left. ``max_hot`` pairs and ``max_runs`` distinct runs come to the driver in a round;
+    they set the number of rounds, not the result, which is that of training one by one.
     """
     spark = df.sparkSession
     counted = symbol_table(bpe_word_counts(df, text, split, min_count))
@@ -135,26 +229,27 @@ def train_bpe(
     room = max(0, vocab_size - len(specials) - n_alphabet)
     if max_merges is not None:
         room = min(room, max_merges)
-    pairs = cut_lineage(bpe_pair_counts(table), "bpe-pairs")
     merges: list[tuple[str, str]] = []
     made: set[str] = set()
-    pending: list[tuple[str, str]] = []
+    hot = max_hot
     while len(made) < room:
-        best = pairs.orderBy(F.desc("n"), "left", "right").limit(TOP_PAIRS + 1).collect()
-        if not best:
+        pairs = bpe_pair_counts(table)
+        ranked = [(r.left, r.right, r.n) for r in pairs.orderBy(F.desc("n"), "left", "right").limit(max_hot + 1).collect()]
+        if not ranked:
             break
-        ranked = [(r.left, r.right, r.n) for r in best[:TOP_PAIRS]]
-        done: list[tuple[str, str]] = []
-        for left, right in independent_prefix(ranked, len(best) > TOP_PAIRS, made):
-            if len(made) < room:
-                done.append((left, right))
-                made.add(left + right)
-        # Written every round: kept in memory, the plan of each round would hold all before it.
-        pairs = cut_lineage(_changed_pairs(pairs, merged_words(table, pending), done), "bpe-pairs")
+        while True:
+            # One hot pair gives its own runs only, one for each length of a repeated symbol.
+            chosen = {(left, right) for left, right, _ in ranked[:hot]}
+            found = hot_runs(table, chosen).limit(max_runs + 1).collect()
+            if len(found) <= max_runs or hot == 1:
+                break
+            hot = max(1, min(hot, len(ranked)) // 4)
+        cold = ranked[hot][2] if len(ranked) > hot else 0
+        runs = [(_parts(r.symbols), r.n) for r in found]
+        done = merges_above(runs, ranked[0][:2], cold, room - len(made), made)
         merges += done
-        pending += done
-        if len(pending) >= MERGES_PER_TABLE:
-            table, pending = cut_lineage(merged_words(table, pending), "bpe-words"), []
+        table = cut_lineage(merged_words(table, done), "bpe-words")
+        hot = min(max_hot, hot * 2)
     merge_rows = [(i, left, right) for i, (left, right) in enumerate(merges)]
     merge_table = spark.createDataFrame(merge_rows, "rank int, left string, right string")
     fixed = spark.createDataFrame([(t, i) for i, t in enumerate(specials)], "token string, id int")

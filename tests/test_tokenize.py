@@ -172,8 +172,7 @@ def naive_bpe(counts, room):
 
 
 @pytest.mark.parametrize("seed", range(2))
-def test_rounds_give_the_merges_of_one_by_one_training(spark, seed, monkeypatch):
-    monkeypatch.setattr(bpe, "MERGES_PER_TABLE", 5)
+def test_rounds_give_the_merges_of_one_by_one_training(spark, seed):
     rnd = random.Random(seed)
     letters = "abcdefgh"[: rnd.choice([2, 4, 8])]
     text = [" ".join("".join(rnd.choice(letters) for _ in range(rnd.randrange(1, 9))) for _ in range(60)) for _ in range(3)]
@@ -189,31 +188,61 @@ def test_rounds_give_the_merges_of_one_by_one_training(spark, seed, monkeypatch)
     assert [t for t, _ in sorted(ids.items(), key=lambda e: e[1])][1 : 1 + len(set("".join(counts)))] == sorted(set("".join(counts)))
 
 
-def test_prefix_rule_against_one_by_one_training():
-    """Many small random word tables, in plain Python: every round must be a prefix of the naive order."""
-    for seed in range(300):
+def test_rounds_on_hot_runs_against_one_by_one_training():
+    """Many small random word tables, in plain Python, with few hot pairs: every round continues the naive order."""
+    rounds = 0
+    for seed in range(400):
         rnd = random.Random(seed)
-        words_ = {"".join(rnd.choice("abcd") for _ in range(rnd.randrange(1, 6))): rnd.randrange(1, 6) for _ in range(12)}
-        want = naive_bpe(words_, 12)
-        table, done, made = {tuple(w): n for w, n in words_.items()}, [], set()
+        letters = "abcd"[: rnd.choice([1, 2, 3, 4])]
+        words_ = {"".join(rnd.choice(letters) for _ in range(rnd.randrange(1, 9))): rnd.randrange(1, 9) for _ in range(14)}
+        want = naive_bpe(words_, 25)
+        table, done, made = [(list(w), n) for w, n in words_.items()], [], set()
         while len(done) < len(want):
-            pairs = {}
-            for symbols, n in table.items():
+            pairs, rounds = {}, rounds + 1
+            for symbols, n in table:
                 for p in zip(symbols, symbols[1:]):
                     pairs[p] = pairs.get(p, 0) + n
-            ranked = sorted(((a, b, n) for (a, b), n in pairs.items()), key=lambda e: (-e[2], e[0], e[1]))
-            cut = rnd.choice([2, 5, 1000])
-            step = bpe.independent_prefix(ranked[:cut], len(ranked) > cut, made)
-            for a, b in step:
-                made.add(a + b)
-                done.append((a, b))
-                table2 = {}
-                for symbols, n in table.items():
-                    s = "".join(f"<{x}>" for x in symbols).replace(f"<{a}><{b}>", f"<{a}{b}>")
-                    key = tuple(s[1:-1].split("><"))
-                    table2[key] = table2.get(key, 0) + n
-                table = table2
+            ranked = sorted(pairs, key=lambda p: (-pairs[p], p))
+            hot = ranked[: rnd.choice([1, 3, 8, 1000])]
+            cold = pairs[ranked[len(hot)]] if len(ranked) > len(hot) else 0
+            runs = {}
+            for symbols, n in table:
+                start = 0
+                for i in range(1, len(symbols) + 1):
+                    if i == len(symbols) or (symbols[i - 1], symbols[i]) not in hot:
+                        if i - start > 1:
+                            runs[tuple(symbols[start:i])] = runs.get(tuple(symbols[start:i]), 0) + n
+                        start = i
+            step = bpe.merges_above(list(runs.items()), ranked[0], cold, 1000, made)
+            assert step
+            done += step
+            for pair in step:
+                table = [(bpe.merge_pair(symbols, *pair), n) for symbols, n in table]
         assert done[: len(want)] == want, seed
+    assert rounds < 400 * 25
+
+
+def test_merges_in_order_are_those_of_one_after_the_other():
+    for seed in range(200):
+        rnd = random.Random(seed)
+        merges = [("".join(rnd.choices("ab", k=rnd.randint(1, 2))), "".join(rnd.choices("ab", k=rnd.randint(1, 2)))) for _ in range(8)]
+        word = want = rnd.choices("ab", k=12)
+        ranks = {}
+        for i, pair in enumerate(merges):
+            want = bpe.merge_pair(want, *pair)
+            ranks.setdefault(pair, []).append(i)
+        assert bpe.merge_in_order(word, ranks) == want
+
+
+@pytest.mark.parametrize("limits", [(3, 1000), (50, 4)])
+def test_few_hot_pairs_and_few_runs_change_nothing(spark, limits):
+    rnd = random.Random(3)
+    text = " ".join("".join(rnd.choice("abcdef") for _ in range(rnd.randrange(1, 9))) for _ in range(200))
+    df, counts = spark.createDataFrame([(text,)], "text string"), {}
+    for w in text.split():
+        counts[w] = counts.get(w, 0) + 1
+    _, merges = bpe.train_bpe(df, "text", max_merges=10, max_hot=limits[0], max_runs=limits[1])
+    assert [(r.left, r.right) for r in merges.orderBy("rank").collect()] == naive_bpe(counts, 10)
 
 
 def test_training_stops_without_pairs_and_at_the_size(spark):
