@@ -1,7 +1,8 @@
 """Vocabulary lookups for whole lists, without exploding them.
 
-The table is broadcast in Arrow form, behind a check of its size, and a list of any length is looked
-up by one vectorised call per batch. The same path serves tables of every size up to that limit, in
+The table is broadcast in Arrow form, behind a check of its size. A worker builds its index of the
+table once: tokens are looked up in a hash table by their distinct values in a batch, ids by binary
+search, so the cost of a batch does not depend on the size of the vocabulary. The same path serves tables of every size up to that limit, in
 batch and in streams; what is larger is joined, which the caller asks for.
 """
 
@@ -9,8 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 MAX_BYTES = 256 << 20
@@ -29,7 +30,38 @@ def _checked(table: DataFrame, token: str, value: str, max_bytes: int) -> tuple[
     return rows["t"].combine_chunks(), rows["v"].combine_chunks()
 
 
-def _relist(lists: pa.Array, values: pa.Array) -> pa.Array:
+_INDEX: dict[int, object] = {}  # by broadcast, in a worker
+
+
+def _index(number: int, build: Callable[[], object]) -> object:
+    """What ``build`` gives, kept for later batches and tasks of the same broadcast table."""
+    if number not in _INDEX:
+        if len(_INDEX) >= 4:
+            _INDEX.clear()
+        _INDEX[number] = build()
+    return _INDEX[number]
+
+
+def _first_places(values: list) -> dict:
+    """Value -> the first place it is at."""
+    return {v: i for i, v in reversed(list(enumerate(values)))}
+
+
+def find_tokens(tokens: pa.Array, places: dict[str, int]) -> pa.Array:
+    """Place of every token in the table, null where it has none."""
+    coded = tokens.dictionary_encode()
+    return pa.array([places.get(t) for t in coded.dictionary.to_pylist()], pa.int32()).take(coded.indices)
+
+
+def find_ids(ids: pa.Array, known: np.ndarray, order: np.ndarray) -> pa.Array:
+    """Place of every id in the table whose sorted ids are ``known``, null where it has none."""
+    wanted = ids.fill_null(0).to_numpy(zero_copy_only=False)
+    at = np.minimum(np.searchsorted(known, wanted), max(len(known) - 1, 0))
+    missing = (known[at] != wanted if len(known) else np.ones(len(wanted), bool)) | ids.is_null().to_numpy(zero_copy_only=False)
+    return pa.array(order[at] if len(known) else np.zeros(len(wanted), np.int64), mask=missing)
+
+
+def relist(lists: pa.Array, values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(lists.offsets, values, mask=lists.is_null() if lists.null_count else None)
 
 
@@ -38,13 +70,15 @@ def token_ids(
 ) -> Callable[[Column], Column]:
     """List of tokens -> list of ids; ``unknown`` (or null) where the table lacks a token."""
     shared = table.sparkSession.sparkContext.broadcast(_checked(table, token, value, max_bytes or MAX_BYTES))
+    number = shared._jbroadcast.id()
 
     @F.arrow_udf("array<int>")
     def look_up(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tokens, ids = shared.value
+        places = _index(number, lambda: _first_places(tokens.to_pylist()))
         for lists in batches:
-            found = ids.take(pc.index_in(lists.values, value_set=tokens))
-            yield _relist(lists, found if unknown is None else found.fill_null(unknown))
+            found = ids.take(find_tokens(lists.values, places))
+            yield relist(lists, found if unknown is None else found.fill_null(unknown))
 
     return look_up
 
@@ -52,11 +86,18 @@ def token_ids(
 def id_tokens(table: DataFrame, token: str = "token", value: str = "id", max_bytes: int | None = None) -> Callable[[Column], Column]:
     """List of ids -> list of tokens; null for an id that the table lacks. Ids may be sparse."""
     shared = table.sparkSession.sparkContext.broadcast(_checked(table, token, value, max_bytes or MAX_BYTES))
+    number = shared._jbroadcast.id()
+
+    def sorted_ids(ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        values = ids.to_numpy(zero_copy_only=False)
+        order = np.argsort(values, kind="stable")
+        return values[order], order
 
     @F.arrow_udf("array<string>")
     def look_up(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tokens, ids = shared.value
+        known, order = _index(number, lambda: sorted_ids(ids))
         for lists in batches:
-            yield _relist(lists, tokens.take(pc.index_in(lists.values, value_set=ids)))
+            yield relist(lists, tokens.take(find_ids(lists.values, known, order)))
 
     return look_up
