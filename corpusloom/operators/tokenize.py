@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -180,22 +181,30 @@ def byte_level_split(text: Column) -> Column:
 
 
 def merge_symbols(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
-    """Apply merges to one word, lowest rank first."""
-    while len(symbols) > 1:
-        pairs = [ranks.get(p) for p in zip(symbols, symbols[1:])]
-        best = min((r for r in pairs if r is not None), default=None)
-        if best is None:
-            break
-        merged, i = [], 0
-        while i < len(symbols):
-            if i < len(pairs) and pairs[i] == best:
-                merged.append(symbols[i] + symbols[i + 1])
-                i += 2
-            else:
-                merged.append(symbols[i])
-                i += 1
-        symbols = merged
-    return symbols
+    """Apply merges to one word, lowest rank first and from the left.
+
+    A heap holds the merges that are possible; symbols are linked, so a merge costs the logarithm of
+    the length and long words (base64, scripts without blanks) stay cheap.
+    """
+    symbols, after = list(symbols), list(range(1, len(symbols) + 1))
+    before = [i - 1 for i in range(len(symbols))]
+    heap = [(ranks[p], i, *p) for i, p in enumerate(zip(symbols, symbols[1:])) if p in ranks]
+    heapq.heapify(heap)
+    while heap:
+        _, i, left, right = heapq.heappop(heap)
+        j = after[i] if symbols[i] else len(symbols)
+        if j >= len(symbols) or symbols[i] != left or symbols[j] != right:
+            continue  # one of the two was merged before
+        symbols[i], symbols[j] = left + right, ""
+        after[i] = after[j]
+        if after[i] < len(symbols):
+            before[after[i]] = i
+        for at in (before[i], i):
+            if at >= 0 and after[at] < len(symbols):
+                pair = symbols[at], symbols[after[at]]
+                if pair in ranks:
+                    heapq.heappush(heap, (ranks[pair], at, *pair))
+    return [s for s in symbols if s]
 
 
 class BpeTokenizer:

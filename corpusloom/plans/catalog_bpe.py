@@ -1,4 +1,8 @@
-"""Queries of the merge-list tokenizer; their SQL does one merge per chained table."""
+"""Queries of the merge-list tokenizer; their SQL does one merge per chained table.
+
+Those of ``FULL`` merges, a usual number, have no SQL; one-by-one training and merging in plain
+Python stand beside them in the tests.
+"""
 
 from __future__ import annotations
 
@@ -10,8 +14,10 @@ from corpusloom.operators.tokenize import BpeTokenizer, byte_level_split, decode
 from corpusloom.plans import sql_parts as q
 from corpusloom.plans.catalog import documents
 from corpusloom.plans.registry import ORACLES, query
+from corpusloom.session import scratch_path
+from corpusloom.sources.vocab_files import read_vocab, write_vocab
 
-MERGES = 32
+MERGES, FULL = 32, 5_000
 FIRST = 5  # ids below are those of the special tokens of the rows
 MARKED = "chr(2) || {} || chr(3)"
 
@@ -47,8 +53,8 @@ ENCODED = f"""WITH {ROUNDS}, m AS ({LIST}),
     ids AS (SELECT t, string_agg(id::VARCHAR, ' ' ORDER BY i) AS ids FROM u JOIN v USING (c) GROUP BY t)"""
 
 
-def bpe_tokenizer(spark, d) -> BpeTokenizer:
-    vocab, merges = bpe.train_bpe(documents(spark, d), "text", max_merges=MERGES)
+def bpe_tokenizer(spark, d, max_merges: int = MERGES) -> BpeTokenizer:
+    vocab, merges = bpe.train_bpe(documents(spark, d), "text", max_merges=max_merges)
     return BpeTokenizer(vocab.withColumn("id", F.col("id") + FIRST), merges, split=words, byte_level=False)
 
 
@@ -79,3 +85,32 @@ def _roundtrip_bpe(spark, d):
     vocab, merges = bpe.train_bpe(documents(spark, d), "text", split=byte_level_split, max_merges=MERGES)
     tok = BpeTokenizer(vocab.withColumn("id", F.col("id") + FIRST), merges)
     return roundtrip_report(documents(spark, d), "text", tok).select("rows", "mismatched_rows")
+
+
+@query("train_bpe_full")
+def _train_bpe_full(spark, d):
+    return bpe.train_bpe(documents(spark, d), "text", max_merges=FULL)[1]
+
+
+@query("encode_bpe_full")
+def _encode_bpe_full(spark, d):
+    tok = bpe_tokenizer(spark, d, FULL)
+    ids = encode(documents(spark, d), "text", tok, attention_mask=False, keep_source=("doc_id",))
+    return ids.select("doc_id", join_ids("input_ids").alias("input_ids"))
+
+
+def merges_from_file(spark, d, max_merges: int):
+    """The merge list after a way through a tokenizer file."""
+    path = scratch_path(spark, "merge-file")
+    write_vocab(*bpe.train_bpe(documents(spark, d), "text", max_merges=max_merges), path)
+    return read_vocab(spark, path)[1]
+
+
+@query("merge_file", ORACLES["train_bpe"])
+def _merge_file(spark, d):
+    return merges_from_file(spark, d, MERGES)
+
+
+@query("merge_file_full")
+def _merge_file_full(spark, d):
+    return merges_from_file(spark, d, FULL)

@@ -37,12 +37,13 @@ from corpusloom.sources.vocab_files import read_vocab, write_vocab
 from corpusloom.streaming import pack_stream, run_available
 
 
-@query("read_named", "SELECT doc_id, text FROM documents WHERE doc_id % 10 = 0")
+@query("read_named", "SELECT doc_id, text, CASE WHEN doc_id % 10 = 0 THEN 'test' ELSE 'train' END AS split FROM documents")
 def _read_named(spark, d):
     root = scratch_path(spark, "named")
     split = F.when(F.col("doc_id") % 10 == 0, "test").otherwise("train")
     table(spark, d, "documents").withColumn("split", split).write.partitionBy("split").parquet(f"{root}/small")
-    return read_named(spark, root, "small", "test").select("doc_id", "text")
+    parts = [read_named(spark, root, "small", name).select("doc_id", "text", F.lit(name).alias("split")) for name in ("train", "test")]
+    return parts[0].unionByName(parts[1])
 
 
 @query("write_metrics", "SELECT count(*) AS n, sum(n_chars)::BIGINT AS chars, max(length(text))::INT AS longest FROM documents")
@@ -125,21 +126,21 @@ def _batch_metric(spark, d):
     return evaluate.batch_metric(rows, sums, ["hits", "n"], lambda c: c["hits"] / c["n"], "score")
 
 
-@query(
-    "prepare",
-    _rows_sql(
-        HISTORY_SIDES,
-        f"list_concat({q.cut('a', SOURCE - 1)}, [4])",
-        f"list_concat(list_concat([1], {q.cut('b', TARGET - 2)}), [2])",
-        q.pad("list_concat(x, y)", TOTAL, 0),
-        HIDE_PAD.format(q.pad(f"list_concat({IGNORED_SOURCE}, y)", TOTAL, 0)),
-    )
-    + " WHERE conv_id % 5 = 0",
+PREPARED = _rows_sql(
+    HISTORY_SIDES,
+    f"list_concat({q.cut('a', SOURCE - 1)}, [4])",
+    f"list_concat(list_concat([1], {q.cut('b', TARGET - 2)}), [2])",
+    q.pad("list_concat(x, y)", TOTAL, 0),
+    HIDE_PAD.format(q.pad(f"list_concat({IGNORED_SOURCE}, y)", TOTAL, 0)),
 )
+
+
+@query("prepare", f"SELECT *, CASE WHEN conv_id % 5 = 0 THEN 'test' ELSE 'train' END AS split FROM ({PREPARED})")
 def _prepare(spark, d):
     rows = instructions(spark, d).withColumn("split", F.when(F.col("conv_id") % 5 == 0, "test").otherwise("train"))
     options = dict(max_source=SOURCE, max_target=TARGET, tokenizer=conversation_tokenizer(spark, d), keep_source=("conv_id", "turn"))
-    return as_text(predict.prepare(rows, "test", **options), "input_ids", "labels")
+    parts = [predict.prepare(rows, name, **options).withColumn("split", F.lit(name)) for name in ("train", "test")]
+    return as_text(parts[0].unionByName(parts[1]), "input_ids", "labels")
 
 
 @query(

@@ -13,6 +13,7 @@ from corpusloom.operators.tokenize import (
     byte_level_split,
     decode,
     encode,
+    merge_symbols,
     overlength_report,
     roundtrip_report,
 )
@@ -245,6 +246,30 @@ def test_few_hot_pairs_and_few_runs_change_nothing(spark, limits):
     assert [(r.left, r.right) for r in merges.orderBy("rank").collect()] == naive_bpe(counts, 10)
 
 
+def plain_merges(symbols, ranks):
+    """The leftmost merge of the lowest rank, again and again."""
+    symbols = list(symbols)
+    while True:
+        found = [(ranks[p], i) for i, p in enumerate(zip(symbols, symbols[1:])) if p in ranks]
+        if not found:
+            return symbols
+        _, i = min(found)
+        symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+
+
+def test_merges_of_a_word_by_heap():
+    for seed in range(400):
+        rnd = random.Random(seed)
+        pool, ranks = ["a", "b", "c"], {}
+        for rank in range(rnd.randrange(1, 15)):
+            pair = rnd.choice(pool), rnd.choice(pool)
+            ranks.setdefault(pair, rank)
+            pool.append("".join(pair))
+        word = rnd.choices("abcd", [5, 5, 5, 1], k=rnd.randrange(0, 25))
+        assert merge_symbols(word, ranks) == plain_merges(word, ranks), seed
+    assert merge_symbols(list("ab" * 50_000), {("a", "b"): 0, ("ab", "ab"): 1})[:2] == ["abab", "abab"]
+
+
 def test_training_stops_without_pairs_and_at_the_size(spark):
     df = spark.createDataFrame([("ab ab a",)], "text string")
     vocab, merges = bpe.train_bpe(df, "text", vocab_size=100)
