@@ -103,13 +103,8 @@ def _winnow(spark, d):
 @query("op9_sentencepiece")
 def _pieces(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
-    encoded = pieces.encode_pieces(docs, piece_model())
-    return encoded.select(
-        "doc_id",
-        F.size("ids").cast("bigint").alias("n_tokens"),
-        pieces.ids_sha256("ids").alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    digests = ("n_tokens", "ids_sha256", "decoded_sha256")
+    return pieces.encode_pieces(docs, piece_model(), added=digests).select("doc_id", *digests)
 
 
 def held_out(key: str = "doc_id"):

@@ -4,8 +4,9 @@ The normaliser is read from the model: its compiled character map (a double-arra
 the texts that replace them) is applied by longest prefix, blanks are escaped, the dummy prefix is
 added. Each byte of the normalised text remembers the bytes of the original it stands for, so
 every piece is projected to a span of the original text. The normalised text is cut where no piece
-of the vocabulary can cross, and each distinct part is encoded once per task by the library's own
-merge procedure; a model that allows no such cuts encodes its texts whole.
+of the vocabulary can cross; the distinct parts of a run of texts are found by Arrow, and each part
+is encoded once per task by the library's own merge procedure (a model that allows no such cuts
+encodes its texts whole). The spans of a run are computed together.
 
 Defined cases: null text is empty; an empty text has only the begin and end ids, with empty spans;
 extra columns stay, and those that clash with the added ones are replaced; rows are independent,
@@ -15,24 +16,30 @@ The model must be at most ``MAX_MODEL_BYTES`` since it is broadcast.
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StringType
 
 from corpusloom.llm.common import text_of, without
 
 MAX_MODEL_BYTES = 64 << 20
 MARK = "▁"
-PARTS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-CACHED_PARTS = 100_000
-RUN_SIZE = 1 << 19
+RUN_SIZE, CACHED_PARTS = 1 << 21, 200_000
 ADDED = ("ids", "starts", "ends", "decoded")
-SCHEMA = "ids array<int>, starts array<int>, ends array<int>, decoded string"
+TYPES = {
+    "ids": "array<int>",
+    "starts": "array<int>",
+    "ends": "array<int>",
+    "decoded": "string",
+    "n_tokens": "bigint",
+    "ids_sha256": "string",
+    "decoded_sha256": "string",
+}
 
 
 def char_map(blob: bytes) -> dict[str, str]:
@@ -159,14 +166,7 @@ class PieceCodec:
             and not any(p.type == own or MARK in p.piece.lstrip(MARK) for p in pieces)
         )
         self.bos, self.eos = self.library.bos_id(), self.library.eos_id()
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, parts: set[str]) -> None:
-        """Encode the parts not met before, all in one call."""
-        if len(self.known) >= CACHED_PARTS:
-            self.known.clear()
-        new = [p for p in parts if p not in self.known]
-        self.known.update((p, np.array(ids, np.int32).tobytes()) for p, ids in zip(new, self.merger.encode(new)))
+        self.known: dict[str, list[int]] = {}
 
     def _lengths(self, text: str, ids: np.ndarray) -> np.ndarray:
         sizes = self.bytes_of[ids]
@@ -174,33 +174,64 @@ class PieceCodec:
             sizes = np.array([len(p.encode()) for p in self.merger.encode(text, out_type=str)], np.int32)
         return sizes
 
+    def _merged(self, normal: list[str], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of normalised texts one after another, and how many each has; ``sizes`` are in bytes."""
+        if not self.in_parts:
+            found = self.merger.encode(normal, num_threads=1)
+            counts = np.array([len(f) for f in found], np.int64)
+            return np.fromiter(chain.from_iterable(found), np.int32, int(counts.sum())), counts
+        raw = np.frombuffer("".join(normal).encode(), np.uint8)
+        ends = np.cumsum(sizes)
+        first, second, third = MARK.encode()
+        mark = np.zeros(len(raw) + 3, bool)  # shifted by three: whether the sign begins at a byte
+        mark[3:-2] = (raw[:-2] == first) & (raw[1:-1] == second) & (raw[2:] == third)
+        begins = mark[3:] & ~mark[:-3]
+        begins[(ends - sizes)[sizes > 0]] = True
+        cuts = np.append(np.flatnonzero(begins), len(raw)).astype(np.int32)
+        parts = pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), pa.py_buffer(raw)).dictionary_encode()
+        distinct = parts.dictionary.to_pylist()
+        if len(self.known) >= CACHED_PARTS:
+            self.known.clear()
+        new = [p for p in distinct if p not in self.known]
+        self.known.update(zip(new, self.merger.encode(new, num_threads=1)))
+        ids = pa.array([self.known[p] for p in distinct], pa.list_(pa.int32())).take(parts.indices)
+        at = ids.offsets.to_numpy().astype(np.int64)[np.searchsorted(cuts, np.concatenate([[0], ends]))]
+        return ids.values.to_numpy(), np.diff(at)
+
+    def encode_run(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids with begin and end ids of all texts, one after another, the byte span of each, and where texts begin."""
+        normal = [self.normalize(t) for t in texts]
+        sizes = np.array([len(b) for _, b, _ in normal], np.int64)
+        inner, counts = self._merged([n for n, _, _ in normal], sizes) if sizes.any() else (np.zeros(0, np.int32), sizes)
+        lengths = self.bytes_of[inner].astype(np.int64)
+        cuts = np.concatenate([[0], np.cumsum(counts)])
+        if self.unknown >= 0:
+            for i in np.unique(np.searchsorted(cuts, np.flatnonzero(inner == self.unknown), "right") - 1):
+                lengths[cuts[i] : cuts[i + 1]] = self._lengths(normal[i][0], inner[cuts[i] : cuts[i + 1]])
+        if (np.add.reduceat(np.append(lengths, 0), cuts[:-1])[counts > 0] != sizes[counts > 0]).any() or sizes[counts == 0].any():
+            raise ValueError("the pieces do not cover the normalised text")
+        stops = np.cumsum(lengths)
+        begin, end = (np.concatenate([n[k] for n in normal]) if normal else np.zeros(0, np.int32) for k in (1, 2))
+        whole = cuts + 2 * np.arange(len(cuts))  # with a begin and an end id for every text
+        place = np.arange(len(inner)) + 2 * np.repeat(np.arange(len(texts)), counts) + 1
+        ids, starts, ends = (np.zeros(whole[-1], np.int32) for _ in range(3))
+        ids[place], starts[place], ends[place] = inner, begin[stops - lengths], end[stops - 1]
+        bytes_ = [len(t.encode()) for t in texts]
+        ids[whole[:-1]], ids[whole[1:] - 1] = self.bos, self.eos
+        starts[whole[1:] - 1], ends[whole[1:] - 1] = bytes_, bytes_
+        return ids, starts, ends, whole
+
     def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For each text its ids with begin and end id, and the byte span of each."""
-        normal = [self.normalize(t) for t in texts]
-        if self.in_parts:
-            parts = [PARTS.findall(n) for n, _, _ in normal]
-            self._learn(set(chain.from_iterable(parts)))
-            found = [np.frombuffer(b"".join(map(self.known.__getitem__, ps)), np.int32) for ps in parts]
-        else:
-            found = [np.array(self.merger.encode(n) if n else [], np.int32) for n, _, _ in normal]
-        for text, (whole, begin, end), inner in zip(texts, normal, found):
-            lengths = self._lengths(whole, inner)
-            stops = np.cumsum(lengths)
-            if len(stops) and stops[-1] != len(begin):
-                raise ValueError("the pieces do not cover the normalised text")
-            starts = stops - lengths
-            size = len(text.encode())
-            yield (
-                np.concatenate([[self.bos], inner, [self.eos]]).astype(np.int32),
-                np.concatenate([[0], begin[starts], [size]]).astype(np.int32),
-                np.concatenate([[0], end[stops - 1], [size]]).astype(np.int32),
-            )
+        ids, starts, ends, cuts = self.encode_run(texts)
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            yield ids[a:b], starts[a:b], ends[a:b]
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
-        return self.library.decode([i.tolist() for i in ids])
+        return self.library.decode([i.tolist() for i in ids], num_threads=1)
 
 
-def runs(texts: pd.Series) -> Iterator[list[str]]:
+def runs(texts: Sequence[str]) -> Iterator[list[str]]:
     """Consecutive texts of about ``RUN_SIZE`` characters together."""
     run, size = [], 0
     for text in texts:
@@ -213,6 +244,10 @@ def runs(texts: pd.Series) -> Iterator[list[str]]:
         yield run
 
 
+def hex_digests(values: Sequence[bytes]) -> list[str]:
+    return [hashlib.sha256(v).hexdigest() for v in values]
+
+
 def read_model(spark: SparkSession, path: str) -> bytes:
     """The model file; a path with a scheme is read by Spark."""
     if "://" in path:
@@ -225,27 +260,37 @@ def read_model(spark: SparkSession, path: str) -> bytes:
     return proto
 
 
-def encode_pieces(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
-    """``docs`` with ids, starts, ends (array<int>) and decoded (string)."""
+def encode_pieces(docs: DataFrame, model: str, text: str = "text", added: Sequence[str] = ADDED) -> DataFrame:
+    """``docs`` with the columns ``added``.
+
+    ids, starts, ends (array<int>) and decoded (string); or digests made where the ids are, so that
+    the lists need not leave the worker: n_tokens, ids_sha256 (ids as little-endian unsigned 32-bit
+    integers), decoded_sha256 (UTF-8).
+    """
     spark = docs.sparkSession
     proto = spark.sparkContext.broadcast(read_model(spark, model))
+    added = list(added)
 
-    @F.pandas_udf(SCHEMA)
-    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("struct<" + ", ".join(f"{c}: {TYPES[c]}" for c in added) + ">")
+    def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = PieceCodec(proto.value)
         # A batch is handed back in parts, so only the arrays of one part exist at a time.
         for batch in batches:
-            for texts in runs(batch):
-                out = pd.DataFrame(list(codec.encode(texts)), columns=list(ADDED[:3]))
-                yield out.assign(decoded=codec.decode(list(out["ids"])))
-
-    out = without(docs, *ADDED, "__pieces").withColumn("__pieces", encoded(text_of(text)))
-    return out.select("*", *[F.col(f"__pieces.{c}").alias(c) for c in ADDED]).drop("__pieces")
-
-
-@F.pandas_udf(StringType())
-def ids_sha256(ids: pd.Series) -> pd.Series:
-    """Hex digest of ids as little-endian unsigned 32-bit integers."""
-    import hashlib
-
-    return ids.map(lambda v: hashlib.sha256(np.asarray(v).astype("<u4").tobytes()).hexdigest())
+            for texts in runs(batch.to_pylist()):
+                ids, starts, ends, cuts = codec.encode_run(texts)
+                each = [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+                decoded = codec.decode(each)
+                offsets = pa.array(cuts, pa.int32())
+                made = {
+                    "ids": lambda: pa.ListArray.from_arrays(offsets, pa.array(ids)),  # noqa: B023
+                    "starts": lambda: pa.ListArray.from_arrays(offsets, pa.array(starts)),  # noqa: B023
+                    "ends": lambda: pa.ListArray.from_arrays(offsets, pa.array(ends)),  # noqa: B023
+                    "decoded": lambda: pa.array(decoded, pa.string()),  # noqa: B023
+                    "n_tokens": lambda: pa.array(np.diff(cuts)),  # noqa: B023
+                    "ids_sha256": lambda: pa.array(hex_digests([i.astype("<u4").tobytes() for i in each])),  # noqa: B023
+                    "decoded_sha256": lambda: pa.array(hex_digests([d.encode() for d in decoded])),  # noqa: B023
+                }
+                yield pa.StructArray.from_arrays([made[c]() for c in added], added)
+
+    out = without(docs, *added, "__pieces").withColumn("__pieces", encoded(text_of(text)))
+    return out.select("*", *[F.col(f"__pieces.{c}").alias(c) for c in added]).drop("__pieces")
