@@ -25,7 +25,6 @@ parts; an empty table gives none. Only the key and the text are read, so clashin
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator
 from fractions import Fraction
@@ -38,98 +37,20 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusloom.llm.common import text_of
 from corpusloom.llm.ngram_join import blocks, components, linked, maybe_among
+from corpusloom.llm.shingles import digest, shingle_set, words_of
 from corpusloom.session import cut_lineage
 
 BANDS, ROWS, BATCH, MISS = 24, 5, 24, 1e-6
 LABEL = 2  # bytes
 BLOCK, PAIRS_PER_HUB, STEP, HANDED_BACK = 512, 2_048, 8_192, 500
-PART = 1 << 20
 _RNG = np.random.default_rng(20240517)
 MULTIPLIERS = _RNG.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 SHIFTS = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
-SIGNS = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)  # a random number for every byte
-BASE = int(_RNG.integers(1 << 60, 1 << 62)) * 2 + 1
-IS_BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
-LOWERED = np.arange(256, dtype=np.uint8) + 32 * np.isin(np.arange(256), range(0x41, 0x5B)).astype(np.uint8)
-SIGNS = SIGNS[LOWERED]
-
-
-@lru_cache(1)
-def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, modulo 2**64."""
-
-    def row(base: int) -> np.ndarray:
-        out = np.ones(size, np.uint64)
-        out[1:] = np.uint64(base)
-        return np.multiply.accumulate(out)
-
-    return row(BASE), row(pow(BASE, -1, 1 << 64))
-
-
-def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
-    return h ^ (h >> np.uint64(29))
-
-
-def word_hashes(body: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words in lower-cased UTF-8 bytes, and where the words begin."""
-    inside = np.zeros(len(body) + 2, bool)
-    inside[1:-1] = ~IS_BLANK[body]
-    edges = np.flatnonzero(inside[1:] != inside[:-1])
-    begin, end = edges[::2], edges[1::2]
-    up, down = powers(1 << max(16, int(len(body)).bit_length()))
-    sums = np.zeros(len(body) + 1, np.uint64)
-    np.cumsum(SIGNS[body] * up[: len(body)], out=sums[1:])
-    return mixed((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64)), begin
-
-
-def hashes_of_words(body: bytes | memoryview) -> np.ndarray:
-    """Word hashes of one text, in parts cut between words."""
-    data, found, at = np.frombuffer(body, np.uint8), [], 0
-    while at < len(data):
-        end = min(len(data), at + PART)
-        while end < len(data):
-            gap = np.flatnonzero(IS_BLANK[data[end : end + PART]])
-            if len(gap):
-                end += int(gap[0])
-                break
-            end = min(len(data), end + PART)
-        found.append(word_hashes(data[at:end])[0])
-        at = end
-    return np.concatenate(found) if found else np.zeros(0, np.uint64)
-
-
-def shingle_set(words: np.ndarray, n: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the runs of ``n`` words."""
-    size = min(n, len(words))
-    if not size:
-        return words
-    runs = len(words) - size + 1
-    out = np.full(runs, size, np.uint64)
-    for i in range(size):
-        out = mixed(out * np.uint64(0xC2B2AE3D27D4EB4F) ^ words[i : i + runs])
-    return np.unique(out)
 
 
 def sets_of(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
-    """The shingle set of every text of an Arrow array; neighbours of less than a part are hashed together."""
-    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
-    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
-    i = 0
-    while i < len(texts):
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + PART, "right")) - 1)
-        if j == i + 1:
-            yield shingle_set(hashes_of_words(data[offsets[i] : offsets[j]]), n)
-        else:
-            # a blank behind every text keeps their words apart
-            cuts = offsets[i : j + 1] - offsets[i]
-            body = np.insert(data[offsets[i] : offsets[j]], cuts[1:-1], 0x20)
-            words, begin = word_hashes(body)
-            at = np.searchsorted(begin, cuts + np.arange(len(cuts)))
-            at[-1] = len(begin)
-            for a, b in zip(at[:-1], at[1:]):
-                yield shingle_set(words[a:b], n)
-        i = j
+    """The shingle set of every text of an Arrow array."""
+    return (shingle_set(words, n) for words in words_of(texts, lower=True))
 
 
 def signature(grams: np.ndarray) -> bytes:
@@ -273,7 +194,7 @@ def near_copies(
         for texts in batches:
             keys, sizes, labels = [], [], []
             for grams in sets_of(texts, n):
-                keys.append(hashlib.blake2b(grams.tobytes(), digest_size=16).digest())
+                keys.append(digest(grams))
                 sizes.append(len(grams))
                 labels.append(signature(grams) if len(grams) else None)
             yield pa.StructArray.from_arrays(
@@ -284,7 +205,7 @@ def near_copies(
     def gathered(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in (batch[at : at + HANDED_BACK] for batch in batches for at in range(0, len(batch), HANDED_BACK)):
             grams = list(sets_of(texts, n))
-            keys = [hashlib.blake2b(g.tobytes(), digest_size=16).digest() for g in grams]
+            keys = [digest(g) for g in grams]
             cuts = np.cumsum([0, *map(len, grams)]).astype(np.int32)
             flat = np.concatenate(grams).view(np.int64) if grams else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat))

@@ -1,6 +1,6 @@
 """Self-join of documents on the Jaccard similarity of their word n-grams.
 
-1. Documents of equal words form one class (key: md5 of the words); what follows handles classes.
+1. Documents of equal words form one class (key: digest of the words); what follows handles classes.
 2. A MinHash LSH forest: each class has ``TREES`` sequences of ``DEPTH`` labels. In a tree, sorted
    label sequences form a prefix trie. The prefix that must match is shortened from ``DEPTH`` until
    two sets of exactly the threshold share it in some tree with at least the target probability;
@@ -23,15 +23,15 @@ and the text are left alone; clashing names of added ones are replaced.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from corpusloom.llm.common import WORD, text_of, without, word_list
+from corpusloom.llm.common import text_of, without
+from corpusloom.llm.shingles import digest, shingle_set, words_of
 from corpusloom.session import cut_lineage
 
 TREES, DEPTH, RECALL = 32, 8, 0.9999
@@ -39,12 +39,11 @@ LABEL = 2  # bytes
 BLOCK_ROWS, BLOCK_GRAMS = 512, 1 << 20
 SIZE_STEP = 1.26  # a little over 1 / 0.8: linked sets are in the same or the next size class
 PAGE, BITS_EACH, MOST_BITS = 1 << 15, 8, 1 << 27
-WORDS = re.compile(WORD)
-STEP, KNOWN_WORDS, HANDED_BACK = 4_096, 100_000, 500
+STEP, HANDED_BACK = 4_096, 500
 ADDED = ("class_id", "n_copies", "n_links")
 _RNG = np.random.default_rng(20240229)
-MULTIPLIERS = _RNG.integers(1, 1 << 63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-SHIFTS = _RNG.integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64)
+MULTIPLIERS = _RNG.integers(0, 1 << 31, TREES * DEPTH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+SHIFTS = _RNG.integers(0, 1 << 32, TREES * DEPTH, dtype=np.uint32)
 
 
 def prefix_length(threshold: float, recall: float = RECALL, trees: int = TREES, depth: int = DEPTH) -> int:
@@ -55,45 +54,18 @@ def prefix_length(threshold: float, recall: float = RECALL, trees: int = TREES,
     return 1
 
 
-class Shingler:
-    """64-bit hashes of word n-grams; hashes of words are kept between texts."""
-
-    def __init__(self, n: int):
-        self.n, self.known = n, {}
-
-    def __call__(self, text: str) -> np.ndarray:
-        """Sorted distinct n-gram hashes of a text."""
-        if len(self.known) > KNOWN_WORDS:
-            self.known.clear()
-        known, hashes = self.known, []
-        for w in WORDS.findall(text):
-            h = known.get(w)
-            if h is None:
-                h = known[w] = xxhash.xxh3_64_intdigest(w)
-            hashes.append(h)
-        words = np.array(hashes, np.uint64)
-        size = min(self.n, len(words))
-        if not size:
-            return words
-        mixed = np.full(len(words) - size + 1, size, np.uint64)
-        for i in range(size):
-            mixed = (mixed ^ words[i : len(words) - size + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
-            mixed ^= mixed >> np.uint64(29)
-        return np.unique(mixed)
-
-
 def labels(grams: np.ndarray) -> bytes:
     """The label sequences of all trees, one after another."""
-    least = np.full(len(MULTIPLIERS), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(grams), STEP):
-        part = grams[None, at : at + STEP] * MULTIPLIERS[:, None] + SHIFTS[:, None]
-        least = np.minimum(least, part.min(1))
-    mixed = (least ^ (least >> np.uint64(32))) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return (mixed >> np.uint64(48)).astype(">u2").tobytes()
+    small = (grams >> np.uint64(32)).astype(np.uint32)
+    least = np.full(len(MULTIPLIERS), np.iinfo(np.uint32).max, np.uint32)
+    for at in range(0, len(small), STEP):
+        least = np.minimum(least, (small[None, at : at + STEP] * MULTIPLIERS[:, None] + SHIFTS[:, None]).min(1))
+    mixed = (least ^ (least >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+    return (mixed >> np.uint32(16)).astype(">u2").tobytes()
 
 
-def words_key(text: Column) -> Column:
-    return F.unhex(F.md5(F.array_join(word_list(text_of(text)), " ")))
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(text_of(text))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -249,44 +221,51 @@ def maybe_among(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFram
 def jaccard_classes(
     docs: DataFrame, n: int = 5, threshold: float = 0.8, text: str = "text", key: str = "doc_id"
 ) -> DataFrame:
-    """(doc_id, key, class_id, n_copies, n_links, rep): one row per document.
+    """(doc_id, key, class_id, n_copies, n_links, text_hash, rep): one row per document.
 
     ``n_copies`` counts the documents of equal words, itself included; ``n_links`` the other
-    documents it is linked with, copies included; ``rep`` tells whether its words and id are those
+    documents it is linked with, copies included; ``rep`` tells whether its text and id are those
     kept for its class.
     """
     if not 1 / SIZE_STEP < threshold <= 1:
         raise ValueError(f"the threshold must be over {1 / SIZE_STEP:.2f} and at most 1")
 
-    @F.pandas_udf("binary")
-    def labelled(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        shingle = Shingler(n)
-        for batch in batches:
-            yield pd.Series([labels(g) if len(g := shingle(t)) else None for t in batch], dtype=object)
-
-    @F.pandas_udf("array<bigint>")
-    def shingled(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        shingle = Shingler(n)
-        for batch in batches:
-            for at in range(0, len(batch), HANDED_BACK):
-                yield pd.Series([shingle(t).view(np.int64) for t in batch[at : at + HANDED_BACK]])
-
-    rows = docs.select(F.col(key).alias("doc_id"), words_key(F.col(text)).alias("key"), labelled(text_of(text)).alias("labels"))
-    rows = cut_lineage(rows, "join-rows")
+    @F.arrow_udf("struct<key: binary, labels: binary>")
+    def measured(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            keys, found = [], []
+            for words in words_of(texts, lower=False):
+                grams = shingle_set(words, n)
+                keys.append(digest(words))
+                found.append(labels(grams) if len(grams) else None)
+            yield pa.StructArray.from_arrays([pa.array(keys, pa.binary()), pa.array(found, pa.binary())], ["key", "labels"])
+
+    @F.arrow_udf("array<bigint>")
+    def shingled(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in (batch[at : at + HANDED_BACK] for batch in batches for at in range(0, len(batch), HANDED_BACK)):
+            grams = [shingle_set(words, n) for words in words_of(texts, lower=False)]
+            cuts = np.cumsum([0, *map(len, grams)]).astype(np.int32)
+            flat = np.concatenate(grams).view(np.int64) if grams else np.zeros(0, np.int64)
+            yield pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat))
+
+    rows = docs.select(F.col(key).alias("doc_id"), text_hash(F.col(text)).alias("text_hash"), measured(text_of(text)).alias("m"))
+    rows = cut_lineage(rows.select("doc_id", "text_hash", "m.*"), "join-rows")
     classes = rows.groupBy("key").agg(
-        F.min("doc_id").alias("first_id"), F.count("*").alias("n_copies"), F.max("labels").alias("labels")
+        # one text stands for the class: that of the least id
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"),
+        F.count("*").alias("n_copies"),
+        F.max("labels").alias("labels"),
     )
+    classes = classes.select("key", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("text_hash"), "n_copies", "labels")
     classes = cut_lineage(classes, "join-classes")
     clusters = candidates(classes, prefix_length(threshold))
-    wanted = classes.join(clusters, "key").select("key", "cluster", "n_copies", "first_id")
-    wanted = cut_lineage(wanted, "join-wanted")
-    # One text per class: by key and the least id, so copies spread over tasks by their own ids.
-    found = docs.select(F.col(key).alias("first_id"), words_key(F.col(text)).alias("key"), text_of(text).alias("text"))
     no_id = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    found = found.withColumn("at", no_id("first_id")).drop("first_id")
-    wanted = wanted.withColumn("at", no_id("first_id")).drop("first_id")
-    texts = maybe_among(found, wanted, ["key", "at"]).join(wanted, ["key", "at"])
-    members = texts.dropDuplicates(["key", "at"]).select("key", "cluster", "n_copies", shingled("text").alias("grams"))
+    wanted = classes.join(clusters, "key").select("key", "cluster", "n_copies", "text_hash", no_id("first_id").alias("at"))
+    wanted = cut_lineage(wanted, "join-wanted")
+    # Only the text that stands for a class is moved; copies spread over tasks by their own ids.
+    found = docs.select(no_id(key).alias("at"), text_hash(F.col(text)).alias("text_hash"), text_of(text).alias("text"))
+    texts = maybe_among(found, wanted, ["at", "text_hash"]).join(wanted, ["at", "text_hash"])
+    members = texts.dropDuplicates(["key"]).select("key", "cluster", "n_copies", shingled("text").alias("grams"))
     members = cut_lineage(members.withColumn("size", F.size("grams")), "join-members")
     found = blocks(members).groupBy("cluster", "pair").applyInPandas(
         lambda group: linked(group, threshold), "key binary, links long, hub binary"
@@ -294,11 +273,11 @@ def jaccard_classes(
     found = cut_lineage(found, "join-links")
     joined = components(found.select(F.col("key").alias("a"), F.col("hub").alias("b")))
     counts = found.groupBy("key").agg(F.sum("links").alias("links"))
-    info = classes.select("key", "first_id", "n_copies").join(counts, "key", "left").join(joined.withColumnRenamed("id", "key"), "key", "left")
+    info = classes.select("key", "first_id", "text_hash", "n_copies").join(counts, "key", "left").join(joined.withColumnRenamed("id", "key"), "key", "left")
     info = cut_lineage(info.withColumn("label", F.coalesce("label", "key")), "join-info")
-    least = info.groupBy("label").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "key")).alias("m"))
+    least = info.groupBy("label").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "key", "text_hash")).alias("m"))
     info = info.join(least, "label").select(
-        "key", "n_copies", F.coalesce("links", F.lit(0)).alias("links"), F.col("m.first_id").alias("class_id"), F.col("m.key").alias("rep_key")
+        "key", "n_copies", F.coalesce("links", F.lit(0)).alias("links"), F.col("m.first_id").alias("class_id"), F.col("m.key").alias("rep_key"), F.col("m.text_hash").alias("rep_text")
     )
     return rows.drop("labels").join(info, "key").select(
         "doc_id",
@@ -306,15 +285,16 @@ def jaccard_classes(
         "class_id",
         "n_copies",
         (F.col("n_copies") - 1 + F.col("links")).alias("n_links"),
-        ((F.col("key") == F.col("rep_key")) & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("rep"),
+        "text_hash",
+        ((F.col("key") == F.col("rep_key")) & (F.col("text_hash") == F.col("rep_text")) & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("rep"),
     )
 
 
 def one_of_each(docs: DataFrame, n: int = 5, threshold: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``docs`` with one document of each class: the one of the least id."""
     kept = jaccard_classes(docs, n, threshold, text, key).where("rep")
-    kept = cut_lineage(kept.select("doc_id", "key").distinct(), "join-kept")
-    names = {"__at": F.coalesce(F.col(key).cast("string"), F.lit("")), "__key": words_key(F.col(text))}
-    wanted = kept.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__at"), F.col("key").alias("__key"))
+    kept = cut_lineage(kept.select("doc_id", "text_hash").distinct(), "join-kept")
+    names = {"__at": F.coalesce(F.col(key).cast("string"), F.lit("")), "__text": text_hash(F.col(text))}
+    wanted = kept.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__at"), F.col("text_hash").alias("__text"))
     out = without(docs, *names).withColumns(names).join(wanted, list(names), "left_semi")
     return out.dropDuplicates(list(names)).drop(*names)

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from corpusloom.llm import bayes_dedup
+from corpusloom.llm import bayes_dedup, shingles as hashed
 
 SCHEMA = "doc_id bigint, text string"
 
@@ -92,9 +92,11 @@ def test_odd_rows(spark):
 
 def test_long_texts_in_parts(monkeypatch):
     text = " ".join(f"wörd{i % 700}" * (1 + i % 3) for i in range(3_000))
-    whole = bayes_dedup.hashes_of_words(text.encode())
-    monkeypatch.setattr(bayes_dedup, "PART", 257)
-    assert (bayes_dedup.hashes_of_words(text.encode()) == whole).all()
+    whole = hashed.hashes_of_words(text.encode(), hashed.SIGNS)
+    monkeypatch.setattr(hashed, "PART", 257)
+    assert (hashed.hashes_of_words(text.encode(), hashed.SIGNS) == whole).all()
+    cased, low = (list(hashed.words_of(pa.array(["Ab aB ab"]), lower)) for lower in (False, True))
+    assert len(set(cased[0])) == 3 and len(set(low[0])) == 1
     texts = pa.array(["", text, "a b", " ", "A  B", text[:300], "c"])
     for slice_ in (texts, texts[1:]):
         sets = list(bayes_dedup.sets_of(slice_, 3))

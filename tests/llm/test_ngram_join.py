@@ -88,8 +88,8 @@ def test_the_bitmap_loses_nothing(spark, monkeypatch, most):
 
 def test_one_of_each(spark):
     rows = near_copies(3, 6, 5) + [(0, near_copies(3, 6, 5)[0][1]), (None, "lone words here"), (50_000, "")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("__key", F.lit("clash"))
-    left = j.one_of_each(df.drop("__key")).collect()
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("__text", F.lit("clash"))
+    left = j.one_of_each(df.drop("__text")).collect()
     want = {c for _, c, _, _ in brute(rows)}
     assert sorted((r.doc_id for r in left), key=repr) == sorted(want, key=repr)
 
