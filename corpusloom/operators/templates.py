@@ -95,6 +95,15 @@ def apply_template(
     return df.select(*keep_source, build(prompt).alias("source"), response.alias("target"))
 
 
+def render_turn(number: Column, question: Column, answer: Column, turn_format: str = ROUND_FORMAT, separator: str = "\n", first: int = ROUND_FIRST) -> Column:
+    """One earlier turn as ``render_history`` writes it; null if one of its texts is."""
+    before_i, rest = turn_format.split("{i}")
+    before_q, rest = rest.split("{q}")
+    before_a, after_a = rest.split("{a}")
+    number = (number + first).cast("string")
+    return F.concat(F.lit(before_i), number, F.lit(before_q), question, F.lit(before_a), answer, F.lit(after_a + separator))
+
+
 def render_history(
     prompt: Column | str,
     history: Column | str | None,

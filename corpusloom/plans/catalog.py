@@ -74,8 +74,9 @@ def pairs(spark: SparkSession, d: str) -> DataFrame:
     return turn_pairs(conversations(spark, d)).select("conv_id", "turn", "prompt", "response")
 
 
-def instructions(spark: SparkSession, d: str) -> DataFrame:
-    return turns_to_instructions(conversations(spark, d)).select("conv_id", "turn", "prompt", "response", "history")
+def instructions(spark: SparkSession, d: str, limit: int | None = None, tokenizer: WordTokenizer | None = None, **form) -> DataFrame:
+    rows = turns_to_instructions(conversations(spark, d), limit=limit, tokenizer=tokenizer, **form)
+    return rows.select("conv_id", "turn", "prompt", "response", "history")
 
 
 def as_text(df: DataFrame, *lists: str) -> DataFrame:
@@ -576,7 +577,8 @@ def _sft_queries(suffix: str, source: int, target: int) -> None:
         ),
     )
     def _sft_bos(spark, d):
-        rows, tok = instructions(spark, d), conversation_tokenizer(spark, d)
+        tok = conversation_tokenizer(spark, d)
+        rows = instructions(spark, d, source, tok)
         return as_text(instruct.sft_bos(rows, source, target, tok, keep_source=keep), "input_ids", "labels")
 
     @query(
@@ -590,9 +592,10 @@ def _sft_queries(suffix: str, source: int, target: int) -> None:
         ),
     )
     def _sft_prefix(spark, d):
-        rows, tok = instructions(spark, d), conversation_tokenizer(spark, d)
-        options = dict(keep_source=keep, turn_format=CUSTOM_FORMAT, separator="\n\n", first=1)
-        return as_text(instruct.sft_prefix(rows, source, target, tok, **options), "input_ids", "labels")
+        tok = conversation_tokenizer(spark, d)
+        form = dict(turn_format=CUSTOM_FORMAT, separator="\n\n", first=1)
+        rows = instructions(spark, d, source, tok, **form)
+        return as_text(instruct.sft_prefix(rows, source, target, tok, keep_source=keep, **form), "input_ids", "labels")
 
 
 for _suffix, _budget in BUDGETS.items():
@@ -638,9 +641,9 @@ BARE_SIDES = f"WITH {q.HISTORY}, " + q.sides(
            {q.text_of(q.pad(q.repeat(1, 'len(x)'), 'longest', 0))} AS attention_mask, {q.text_of('y')} AS labels FROM w""",
 )
 def _seq2seq_rows(spark, d):
-    rows = cut_lineage(instructions(spark, d), "instructions")
-    rows = with_row_index(rows, ["conv_id", "turn"], align=16, range_col="rng")
     tok = conversation_tokenizer(spark, d)
+    rows = cut_lineage(instructions(spark, d, SOURCE, tok), "instructions")
+    rows = with_row_index(rows, ["conv_id", "turn"], align=16, range_col="rng")
     built = instruct.seq2seq_rows(rows, SOURCE, TARGET, tok, batch_rows=16, within=("rng",)).drop("rng")
     return as_text(built, "input_ids", "attention_mask", "labels")
 

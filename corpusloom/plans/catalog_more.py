@@ -137,8 +137,10 @@ PREPARED = _rows_sql(
 
 @query("prepare", f"SELECT *, CASE WHEN conv_id % 5 = 0 THEN 'test' ELSE 'train' END AS split FROM ({PREPARED})")
 def _prepare(spark, d):
-    rows = instructions(spark, d).withColumn("split", F.when(F.col("conv_id") % 5 == 0, "test").otherwise("train"))
-    options = dict(max_source=SOURCE, max_target=TARGET, tokenizer=conversation_tokenizer(spark, d), keep_source=("conv_id", "turn"))
+    tok = conversation_tokenizer(spark, d)
+    split = F.when(F.col("conv_id") % 5 == 0, "test").otherwise("train")
+    rows = cut_lineage(instructions(spark, d, SOURCE, tok).withColumn("split", split), "instructions")
+    options = dict(max_source=SOURCE, max_target=TARGET, tokenizer=tok, keep_source=("conv_id", "turn"))
     parts = [predict.prepare(rows, name, **options).withColumn("split", F.lit(name)) for name in ("train", "test")]
     return as_text(parts[0].unionByName(parts[1]), "input_ids", "labels")
 
