@@ -32,7 +32,7 @@ from corpusloom.llm.common import text_of
 from corpusloom.session import cut_lineage
 
 TERM, BREAK = re.compile(rb"[a-z\x80-\xff]+"), re.compile(rb"[^a-z\x80-\xff]")  # of lower-cased UTF-8
-PART, HELD_TERMS = 1 << 20, 400_000
+PART, HELD_TERMS = 1 << 20, 1_000_000
 BLOCK_TERMS, BLOCK_GROUPS, TILE = 512, 32, 1_024
 UNIT, MIN_DOCS, TOP_TERMS = 1_000_000_000, 10, 10
 
