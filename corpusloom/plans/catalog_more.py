@@ -20,6 +20,7 @@ from corpusloom.plans.catalog import (
     HISTORY_SIDES,
     IGNORED_SOURCE,
     SOURCE,
+    SPECIAL,
     TARGET,
     TOTAL,
     _rows_sql,
@@ -34,7 +35,7 @@ from corpusloom.plans.registry import query, table
 from corpusloom.session import cut_lineage, scratch_path
 from corpusloom.sources import materialize, read_named, write_metrics
 from corpusloom.sources.vocab_files import read_vocab, write_vocab
-from corpusloom.streaming import pack_stream, run_available
+from corpusloom.streaming import pack_stream, read_stream, run_available
 
 
 @query("read_named", "SELECT doc_id, text, CASE WHEN doc_id % 10 = 0 THEN 'test' ELSE 'train' END AS split FROM documents")
@@ -156,18 +157,38 @@ def _pack_global(spark, d):
     return as_text(packed.select("block_id", "input_ids", "labels"), "input_ids", "labels")
 
 
-@query(
-    "stream_pack_carry",
-    f"""WITH {DOCS}, t AS (SELECT source, doc_id, unnest(ids) AS id, generate_subscripts(ids, 1) AS p
+def _carried_sql(ids: str, more: str = "") -> str:
+    return f"""WITH {DOCS}, t AS (SELECT source, doc_id, unnest({ids}) AS id, generate_subscripts({ids}, 1) AS p
       FROM enc JOIN documents USING (doc_id)),
     g AS (SELECT source, id, row_number() OVER (PARTITION BY source ORDER BY doc_id, p) - 1 AS pos,
       count(*) OVER (PARTITION BY source) AS total FROM t)
-    SELECT source, pos // {BLOCK} AS block_id, string_agg(id::VARCHAR, ' ' ORDER BY pos) AS input_ids
-    FROM g WHERE pos < total // {BLOCK} * {BLOCK} GROUP BY 1, 2""",
-)
+    SELECT source, pos // {BLOCK} AS block_id, string_agg(id::VARCHAR, ' ' ORDER BY pos) AS input_ids{more}
+    FROM g WHERE pos < total // {BLOCK} * {BLOCK} GROUP BY 1, 2"""
+
+
+@query("stream_pack_carry", _carried_sql("ids"))
 def _stream_pack_carry(spark, d):
     tok = document_tokenizer(spark, d)
     ids = encode(streamed(spark, d, "documents"), "text", tok, attention_mask=False, keep_source=("doc_id", "source"))
     blocks = pack_stream(ids, BLOCK, carry=True, by="source", order="doc_id")
     out = run_available(blocks, scratch_path(spark, "stream"), scratch_path(spark, "stream-state"))
     return out.select("source", "block_id", join_ids("input_ids").alias("input_ids"))
+
+
+ARRIVALS = 4
+
+
+@query("stream_pack_files", _carried_sql(SPECIAL, ", string_agg((id IN (1, 2))::INT::VARCHAR, ' ' ORDER BY pos) AS special_tokens_mask"))
+def _stream_pack_files(spark, d):
+    """Masked rows with their special mask; files arrive four times, and the stream goes on each time."""
+    docs, path = table(spark, d, "documents").select("doc_id", "source", "text"), scratch_path(spark, "arriving")
+    ends = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
+    part = F.least(F.floor((F.col("doc_id") - ends.lo) * ARRIVALS / F.lit(ends.hi - ends.lo + 1)), F.lit(ARRIVALS - 1))
+    tok, done, state = document_tokenizer(spark, d), scratch_path(spark, "stream"), scratch_path(spark, "stream-state")
+    options = dict(special=True, special_mask=True, attention_mask=False, keep_source=("doc_id", "source"))
+    for i in range(ARRIVALS):
+        docs.where(part == i).write.mode("append").parquet(path)
+        ids = encode(read_stream(spark, path, "parquet", docs.schema), "text", tok, **options)
+        blocks = pack_stream(ids, BLOCK, carry=True, by="source", order="doc_id", column=("input_ids", "special_tokens_mask"), labels=False)
+        out = run_available(blocks, done, state)
+    return as_text(out, "input_ids", "special_tokens_mask")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -38,8 +38,9 @@ class CarriedBlocks:
     rows: DataFrame
     block_size: int
     by: str
-    column: str
+    columns: tuple[str, ...]
     order: str
+    labels: bool = True
 
     @property
     def sparkSession(self) -> SparkSession:
@@ -48,7 +49,8 @@ class CarriedBlocks:
     @property
     def schema(self) -> T.StructType:
         ids = T.ArrayType(T.IntegerType())
-        fields = [(self.by, self.rows.schema[self.by].dataType), ("block_id", T.LongType()), (self.column, ids), ("labels", ids)]
+        lists = [*self.columns, *(["labels"] if self.labels else [])]
+        fields = [(self.by, self.rows.schema[self.by].dataType), ("block_id", T.LongType()), *[(c, ids) for c in lists]]
         return T.StructType([T.StructField(name, kind) for name, kind in fields])
 
     def writer(self, path: str, checkpoint: str) -> Callable[[DataFrame, int], None]:
@@ -58,35 +60,39 @@ class CarriedBlocks:
         so one that is run again after a failure gives the same. Two rests are kept in turn.
         """
         state = f"{checkpoint.rstrip('/')}/carry"
-        kept = T.StructType([self.schema[self.by], T.StructField("made", T.LongType()), T.StructField("tail", self.schema[self.column].dataType)])
+        # Lists go by number inside, whatever their names are.
+        lists, empty = [f"list{i}" for i in range(len(self.columns))], F.array().cast("array<int>")
+        tails = [T.StructField(c, T.ArrayType(T.IntegerType())) for c in lists]
+        kept = T.StructType([self.schema[self.by], T.StructField("made", T.LongType()), *tails])
 
         def write(batch: DataFrame, batch_no: int) -> None:
             spark = batch.sparkSession
-            ids = F.coalesce(F.col(self.column).cast("array<int>"), F.array().cast("array<int>"))
-            rows = batch.select(
-                F.col(self.by).alias("by"), F.lit(1).alias("turn"), F.col(self.order).alias("order"), ids.alias("ids"), F.lit(0).cast("bigint").alias("made")
-            )
+            given = [F.coalesce(F.col(c).cast("array<int>"), empty).alias(name) for c, name in zip(self.columns, lists)]
+            rows = batch.select(F.col(self.by).alias("by"), F.lit(1).alias("turn"), F.col(self.order).alias("order"), *given, F.lit(0).cast("bigint").alias("made"))
             if batch_no:
                 # The rest goes before all rows of its value, at the place its first token has in the whole stream.
                 before = spark.read.schema(kept).parquet(f"{state}/{(batch_no - 1) % 2}")
                 none = F.lit(None).cast(rows.schema["order"].dataType)
-                rows = rows.unionByName(
-                    before.select(F.col(self.by).alias("by"), F.lit(0).alias("turn"), none.alias("order"), F.col("tail").alias("ids"), "made")
-                )
-            rows = rows.withColumns({"n": F.size("ids").cast("bigint"), "tie": F.xxhash64("ids")})
-            placed, totals = _places(cut_lineage(rows, "micro-batch"), self.block_size)
-            pieces = _pieces(placed, ["ids"], self.block_size, F.col("end"), ["by"], "row")
+                rows = rows.unionByName(before.select(F.col(self.by).alias("by"), F.lit(0).alias("turn"), none.alias("order"), *lists, "made"))
+            size = F.size(lists[0]).cast("bigint")
+            alike = F.lit(True)
+            for c in lists[1:]:
+                alike = alike & (F.size(c) == size)
+            size = F.when(alike, size).otherwise(F.raise_error(F.lit("lists of a row differ in length")).cast("bigint"))
+            rows = rows.withColumns({"n": size, "tie": F.xxhash64(*lists)})
+            placed, totals = _places(cut_lineage(rows, "micro-batch"), self.block_size, lists)
+            pieces = _pieces(placed, lists, self.block_size, F.col("end"), ["by"], "row")
             blocks = cut_lineage(pieces, "carried-blocks")
-            whole = F.size("ids") == self.block_size
-            out = blocks.where(whole).select(
-                F.col("by").alias(self.by), "block_id", F.col("ids").alias(self.column), F.col("ids").alias("labels")
-            )
+            whole = F.size(lists[0]) == self.block_size
+            named = [F.col(name).alias(c) for c, name in zip(self.columns, lists)]
+            same = [F.col(lists[0]).alias("labels")] if self.labels else []
+            out = blocks.where(whole).select(F.col("by").alias(self.by), "block_id", *named, *same)
             out.write.mode("overwrite").parquet(f"{path}/micro_batch={batch_no}")
-            rest = blocks.where(~whole).select(F.col("by").alias("of"), F.col("ids").alias("tail"))
+            rest = blocks.where(~whole).select(F.col("by").alias("of"), *lists)
             left = totals.join(rest, F.col("by").eqNullSafe(F.col("of")), "left").select(
                 F.col("by").alias(self.by),
                 F.expr(f"total div {self.block_size}").alias("made"),
-                F.coalesce("tail", F.array().cast("array<int>")).alias("tail"),
+                *[F.coalesce(c, empty).alias(c) for c in lists],
             )
             left.write.mode("overwrite").parquet(f"{state}/{batch_no % 2}")
 
@@ -104,7 +110,7 @@ class CarriedBlocks:
         return spark.read.schema(self.schema).parquet(path).select(*self.schema.names)
 
 
-def _places(rows: DataFrame, block_size: int) -> tuple[DataFrame, DataFrame]:
+def _places(rows: DataFrame, block_size: int, lists: list[str]) -> tuple[DataFrame, DataFrame]:
     """Rows with ``row``, ``start`` and ``end``, the token positions in their value of ``by``; and the total per value.
 
     Positions count from the first token of the stream: a row weighs its tokens and those of the
@@ -125,7 +131,7 @@ def _places(rows: DataFrame, block_size: int) -> tuple[DataFrame, DataFrame]:
         .withColumn("end", F.coalesce("offset", F.lit(0)) + F.col("run"))
         .withColumn("start", F.col("end") - F.col("n"))
     )
-    return placed.select("by", "row", "n", "ids", "start", "end"), sums.groupBy("by").agg(F.sum("weight").alias("total"))
+    return placed.select("by", "row", "n", *lists, "start", "end"), sums.groupBy("by").agg(F.sum("weight").alias("total"))
 
 
 def pack_stream(
@@ -137,8 +143,9 @@ def pack_stream(
     batch_rows: int = BATCH_ROWS,
     carry: bool = False,
     by: str = "shard",
-    column: str = "input_ids",
+    column: str | Sequence[str] = "input_ids",
     order: str = "row_idx",
+    labels: bool = True,
     **options,
 ):
     """Pack rows as they arrive.
@@ -151,14 +158,16 @@ def pack_stream(
     next micro-batch and no token is lost. The state of a value is less than one block and a count.
     A value may hold any share of the rows: they are put in order by range and cut into pieces of
     blocks in Spark, so no task holds a value whole. Rows of a value with equal ``order`` are put in
-    the order of their hashes.
+    the order of their hashes. ``column`` names one list column or several, which are cut alike;
+    ``labels`` adds the first as labels.
     """
     if not df.isStreaming:
         raise ValueError("pack_stream needs a streaming frame; use pack for tables")
     if carry:
-        return CarriedBlocks(df.select(by, order, column), block_size, by, column, order)
+        columns = (column,) if isinstance(column, str) else tuple(column)
+        return CarriedBlocks(df.select(by, order, *columns), block_size, by, columns, order, labels)
     return (
-        df.writeStream.foreachBatch(packed_batches(path, block_size, order_by, batch_rows, **options))
+        df.writeStream.foreachBatch(packed_batches(path, block_size, order_by, batch_rows, labels=labels, **options))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
