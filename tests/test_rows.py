@@ -253,7 +253,7 @@ def test_carry_spreads_one_value_over_many_tasks(spark, tmp_path):
         assert [r.block_id for r in blocks] == list(range(len(joined) // 7))
         assert [t for r in blocks for t in r.ids] == joined[: len(joined) // 7 * 7] and all(r.ids == r.labels for r in blocks)
     hot = [{"by": "hot", "turn": 1, "order": i, "ids": [i], "made": 0, "n": 1, "tie": i} for i in range(400)]
-    placed, _ = _places(spark.createDataFrame(hot, "by string, turn int, order long, ids array<int>, made long, n long, tie long"), 7)
+    placed, _ = _places(spark.createDataFrame(hot, "by string, turn int, order long, ids array<int>, made long, n long, tie long"), 7, ["ids"])
     assert [r.start for r in placed.orderBy("row").collect()] == list(range(400))
     assert placed.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 200
 
