@@ -1,14 +1,19 @@
 """Quality rules with adaptive thresholds per language and source.
 
-Each document gets shares (symbols per word, repeated lines, repeated words, capitals) and its mean
-word length, as whole numbers. Their distribution per language and source is kept in a mergeable
+Each document gets shares (marks per word, repeated lines, repeated words, capitals) and its mean
+word length, as whole numbers; marks are all characters but letters, digits and blanks. Their distribution per language and source is kept in a mergeable
 quantile sketch: a table of counts per value rounded down to its ``BITS`` leading bits, so a
 quantile is off by less than one part in 2^(BITS - 1), sketches merge by adding counts, and the
-result depends on no order. A threshold lies ``reach`` quartile distances plus a tolerance outside
-the quartiles. A document is rejected where a value is outlying both for its language and source
-and for its language as a whole (the merged sketches), so a source of few documents cannot reject
-ordinary ones. Documents that fail the base rule are left out of the sketches. Only DataFrame
-functions are used.
+result depends on no order.
+
+A threshold lies ``reach`` spreads outside the quartiles. The spread is the distance of the
+quartiles, at least a 20th of the upper one, so that many copies of one text do not make the rest
+outliers. Most texts repeat no line and no words, so the quartiles of these two are those of the
+documents that do repeat some. The threshold is the wider one of the language and source and of
+the language as a whole (the merged sketches); a sketch of fewer than ``MIN_ROWS`` rows has none,
+and then the other decides. No upper threshold is below the rule's ``floor``, which is also taken
+where neither has enough rows; without a floor such a rule rejects nothing. Documents that fail the
+base rule are left out of the sketches. Only DataFrame functions are used.
 
 Defined cases: null or empty text has no words and fails the base rule; null languages and
 sources form groups of their own; repeated rows count each; an empty table stays empty. Columns
@@ -17,24 +22,40 @@ of the input that clash with the added ones are replaced.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusloom.llm.common import BLANKS, WORD, group_key, let, text_of, windows_hash, without, word_list
 from corpusloom.session import cut_lineage
 
 SYMBOLS = "#*$%&|<>"
+MARK = r"[^\p{L}\p{M}\p{N}\x20\x09-\x0D]"
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 RUN = 8
 BITS = 6
-REACH = 6
-#: Value -> (tolerance beyond the fence, whether small values can be outlying too).
+MIN_ROWS = 20
+LEAST_SPREAD = 20
+
+
+@dataclass(frozen=True)
+class Rule:
+    """``shown``: quartiles of the values above 0 only; ``both``: small values can be outlying too."""
+
+    reach: int
+    floor: int | None = None
+    shown: bool = False
+    both: bool = False
+
+
 VALUES = {
-    "symbols": (1_000, False),
-    "dup_lines": (5_000, False),
-    "repeats": (3_000, False),
-    "capitals": (1_000, False),
-    "word_length": (10_000, True),
+    "symbols": Rule(8, floor=1_000),
+    "dup_lines": Rule(3, floor=3_000, shown=True),
+    "repeats": Rule(3, floor=1_500, shown=True),
+    "capitals": Rule(10),
+    "word_length": Rule(6, both=True),
 }
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 ADDED = (*COUNTS, "base_failed", "failed_rules", "kept")
@@ -89,6 +110,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
             "n_dup_lines": (F.col("__l.n") - F.col("__l.distinct")).cast("bigint"),
             "n_repeat_words": F.col("__m.n_repeat_words"),
             "__upper": F.regexp_count(t, F.lit(r"\p{Lu}")).cast("bigint"),
+            "__marks": F.regexp_count(t, F.lit(MARK)).cast("bigint"),
         }
     )
     return (
@@ -98,7 +120,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
             F.when(
                 n > 0,
                 F.struct(
-                    F.expr("n_symbols * 10000 div n_words").alias("symbols"),
+                    F.expr("__marks * 10000 div n_words").alias("symbols"),
                     F.expr("n_dup_lines * 10000 div __l.n").alias("dup_lines"),
                     F.expr("n_repeat_words * 10000 div n_words").alias("repeats"),
                     F.expr("__upper * 10000 div word_chars").alias("capitals"),
@@ -106,7 +128,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
                 ),
             ),
         )
-        .drop("__m", "__l", "__upper")
+        .drop("__m", "__l", "__upper", "__marks")
     )
 
 
@@ -122,10 +144,16 @@ def sketch(measured: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def fences(sketched: DataFrame, *by: str, reach: int = REACH) -> DataFrame:
+def _of_rule(of: Callable[[Rule], object]) -> Column:
+    """A setting of the rule that a row names; null where it is not set."""
+    return F.coalesce(*[F.when(F.col("rule") == name, F.lit(of(rule))) for name, rule in VALUES.items()])
+
+
+def fences(sketched: DataFrame, *by: str, min_rows: int = MIN_ROWS) -> DataFrame:
     """(by…, rule, low, high) from the quartiles of a sketch; a group has a bounded number of buckets."""
     group = [*by, "rule"]
-    merged = sketched.groupBy(*group, "bucket").agg(F.sum("n").alias("n"))
+    counts = F.when(_of_rule(lambda r: r.shown) & (F.col("bucket") == 0), F.lit(0)).otherwise(F.col("n"))
+    merged = sketched.groupBy(*group, "bucket").agg(F.sum(counts).alias("n"))
     every = Window.partitionBy(*group)
     run = every.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counted = merged.select(*group, "bucket", F.sum("n").over(run).alias("upto"), F.sum("n").over(every).alias("total"))
@@ -133,16 +161,13 @@ def fences(sketched: DataFrame, *by: str, reach: int = REACH) -> DataFrame:
     def quartile(q: int) -> Column:
         return F.min(F.when(4 * F.col("upto") >= q * F.col("total"), F.col("bucket")))
 
-    tolerance, two_sided = F.lit(0), F.lit(False)
-    for rule, (slack, both) in VALUES.items():
-        tolerance = F.when(F.col("rule") == rule, F.lit(slack)).otherwise(tolerance)
-        two_sided = F.when(F.col("rule") == rule, F.lit(both)).otherwise(two_sided)
-    out = counted.groupBy(*group).agg(quartile(1).alias("q1"), quartile(3).alias("q3"))
-    beyond = reach * (F.col("q3") - F.col("q1")) + tolerance
+    out = counted.groupBy(*group).agg(quartile(1).alias("q1"), quartile(3).alias("q3"), F.max("total").alias("total"))
+    spread = F.greatest(F.col("q3") - F.col("q1"), F.expr(f"q3 div {LEAST_SPREAD}"))
+    beyond, enough = _of_rule(lambda r: r.reach) * spread, F.col("total") >= min_rows
     return out.select(
         *group,
-        F.when(two_sided, F.col("q1") - beyond).alias("low"),
-        (F.col("q3") + beyond).alias("high"),
+        F.when(enough & _of_rule(lambda r: r.both), F.col("q1") - beyond).alias("low"),
+        F.when(enough, F.col("q3") + beyond).alias("high"),
     )
 
 
@@ -152,7 +177,10 @@ def limits(measured: DataFrame, lang: str = "lang", source: str = "source") -> D
     own = cut_lineage(sketch(keyed, "__lang", "__group"), "quality-sketch")
     of_group, of_lang = fences(own, "__lang", "__group"), fences(own, "__lang")
     both = of_group.join(of_lang.withColumnsRenamed({"low": "llow", "high": "lhigh"}), ["__lang", "rule"]).select(
-        "__group", "rule", F.least("low", "llow").alias("low"), F.greatest("high", "lhigh").alias("high")
+        "__group",
+        "rule",
+        F.least("low", "llow").alias("low"),
+        F.greatest("high", "lhigh", _of_rule(lambda r: r.floor)).alias("high"),
     )
     wide = both.groupBy("__group").agg(
         *[F.max(F.when(F.col("rule") == v, F.struct("low", "high"))).alias(f"__{v}") for v in VALUES]

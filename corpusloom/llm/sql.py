@@ -40,21 +40,22 @@ SELECT doc_id, source, size::BIGINT AS size, source_size, target, copies::INT AS
 FROM taken"""
 
 _RULES = ("symbols", "dup_lines", "repeats", "capitals", "word_length")
-_SLACK = "CASE rule WHEN 'symbols' THEN 1000 WHEN 'dup_lines' THEN 5000 WHEN 'repeats' THEN 3000 WHEN 'capitals' THEN 1000 ELSE 10000 END"
+_REACH = "CASE WHEN rule IN ('dup_lines', 'repeats') THEN 3 WHEN rule = 'symbols' THEN 8 WHEN rule = 'capitals' THEN 10 ELSE 6 END"
+_FLOOR = "CASE rule WHEN 'symbols' THEN 1000 WHEN 'dup_lines' THEN 3000 WHEN 'repeats' THEN 1500 END"
 
 
 def _fence(by: str) -> str:
-    return f"""SELECT {by}, rule, max(q1) AS q1, max(q3) AS q3,
-      CASE WHEN rule = 'word_length' THEN max(q1) - (6 * (max(q3) - max(q1)) + {_SLACK}) END AS low,
-      max(q3) + 6 * (max(q3) - max(q1)) + {_SLACK} AS high
+    return f"""SELECT {by}, rule,
+      CASE WHEN total >= 20 AND rule = 'word_length' THEN q1 - {_REACH} * greatest(q3 - q1, q3 // 20) END AS low,
+      CASE WHEN total >= 20 THEN q3 + {_REACH} * greatest(q3 - q1, q3 // 20) END AS high
     FROM (
-      SELECT {by}, rule, min(bucket) FILTER (4 * upto >= total) OVER w AS q1, min(bucket) FILTER (4 * upto >= 3 * total) OVER w AS q3
+      SELECT {by}, rule, min(bucket) FILTER (4 * upto >= total) AS q1, min(bucket) FILTER (4 * upto >= 3 * total) AS q3, max(total) AS total
       FROM (
         SELECT {by}, rule, bucket, sum(n) OVER (PARTITION BY {by}, rule ORDER BY bucket) AS upto,
           sum(n) OVER (PARTITION BY {by}, rule) AS total
-        FROM (SELECT {by}, rule, bucket, count(*) AS n FROM buckets GROUP BY ALL))
-      WINDOW w AS (PARTITION BY {by}, rule))
-    GROUP BY {by}, rule"""
+        FROM (
+          SELECT {by}, rule, bucket, count(*) FILTER (NOT (rule IN ('dup_lines', 'repeats') AND bucket = 0)) AS n FROM buckets GROUP BY ALL))
+      GROUP BY {by}, rule)"""
 
 
 OP8 = rf"""
@@ -75,11 +76,12 @@ m AS (
     (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
     (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
     coalesce(r.n, 0)::BIGINT AS n_repeat_words, len(lines) AS n_lines,
-    length(text) - length(regexp_replace(text, '\p{{Lu}}', '', 'g')) AS upper
+    length(text) - length(regexp_replace(text, '\p{{Lu}}', '', 'g')) AS upper,
+    length(regexp_replace(text, '[\p{{L}}\p{{M}}\p{{N}}\x20\x09-\x0D]', '', 'g')) AS marks
   FROM w LEFT JOIN repeats r ON r.doc_id = w.doc_id),
 v AS (
   SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
-    n_symbols * 10000 // n_words AS symbols, n_dup_lines * 10000 // n_lines AS dup_lines,
+    marks * 10000 // n_words AS symbols, n_dup_lines * 10000 // n_lines AS dup_lines,
     n_repeat_words * 10000 // n_words AS repeats, upper * 10000 // word_chars AS capitals,
     word_chars * 10000 // n_words AS word_length
   FROM m),
@@ -90,10 +92,10 @@ buckets AS (
 own AS ({_fence('lang, source')}),
 whole AS ({_fence('lang')}),
 lim AS (
-  SELECT own.lang, own.source, own.rule, least(own.low, whole.low) AS low, greatest(own.high, whole.high) AS high
+  SELECT own.lang, own.source, own.rule, least(own.low, whole.low) AS low, greatest(own.high, whole.high, {_FLOOR.replace("rule", "own.rule")}) AS high
   FROM own JOIN whole ON own.rule = whole.rule AND own.lang IS NOT DISTINCT FROM whole.lang),
 judged AS (
-  SELECT v.*, {', '.join(f"coalesce((SELECT v.{r} > l.high OR (v.{r} < l.low AND l.low IS NOT NULL) FROM lim l WHERE l.rule = '{r}' AND l.lang IS NOT DISTINCT FROM v.lang AND l.source IS NOT DISTINCT FROM v.source), false) AS f_{r}" for r in _RULES)}
+  SELECT v.*, {', '.join(f"coalesce((SELECT coalesce(v.{r} > l.high, false) OR coalesce(v.{r} < l.low, false) FROM lim l WHERE l.rule = '{r}' AND l.lang IS NOT DISTINCT FROM v.lang AND l.source IS NOT DISTINCT FROM v.source), false) AS f_{r}" for r in _RULES)}
   FROM v)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND NOT ({' OR '.join(f'f_{r}' for r in _RULES)}) AS kept,
