@@ -1,7 +1,8 @@
 """Audit of how the sources of a language differ in the words they use, in exact arithmetic.
 
-1. Terms are counted per (language, source) inside the tasks and summed by a shuffle; a language
-   keeps the terms that enough of its documents hold.
+1. Terms are counted per (language, source) inside the tasks. A task hands back one row per language
+   and term with a list of sources and counts, so the terms that too few documents of the language
+   hold go before the lists are opened and summed.
 2. A group's count of a term is its level. One-hot indicator columns for (group, level) make a
    matrix of terms by columns, and its product with its transpose holds, for every two groups and
    every two levels, the number of terms that have these levels: the joint tables. The product is
@@ -33,7 +34,7 @@ from corpusloom.session import cut_lineage
 
 TERM, BREAK = re.compile(rb"[a-z\x80-\xff]+"), re.compile(rb"[^a-z\x80-\xff]")  # of lower-cased UTF-8
 PART, HELD_TERMS = 1 << 20, 1_000_000
-BLOCK_TERMS, BLOCK_GROUPS, TILE = 512, 32, 1_024
+BLOCK_TERMS, BLOCK_GROUPS, TILE = 2_048, 32, 1_024
 UNIT, MIN_DOCS, TOP_TERMS = 1_000_000_000, 10, 10
 
 
@@ -47,18 +48,36 @@ def text_parts(body: bytes, part: int = PART) -> Iterator[bytes]:
         at = end
 
 
-def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, source, term, n, docs) of the rows of a task, summed as far as memory allows."""
-    counts: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+Counts = dict[tuple[str, str], tuple[Counter, Counter]]
+
+
+def held_terms(counts: Counts) -> pa.RecordBatch:
+    """What a task has counted, as one row per language and term with a list of its sources."""
+    langs, sources = (pa.array([g[i] for g in counts], pa.string()) for i in (0, 1))
+    group = np.repeat(np.arange(len(counts)), [len(total) for total, _ in counts.values()])
+    found = pa.array([t for total, _ in counts.values() for t in total], pa.binary()).dictionary_encode()
+    n = np.fromiter((n for total, _ in counts.values() for n in total.values()), np.int64, len(group))
+    docs = np.fromiter((docs[t] for total, docs in counts.values() for t in total), np.int64, len(group))
+    lang = np.unique(langs.to_numpy(zero_copy_only=False), return_inverse=True)[1][group]
+    term = found.indices.to_numpy()
+    order = np.argsort(lang * np.int64(len(found.dictionary) + 1) + term, kind="stable")
+    lang, term, group, n, docs = (x[order] for x in (lang, term, group, n, docs))
+    at = np.flatnonzero(np.r_[True, (lang[1:] != lang[:-1]) | (term[1:] != term[:-1])]) if len(order) else np.zeros(0, np.int64)
+    cuts = pa.array(np.r_[at, len(order)].astype(np.int32))
+    columns = {
+        "lang": langs.take(pa.array(group[at])),
+        "term": found.dictionary.take(pa.array(term[at])).cast(pa.string()),
+        "n": pa.array(np.add.reduceat(n, at) if len(at) else n),
+        "docs": pa.array(np.add.reduceat(docs, at) if len(at) else docs),
+        "sources": pa.ListArray.from_arrays(cuts, sources.take(pa.array(group))),
+        "counts": pa.ListArray.from_arrays(cuts, pa.array(n)),
+    }
+    return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    def held() -> pa.RecordBatch:
-        sizes = [len(total) for total, _ in counts.values()]
-        groups = [pa.array([g[i] for g in counts], pa.string()).take(pa.array(np.repeat(np.arange(len(sizes)), sizes))) for i in (0, 1)]
-        terms = pa.array([t for total, _ in counts.values() for t in total], pa.binary()).cast(pa.string())
-        n = pa.array([n for total, _ in counts.values() for n in total.values()], pa.int64())
-        in_docs = pa.array([docs[t] for total, docs in counts.values() for t in total], pa.int64())
-        return pa.RecordBatch.from_arrays([*groups, terms, n, in_docs], ["lang", "source", "term", "n", "docs"])
 
+def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Terms of the rows of a task, summed as far as memory allows."""
+    counts: Counts = {}
     for batch in batches:
         for lang, source, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
             total, docs = counts.setdefault((lang, source), (Counter(), Counter()))
@@ -69,19 +88,30 @@ def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 seen.update(terms)
             docs.update(seen)
         if sum(len(total) for total, _ in counts.values()) > HELD_TERMS:
-            yield held()
+            yield held_terms(counts)
             counts = {}
     if counts:
-        yield held()
+        yield held_terms(counts)
+
 
+def kept_terms(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", min_docs: int = MIN_DOCS) -> DataFrame:
+    """(lang, source, term, n, total, first) of the terms that ``min_docs`` documents of a language hold.
 
-def term_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """(lang, source, term, n, docs), all rows of a term of a language in one partition."""
+    ``total`` is the count in the language, ``first`` true for one source of each term.
+    """
     rows = docs.select(text_of(lang).alias("lang"), text_of(source).alias("source"), text_of(text).alias("text"))
-    counted = rows.mapInArrow(count_terms, "lang string, source string, term string, n bigint, docs bigint")
-    # Tasks have summed their own rows; one shuffle serves the sums and the windows over a term.
-    counted = counted.repartition("lang", "term")
-    return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    schema = "lang string, term string, n bigint, docs bigint, sources array<string>, counts array<bigint>"
+    # Tasks have summed their own rows; one shuffle serves the windows over a term and the sums.
+    counted = rows.mapInArrow(count_terms, schema).repartition("lang", "term")
+    of_term = Window.partitionBy("lang", "term")
+    whole = counted.withColumns(
+        {"in_docs": F.sum("docs").over(of_term), "total": F.sum("n").over(of_term), "least": F.min(F.array_min("sources")).over(of_term)}
+    )
+    opened = whole.where(F.col("in_docs") >= min_docs).select(
+        "lang", "term", "total", "least", F.inline(F.arrays_zip(F.col("sources").alias("source"), F.col("counts").alias("n")))
+    )
+    summed = opened.groupBy("lang", "term", "source", "total", "least").agg(F.sum("n").alias("n"))
+    return summed.select("lang", "source", "term", "n", "total", (F.col("source") == F.col("least")).alias("first"))
 
 
 def level_products(block: pd.DataFrame, block_groups: int = BLOCK_GROUPS, tile_columns: int = TILE) -> pd.DataFrame:
@@ -119,24 +149,28 @@ def level_products(block: pd.DataFrame, block_groups: int = BLOCK_GROUPS, tile_c
     return pd.DataFrame({"lang": block["lang"].iloc[0], "g": g, "a": a, "h": h, "b": b, "n": n})
 
 
-def joint_tables(
+def joint_parts(
     counts: DataFrame, groups: DataFrame, block_terms: int = BLOCK_TERMS, block_groups: int = BLOCK_GROUPS, tile: int = TILE
 ) -> DataFrame:
-    """(lang, g, a, h, b, n): how many kept terms two groups of a language have at levels a and b.
+    """(lang, g, a, h, b, n): how many terms of a block two groups of a language have at levels a and b.
 
     ``counts`` is (lang, g, term, n), ``groups`` (lang, g, terms, last) with the size of the
-    vocabulary and the largest group number. The entry of two zeros lacks the terms that no group of
-    the two blocks has.
+    vocabulary and the largest group number. The joint table of two groups is the sum of its blocks;
+    its entry of two zeros lacks the terms that no group of the two blocks has.
     """
     rows = counts.join(groups.select("lang", "g", "terms", "last"), ["lang", "g"])
     blocks = F.ceil(F.col("terms") / block_terms).cast("int")
     mine, last = F.expr(f"int(g div {block_groups})"), F.expr(f"int(last div {block_groups})")
     sides = F.transform(F.sequence(F.lit(0), last), lambda k: F.struct(F.least(mine, k).alias("left"), F.greatest(mine, k).alias("right")))
     rows = rows.select("lang", "g", "last", "term", "n", F.pmod(F.xxhash64("term"), blocks).cast("int").alias("block"), F.inline(sides))
-    made = rows.groupBy("lang", "block", "left", "right").applyInPandas(
+    return rows.groupBy("lang", "block", "left", "right").applyInPandas(
         lambda block: level_products(block, block_groups, tile), "lang string, g bigint, a bigint, h bigint, b bigint, n bigint"
     )
-    return made.groupBy("lang", "g", "a", "h", "b").agg(F.sum("n").alias("n"))
+
+
+def joint_tables(counts: DataFrame, groups: DataFrame, *blocks: int) -> DataFrame:
+    """The joint tables of all pairs of groups: (lang, g, a, h, b, n)."""
+    return joint_parts(counts, groups, *blocks).groupBy("lang", "g", "a", "h", "b").agg(F.sum("n").alias("n"))
 
 
 def share(count: Column, total: Column, terms: Column, unit: int = UNIT) -> Column:
@@ -167,12 +201,7 @@ def audit(
     terms that the source uses more than its language does. ``blocks`` sizes the matrix products:
     terms and groups of a block, columns of a tile.
     """
-    of_term = Window.partitionBy("lang", "term")
-    whole = term_counts(docs, text, lang, source).withColumns(
-        {"in_docs": F.sum("docs").over(of_term), "total": F.sum("n").over(of_term), "first": F.min("source").over(of_term)}
-    )
-    kept = whole.where(F.col("in_docs") >= min_docs).select("lang", "source", "term", "n", "total", (F.col("source") == F.col("first")).alias("first"))
-    kept = cut_lineage(kept, "audit-kept")
+    kept = cut_lineage(kept_terms(docs, text, lang, source, min_docs), "audit-kept")
     langs = kept.where("first").groupBy("lang").agg(F.count("*").alias("terms"), F.sum("total").alias("in_lang"))
     sums = kept.groupBy("lang", "source").agg(F.sum("n").alias("in_group"))
     by_source = Window.partitionBy("lang").orderBy("source")
@@ -187,7 +216,8 @@ def audit(
     )
     groups = cut_lineage(groups, "audit-groups")
     numbered = kept.join(groups.select("lang", "source", "g"), ["lang", "source"]).select("lang", "g", "term", "n")
-    tables = joint_tables(numbered, groups, *blocks)
+    # A price is linear in the entries, so the blocks are priced as they come and only sums are moved.
+    tables = joint_parts(numbered, groups, *blocks)
     side = lambda g, name, p: groups.select("lang", F.col("g").alias(g), F.col("in_group").alias(name), *p)
     priced = tables.join(side("g", "in_g", ["terms"]), ["lang", "g"]).join(side("h", "in_h", []), ["lang", "h"])
     f = price(share(F.col("a"), F.col("in_g"), F.col("terms")), share(F.col("b"), F.col("in_h"), F.col("terms")))
