@@ -154,6 +154,8 @@ def kd_shards(rows: DataFrame, dims: list[str], shards: int) -> DataFrame:
             F.when(F.col("dim").isNull(), F.col("node")).otherwise(F.when(goes_left, F.col("left")).otherwise(F.col("right"))).alias("node"),
             (F.col("first") + F.when(F.col("dim").isNull() | goes_left, F.lit(0)).otherwise(F.col("skip"))).alias("first"),
         )
+        # The node of a row is written per level, so that a level repeats no join of those before it.
+        placed = cut_lineage(placed, "shard-level")
         open_nodes = {n: k for n, k in new.items() if k > 1}
     return placed.withColumnRenamed("first", "shard").drop("node")
 
@@ -169,7 +171,7 @@ def shard_documents(
     """(key, size, text_crc32, shard, slot) of every document; join by key to move the texts.
 
     ``target_bytes`` asks for as many shards as hold about so many bytes each. ``slot`` counts the
-    rows of a shard from 0, equal texts side by side; a shard is what one task writes in the end.
+    rows of a shard from 0, equal texts side by side.
     """
     rows, dims = points(without(docs, *(c for c in ADDED if c not in (text, key, *categories))), text, key, categories)
     if shards is None:
@@ -177,7 +179,11 @@ def shard_documents(
             raise ValueError("give shards or target_bytes")
         shards = max(1, round((rows.agg(F.sum("size")).first()[0] or 0) / target_bytes))
     placed = kd_shards(rows, dims, shards)
-    inside = Window.partitionBy("shard").orderBy("text_hash", "text_crc32", "__key")
-    return placed.select(
-        F.col("__key").alias(key), "size", "text_crc32", "shard", (F.row_number().over(inside) - 1).cast("bigint").alias("slot")
+    # Rows are numbered by ranges of the whole order, however large a shard is; a shard begins
+    # where the rows of those before it end (one row per shard).
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("shard").count().select("shard", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start"))
+    numbered = with_row_index(placed, ["shard", "text_hash", "text_crc32", "__key"], "__at").join(F.broadcast(starts), "shard")
+    return numbered.select(
+        F.col("__key").alias(key), "size", "text_crc32", "shard", (F.col("__at") - F.col("__start")).cast("bigint").alias("slot")
     )
