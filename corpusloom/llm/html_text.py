@@ -304,6 +304,10 @@ def render(root: Node) -> str:
     return page.text()
 
 
+def _number(value: str | None, default: int) -> int:
+    return int(value) if value is not None and re.fullmatch(r"-?[0-9]{1,9}", value.strip()) else default
+
+
 def _enter(node: Node, frame: Frame, lists: list, tables: list) -> Frame:
     tag, lines = node.tag, frame.lines
     if tag == "br":
@@ -322,12 +326,14 @@ def _enter(node: Node, frame: Frame, lists: list, tables: list) -> Frame:
         lines.blank() if tag in SPACED and not nested else lines.end_line()
     out = Frame(node, lines, frame.pre or tag in ("pre", "textarea", "xmp"))
     if tag in LISTS:
-        first = node.attrs.get("start", "1")
-        lists.append([tag == "ol", int(first) if re.fullmatch(r"-?\d{1,9}", first) else 1])
+        back = tag == "ol" and "reversed" in node.attrs
+        items = sum(not isinstance(c, str) and c.tag == "li" for c in node.children) if back else 1
+        lists.append([tag == "ol", _number(node.attrs.get("start"), items), -1 if back else 1])
     elif tag == "li":
-        ordered, number = lists[-1] if lists else (False, 0)
+        ordered, number, step = lists[-1] if lists else (False, 0, 1)
+        number = _number(node.attrs.get("value"), number)
         if lists:
-            lists[-1][1] += 1
+            lists[-1][1] = number + step
         lines.mark = f"{number}. " if ordered else "- "
         lines.indent.append(lines.indent[-1] + " " * len(lines.mark))
     elif tag in ("blockquote", "dd"):

@@ -91,3 +91,10 @@ def test_query(spark, sf_dir):
     assert len(rows) == len(pages)
     for r in rows:
         assert "<p>" not in r.text and "p{margin" not in r.text and r.text
+
+
+def test_numbers_of_list_items():
+    text = html_text.visible_text
+    assert text("<ol start=3><li>a<li value=9>b<li>c</ol>") == "3. a\n9. b\n10. c"
+    assert text("<ol reversed><li>a<li>b<li value=x>c</ol>") == "3. a\n2. b\n1. c"
+    assert text("<ol reversed start=1><li>a<li>b</ol><ul><li value=4>c</ul>") == "1. a\n0. b\n\n- c"
