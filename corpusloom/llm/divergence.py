@@ -168,11 +168,6 @@ def joint_parts(
     )
 
 
-def joint_tables(counts: DataFrame, groups: DataFrame, *blocks: int) -> DataFrame:
-    """The joint tables of all pairs of groups: (lang, g, a, h, b, n)."""
-    return joint_parts(counts, groups, *blocks).groupBy("lang", "g", "a", "h", "b").agg(F.sum("n").alias("n"))
-
-
 def share(count: Column, total: Column, terms: Column, unit: int = UNIT) -> Column:
     """1 + floor(unit * (count + 2) / (total + 2 * terms)), in whole numbers; decimals where a long is too short."""
     wide = lambda c: c.cast("decimal(18,0)")
