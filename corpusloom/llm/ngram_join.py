@@ -1,12 +1,15 @@
 """Self-join of documents on the Jaccard similarity of their word n-grams.
 
 1. Documents of equal words form one class (key: digest of the words); what follows handles classes.
-2. A MinHash LSH forest: each class has ``TREES`` sequences of ``DEPTH`` labels. In a tree, sorted
-   label sequences form a prefix trie. The prefix that must match is shortened from ``DEPTH`` until
-   two sets of exactly the threshold share it in some tree with at least the target probability;
-   more similar ones meet more often. Classes below one trie node are tied to its least member, and
-   the connected sets of these ties are the candidate clusters: every pair that shares a prefix
-   lies within one, and so do pairs that only a third class brings together.
+2. A MinHash LSH forest: each class has ``TREES`` sequences of ``DEPTH`` labels, and the sorted label
+   sequences of a tree are a prefix trie. The prefix that must match is shortened from ``DEPTH`` label
+   by label until the target recall is reached twice: by two sets of exactly the threshold (more
+   similar ones meet more often), and by the pairs that ``SAMPLE`` classes form with all classes,
+   whose whole signatures tell which are similar and how deep they meet. The sequences are then
+   sorted by range; a run of equal prefixes is a trie node. Its classes are tied to the first of the
+   run in each range, the ends of ranges to each other where a run goes on. Connected sets of these
+   ties are the candidate clusters: every pair that shares a prefix lies within one, and so do pairs
+   that only a third class brings together.
 3. Exact verification of all pairs of a cluster whose sizes allow the threshold. Large clusters are
    dealt by size class and hash into blocks of bounded size, and each pair of blocks is one group.
    A group gives per class the number of documents linked and a spanning tree of its links, never
@@ -35,6 +38,7 @@ from corpusloom.llm.shingles import digest, shingle_set, words_of
 from corpusloom.session import cut_lineage
 
 TREES, DEPTH, RECALL = 32, 8, 0.9999
+SAMPLE = 128  # classes whose similar partners are looked for among all classes to measure the recall
 LABEL = 2  # bytes
 BLOCK_ROWS, BLOCK_GRAMS = 512, 1 << 20
 SIZE_STEP = 1.26  # a little over 1 / 0.8: linked sets are in the same or the next size class
@@ -54,6 +58,41 @@ def prefix_length(threshold: float, recall: float = RECALL, trees: int = TREES,
     return 1
 
 
+def met_by_depth(classes: DataFrame, threshold: float, sample: int = SAMPLE) -> list[int]:
+    """How many pairs of a sampled class and any other one, similar by their whole signatures, share at
+    least 0, 1, … ``DEPTH`` labels in some tree. The sample is the classes of the least key hashes; it
+    is compared with every class, and only ``DEPTH + 1`` sums come to the driver."""
+    some = classes.where(F.col("labels").isNotNull()).orderBy(F.xxhash64("key", F.lit(11)), "key").limit(sample)
+    asked = [(bytes(r.key), np.frombuffer(r.labels, ">u2")) for r in some.select("key", "labels").collect()]
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = np.zeros(DEPTH + 1, np.int64)
+        for batch in batches:
+            keys = batch.column(0).to_pylist()
+            every = np.frombuffer(b"".join(batch.column(1).to_pylist()), ">u2").reshape(len(keys), TREES * DEPTH)
+            for key, own in asked:
+                same = every == own
+                near = [i for i in np.flatnonzero(np.count_nonzero(same, axis=1) >= threshold * TREES * DEPTH) if keys[i] != key]
+                if near:
+                    deepest = np.logical_and.accumulate(same[near].reshape(-1, TREES, DEPTH), axis=2).sum(2).max(1)
+                    met += (deepest[:, None] >= np.arange(DEPTH + 1)).sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(DEPTH + 1)), pa.array(met)], ["depth", "n"])
+
+    found = classes.where(F.col("labels").isNotNull()).select("key", "labels").mapInArrow(compared, "depth long, n long")
+    sums = {r.depth: r.n for r in found.groupBy("depth").agg(F.sum("n").alias("n")).collect()}
+    return [sums.get(k, 0) for k in range(DEPTH + 1)]
+
+
+def adapted_length(classes: DataFrame, threshold: float, recall: float = RECALL) -> int:
+    """The longest prefix with which a pair at the threshold and the pairs of the sample are both met
+    with the target recall."""
+    met = met_by_depth(classes, threshold)
+    k = prefix_length(threshold, recall)
+    while k > 1 and met[k] < recall * met[0]:
+        k -= 1
+    return k
+
+
 def labels(grams: np.ndarray) -> bytes:
     """The label sequences of all trees, one after another."""
     small = (grams >> np.uint64(32)).astype(np.uint32)
@@ -151,20 +190,60 @@ def linked(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
     return pd.DataFrame({"key": group["key"].to_numpy()[hit], "links": links[hit], "hub": group["key"].to_numpy()[mark[hit]]})
 
 
+def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ties (a, b) of a sorted range of (tree, node, key): each key with the first one of its node, and
+    the ends of the range as (a, none, tree, node)."""
+    names = ["a", "b", "tree", "node"]
+
+    def end(row: tuple) -> pa.RecordBatch:
+        tree, node, key = row
+        return pa.RecordBatch.from_arrays(
+            [pa.array([key], pa.binary()), pa.array([None], pa.binary()), pa.array([tree], pa.int8()), pa.array([node], pa.binary())], names
+        )
+
+    hub = last = None
+    for batch in (b for b in batches if b.num_rows):
+        trees, nodes, keys = (batch.column(i) for i in range(3))
+        first = (trees[0].as_py(), nodes[0].as_py(), keys[0].as_py())
+        goes_on = last is not None and last[:2] == first[:2]
+        if last is None:
+            yield end(first)
+        number = trees.to_numpy()
+        path = np.frombuffer(b"".join(nodes.to_pylist()), np.uint8).reshape(len(number), -1)
+        begins = np.ones(len(number), bool)
+        begins[1:] = (number[1:] != number[:-1]) | (path[1:] != path[:-1]).any(1)
+        at = np.maximum.accumulate(np.where(begins, np.arange(len(number)), 0))
+        # place 0 is the first key of the node that the batch before ended in
+        firsts = pa.concat_arrays([pa.array([hub if goes_on else first[2]], pa.binary()), keys])
+        at = np.where((at == 0) & goes_on, 0, at + 1)
+        tied = pa.array(~begins | ((np.arange(len(number)) == 0) & goes_on))
+        a, b = keys.filter(tied), firsts.take(pa.array(at)).filter(tied)
+        yield pa.RecordBatch.from_arrays([a, b, pa.nulls(len(a), pa.int8()), pa.nulls(len(a), pa.binary())], names)
+        hub = firsts[int(at[-1])].as_py()
+        last = (trees[-1].as_py(), nodes[-1].as_py(), keys[-1].as_py())
+    if last is not None:
+        yield end(last)
+
+
 def candidates(classes: DataFrame, prefix: int) -> DataFrame:
     """(key, cluster) of the classes that share a prefix of some tree with another one."""
     width = DEPTH * LABEL
     rows = classes.where(F.col("labels").isNotNull()).select(
-        "key",
         F.inline(
             F.transform(
                 F.sequence(F.lit(0), F.lit(TREES - 1)),
-                lambda t: F.struct(t.cast("tinyint").alias("tree"), F.substring("labels", t * width + 1, F.lit(prefix * LABEL)).alias("node")),
+                lambda t: F.struct(
+                    t.cast("tinyint").alias("tree"), F.substring("labels", t * width + 1, F.lit(prefix * LABEL)).alias("node"), F.col("key").alias("key")
+                ),
             )
         ),
     )
-    nodes = rows.groupBy("tree", "node").agg(F.min("key").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    ties = rows.join(nodes.drop("n"), ["tree", "node"]).select(F.col("key").alias("a"), F.col("hub").alias("b"))
+    # Equal prefixes are split among ranges by their keys, so a node of any size is spread.
+    tries = rows.repartitionByRange("tree", "node", "key").sortWithinPartitions("tree", "node", "key")
+    ties = cut_lineage(tries.mapInArrow(runs, "a binary, b binary, tree tinyint, node binary"), "join-ties")
+    ends = ties.where(F.col("b").isNull()).select("a", "tree", "node")
+    hubs = ends.groupBy("tree", "node").agg(F.min("a").alias("b"))
+    ties = ties.where(F.col("b").isNotNull()).select("a", "b").unionByName(ends.join(hubs, ["tree", "node"]).select("a", "b"))
     return components(ties).withColumnRenamed("label", "cluster").withColumnRenamed("id", "key")
 
 
@@ -258,7 +337,7 @@ def jaccard_classes(
     )
     classes = classes.select("key", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("text_hash"), "n_copies", "labels")
     classes = cut_lineage(classes, "join-classes")
-    clusters = candidates(classes, prefix_length(threshold))
+    clusters = candidates(classes, adapted_length(classes, threshold))
     no_id = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     wanted = classes.join(clusters, "key").select("key", "cluster", "n_copies", "text_hash", no_id("first_id").alias("at"))
     wanted = cut_lineage(wanted, "join-wanted")

@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,6 +65,56 @@ def test_prefix_length_reaches_the_recall():
     assert 1 - (1 - 0.8**k) ** j.TREES >= j.RECALL > 1 - (1 - 0.8 ** (k + 1)) ** j.TREES
 
 
+def signed(spark, sequences):
+    rows = [(f"{i:04d}".encode(), bytearray(np.asarray(s, ">u2").tobytes())) for i, s in enumerate(sequences)]
+    return spark.createDataFrame(rows, "key binary, labels binary")
+
+
+def test_the_prefix_shrinks_until_sampled_pairs_meet(spark):
+    rnd = np.random.default_rng(3)
+    base = rnd.integers(0, 1 << 16, j.TREES * j.DEPTH)
+    other = base.copy()
+    other[4 :: j.DEPTH] ^= 1  # similar (7 of 8 labels), but no tree agrees beyond its fourth label
+    far = rnd.integers(0, 1 << 16, j.TREES * j.DEPTH)
+    df = signed(spark, [base, other, far])
+    assert j.met_by_depth(df, 0.8) == [2, 2, 2, 2, 2, 0, 0, 0, 0]
+    assert j.adapted_length(df, 0.8) == 4 < j.prefix_length(0.8)
+    assert j.adapted_length(signed(spark, [base, base, far]), 0.8) == j.prefix_length(0.8)
+    assert j.met_by_depth(df.limit(0), 0.8) == [0] * 9 and j.adapted_length(df.limit(0), 0.8) == j.prefix_length(0.8)
+
+
+@pytest.mark.parametrize("depth", [1, 3])
+def test_ties_connect_what_shares_a_prefix(spark, depth):
+    rnd = random.Random(4)
+    sequences = [[rnd.randrange(3) if i % j.DEPTH < 3 and i < 24 else rnd.randrange(1 << 16) for i in range(j.TREES * j.DEPTH)] for _ in range(60)]
+    sequences += [[70_00 + i % 9 for i in range(j.TREES * j.DEPTH)]] * 40  # one node over several ranges
+    parent = list(range(100))
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for t in range(j.TREES):
+        first = {}
+        for i, s in enumerate(sequences):
+            k = first.setdefault(tuple(s[t * j.DEPTH : t * j.DEPTH + depth]), i)
+            parent[max(top(i), top(k))] = min(top(i), top(k))
+    found = {int(bytes(r.key)): int(bytes(r.cluster)) for r in j.candidates(signed(spark, sequences), depth).collect()}
+    groups = [top(i) for i in range(100)]
+    assert found == {i: g for i, g in enumerate(groups) if groups.count(g) > 1}
+
+
+def test_runs_go_on_over_batches():
+    rows = [(0, b"aa", b"1"), (0, b"aa", b"2"), (0, b"aa", b"3"), (0, b"ab", b"4"), (1, b"ab", b"5"), (1, b"ab", b"6")]
+    batch = lambda part: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), [pa.int8(), pa.binary(), pa.binary()])], ["tree", "node", "key"])
+    for cut in range(1, 6):
+        got = [tuple(r.values()) for b in j.runs(iter([batch(rows[:cut]), batch(rows[cut:])])) for r in b.to_pylist()]
+        assert [r[:2] for r in got if r[1]] == [(b"2", b"1"), (b"3", b"1"), (b"6", b"5")]
+        assert [r for r in got if not r[1]] == [(b"1", None, 0, b"aa"), (b"6", None, 1, b"ab")]
+    assert list(j.runs(iter([]))) == []
+
+
 def test_against_brute_force(spark):
     rows = near_copies() + [(None, "a b c"), (None, "a  b\tc"), (1, ""), (2, None), (4, " \n"), (5, "one"), (5, "one"), (7, "x " * 20_000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit(1)).withColumn("labels", F.lit(2)).repartition(3)
