@@ -3,11 +3,12 @@
 A tree builder reads tags, attributes, comments and raw-text elements, adds the tags that HTML lets
 authors leave out (ends of paragraphs, list items, table parts, options, and of all that is still
 open when an outer element ends), and marks what is not shown: head matter, scripts, styles,
-templates, hidden attributes, ``display:none`` and ``visibility:hidden`` in a style, hidden inputs,
-closed dialogs, and all but the summary of closed details. Rendering walks the tree: blank lines
+templates, hidden attributes, ``display:none`` in a style, hidden inputs, closed dialogs, and all but
+the summary of closed details. ``visibility`` is handed down, so a visible part of a hidden one is
+shown; the hidden rest keeps its place but has no text, numbers or marks. Rendering walks the tree: blank lines
 around paragraphs, headings, lists and tables, one line per other block, numbers or marks and
 indentation for list items, line breaks, preformatted text as it stands, and cells padded to common
-column widths.
+column widths, with spans over columns and, within a part of a table, over rows.
 
 Defined cases: null and empty pages give an empty text; broken markup never fails: a stray ``<`` is
 text, a stray quote inside a tag is an ordinary character, an end tag without a start is left out,
@@ -43,7 +44,8 @@ TOKEN = re.compile(
     re.S,
 )
 ATTRIBUTE = re.compile(rf"""({NAME})(?:{EQUALS}(?:"([^"]*)"?|'([^']*)'?|({UNQUOTED}))?)?""")
-UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+NO_BOX = re.compile(r"(?<![\w-])display\s*:\s*none", re.I)
+VISIBILITY = re.compile(r"(?<![\w-])visibility\s*:\s*(visible|initial|hidden|collapse)", re.I)
 SPACES = re.compile(r"[ \t\n\r\f]+")
 
 # Fixed values of the HTML standard, as far as they matter for text.
@@ -103,7 +105,13 @@ def _is_shown(tag: str, attrs: dict[str, str]) -> bool:
         return False
     if tag == "input" and attrs.get("type", "").lower() == "hidden":
         return False
-    return not UNSEEN.search(attrs.get("style", ""))
+    return not NO_BOX.search(attrs.get("style", ""))
+
+
+def _is_seen(attrs: dict[str, str], around: bool) -> bool:
+    """Visibility: the last value of the style, else that of the element around."""
+    told = VISIBILITY.findall(attrs.get("style", ""))
+    return told[-1].lower() in ("visible", "initial") if told else around
 
 
 def build(page: str) -> Node:
@@ -234,52 +242,81 @@ def _width(line: str) -> int:
     return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in line)
 
 
-def _table(rows: list[list[tuple[str, int]]]) -> list[str]:
-    """Rows of (text, columns spanned) as lines with aligned columns."""
-    widths: dict[int, int] = {}
-    for row in rows:
-        at = 0
-        for cell, span in row:
-            if span == 1:
-                widths[at] = max(widths.get(at, 0), *(_width(x) for x in cell.split("\n")))
-            at += span
-    for row in rows:  # a spanning cell that needs more room widens its last column
-        at = 0
-        for cell, span in row:
-            room = sum(widths.get(c, 0) + 2 for c in range(at, at + span)) - 2
-            need = max(_width(x) for x in cell.split("\n")) - room
-            if span > 1 and need > 0:
-                widths[at + span - 1] = widths.get(at + span - 1, 0) + need
-            at += span
+def _places(rows: list[list[tuple[str, int, int]] | None]) -> list[list[tuple[str, int, int]]]:
+    """Rows of (text, first column, column behind the last) of rows of (text, columns spanned, rows
+    spanned, 0 for all that follow). ``None`` begins a new part of the table, where spans over rows
+    end. Columns that no cell begins or ends at are no columns."""
+    placed, taken = [], []  # taken: (first column, column behind the last, row it ends before)
+    for number, row in enumerate(rows):
+        if row is None:
+            taken = []
+        if not row:
+            continue
+        taken = [t for t in taken if t[2] > number]
+        at, i, cells, down = 0, 0, [], []
+        for text, wide, high in row:
+            while i < len(taken) and taken[i][0] <= at:
+                at = max(at, taken[i][1])
+                i += 1
+            cells.append((text, at, at + wide))
+            if high != 1:
+                until = number + high if high else len(rows)
+                if down and down[-1][1:] == (at, until):
+                    down[-1] = (down[-1][0], at + wide, until)
+                else:
+                    down.append((at, at + wide, until))
+            at += wide
+        taken = sorted(taken + down)
+        placed.append(cells)
+    edges = {c: i for i, c in enumerate(sorted({0} | {c for row in placed for _, *ends in row for c in ends}))}
+    return [[(text, edges[start], edges[end]) for text, start, end in row] for row in placed]
+
+
+def _table(rows: list[list[tuple[str, int, int]] | None]) -> list[str]:
+    """Rows of (text, columns spanned, rows spanned) as lines with aligned columns."""
+    placed = _places(rows)
+    widths = [0] * max((end for row in placed for _, _, end in row), default=0)
+    for row in placed:
+        for cell, start, end in row:
+            if end == start + 1:
+                widths[start] = max(widths[start], *(_width(x) for x in cell.split("\n")))
+    for row in placed:  # a spanning cell that needs more room widens its last column
+        for cell, start, end in row:
+            if end > start + 1:
+                need = max(_width(x) for x in cell.split("\n")) - (sum(widths[start:end]) + 2 * (end - start) - 2)
+                widths[end - 1] += max(0, need)
+    begin = [0]
+    for width in widths:
+        begin.append(begin[-1] + width + 2)
     out = []
-    for row in rows:
-        parts = [cell.split("\n") for cell, _ in row]
-        for i in range(max(map(len, parts), default=0)):
-            line, at, want = "", 0, 0
-            for (_, span), lines in zip(row, parts):
-                line += " " * max(0, want - _width(line)) + (lines[i] if i < len(lines) else "")
-                want += sum(widths.get(c, 0) + 2 for c in range(at, at + span))
-                at += span
-                if _width(line) >= want:
-                    line += "  "
-            out.append(line.rstrip())
+    for row in placed:
+        parts = [cell.split("\n") for cell, _, _ in row]
+        for i in range(max(map(len, parts))):
+            line, at = [], 0
+            for (_, start, end), lines in zip(row, parts):
+                text = lines[i] if i < len(lines) else ""
+                pad = max(0, begin[start] - at)
+                at += pad + _width(text)
+                over = "  " if at >= begin[end] else ""
+                at += len(over)
+                line.append(" " * pad + text + over)
+            out.append("".join(line).rstrip())
     return out
 
 
 class Frame:
     """An element being rendered: what remains of its children, and the list or table around it."""
 
-    __slots__ = ("node", "rest", "lines", "counter", "rows", "pre")
+    __slots__ = ("node", "rest", "lines", "pre", "seen")
 
-    def __init__(self, node: Node, lines: Lines, pre: bool):
-        self.node, self.rest, self.lines, self.pre = node, iter(node.children), lines, pre
-        self.counter, self.rows = None, None
+    def __init__(self, node: Node, lines: Lines, pre: bool, seen: bool):
+        self.node, self.rest, self.lines, self.pre, self.seen = node, iter(node.children), lines, pre, seen
 
 
 def render(root: Node) -> str:
     """Visible text of a tree. Cells are rendered on lines of their own and set when the table ends."""
     page = Lines()
-    stack = [Frame(root, page, False)] if root.shown else []
+    stack = [Frame(root, page, False, _is_seen(root.attrs, True))] if root.shown else []
     lists, tables = [], []
     while stack:
         frame = stack[-1]
@@ -289,7 +326,7 @@ def render(root: Node) -> str:
             stack.pop()
             _leave(frame, lists, tables)
         elif isinstance(child, str):
-            if frame.node.tag == "details" and "open" not in frame.node.attrs:
+            if not frame.seen or (frame.node.tag == "details" and "open" not in frame.node.attrs):
                 continue
             if not frame.pre:
                 lines.words(child)
@@ -309,8 +346,10 @@ def _number(value: str | None, default: int) -> int:
 
 
 def _enter(node: Node, frame: Frame, lists: list, tables: list) -> Frame:
-    tag, lines = node.tag, frame.lines
-    if tag == "br":
+    tag, lines, seen = node.tag, frame.lines, _is_seen(node.attrs, frame.seen)
+    if not seen and tag in ("br", "img", "input"):
+        pass
+    elif tag == "br":
         lines.end_line(keep_empty=True)
     elif tag == "hr":
         lines.blank()
@@ -320,11 +359,11 @@ def _enter(node: Node, frame: Frame, lists: list, tables: list) -> Frame:
         lines.words(node.attrs.get("value", "") if node.attrs.get("type", "text").lower() in ("text", "submit", "button", "reset", "search") else "")
     elif tag in ("td", "th") and tables:
         inner = Lines()
-        return Frame(node, inner, False)
+        return Frame(node, inner, False, seen)
     elif tag in BLOCK:
         nested = tag in LISTS and lists
         lines.blank() if tag in SPACED and not nested else lines.end_line()
-    out = Frame(node, lines, frame.pre or tag in ("pre", "textarea", "xmp"))
+    out = Frame(node, lines, frame.pre or tag in ("pre", "textarea", "xmp"), seen)
     if tag in LISTS:
         back = tag == "ol" and "reversed" in node.attrs
         items = sum(not isinstance(c, str) and c.tag == "li" for c in node.children) if back else 1
@@ -336,23 +375,33 @@ def _enter(node: Node, frame: Frame, lists: list, tables: list) -> Frame:
             lists[-1][1] = number + step
         lines.mark = f"{number}. " if ordered else "- "
         lines.indent.append(lines.indent[-1] + " " * len(lines.mark))
+        if not seen:
+            lines.mark = ""
     elif tag in ("blockquote", "dd"):
         lines.indent.append(lines.indent[-1] + "  ")
     elif tag == "table":
         tables.append([])
     elif tag == "tr" and tables:
         tables[-1].append([])
+    elif tag in ("tbody", "thead", "tfoot") and tables:
+        tables[-1].append(None)
     return out
 
 
+def _span(value: str | None, most: int, least: int) -> int:
+    return max(least, min(most, int(value))) if value is not None and re.fullmatch(r"[0-9]{1,6}", value.strip()) else 1
+
+
 def _leave(frame: Frame, lists: list, tables: list) -> None:
     tag, lines = frame.node.tag, frame.lines
     if tag in ("td", "th") and tables:
-        if not tables[-1]:
+        if not tables[-1] or tables[-1][-1] is None:
             tables[-1].append([])
-        span = frame.node.attrs.get("colspan", "1")
-        tables[-1][-1].append((lines.text(), max(1, min(1_000, int(span))) if re.fullmatch(r"\d{1,6}", span) else 1))
+        attrs = frame.node.attrs
+        tables[-1][-1].append((lines.text(), _span(attrs.get("colspan"), 1_000, 1), _span(attrs.get("rowspan"), 65_534, 0)))
         return
+    if tag == "tr" and tables and not frame.seen and not any(text for text, _, _ in tables[-1][-1] or []):
+        tables[-1][-1] = []
     if tag in BLOCK and tag != "hr":
         lines.end_line()
     if tag == "li":
@@ -364,7 +413,7 @@ def _leave(frame: Frame, lists: list, tables: list) -> None:
     elif tag in LISTS:
         lists.pop()
     elif tag == "table":
-        for line in _table([r for r in tables.pop() if r]):
+        for line in _table(tables.pop()):
             lines.put(line)
     if tag in SPACED and tag != "hr" and not (tag in LISTS and lists):
         lines.gap = True
