@@ -1,3 +1,6 @@
+import math
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -43,6 +46,52 @@ def test_languages(spark, langs):
             assert 0 <= r.score <= 1
 
 
+def plain_decoder(rows, code):
+    """{text: (language, score, ambiguous)}: bits, losses and decoding number by number."""
+    buckets, smooth = language_id.BUCKETS, language_id.SMOOTHING
+    names = sorted({lang for _, _, lang in rows if lang is not None})
+    counts = {name: Counter() for name in names}
+    for _, text, lang in rows:
+        if lang is not None:
+            counts[lang].update(int(g) for found in language_id.grams(text or "") for g in found)
+    size = {name: sum(counts[name].values()) + smooth * buckets for name in names}
+    share = lambda name, g: (counts[name][g] + smooth) / size[name]
+    sides = [[[n for n, c in zip(names, code[:, b]) if c == side] for side in (1, -1)] for b in range(code.shape[1])]
+    odds = lambda b, g: [sum(share(n, g) for n in side) / len(side) for side in sides[b]]
+    trust = []
+    for b in range(len(sides)):
+        both = [odds(b, g) for g in range(buckets)]
+        trust.append(sum((yes - no) * math.log(yes / no) for yes, no in both))
+    trust = [t / (sum(trust) / len(trust)) for t in trust]
+    out = {}
+    for _, text, _ in rows:
+        found = [int(g) for part in language_id.grams(text or "") for g in part]
+        margins = []
+        for b in range(len(sides)):
+            total = sum(math.log(yes / no) for yes, no in (odds(b, g) for g in found))
+            margins.append(total / len(found) * min(len(found), language_id.SHARPNESS) if found else 0.0)
+        loss = [sum(t * math.log1p(math.exp(-c * m)) for t, c, m in zip(trust, word, margins)) / len(sides) for word in code]
+        chance = [math.exp(-x) / sum(math.exp(-y) for y in loss) for x in loss]
+        best, second = sorted(chance, reverse=True)[:2]
+        out[text] = (names[chance.index(best)], best, best - second < language_id.AMBIGUOUS)
+    return out
+
+
+def test_against_a_plain_decoder(spark):
+    rows = [(i, text, name) for i, (name, text) in enumerate(list(SAMPLES.items())[:4])]
+    rows += [(10, "the schnelle renard con", None), (11, "q", None), (12, "otra andere autre other", "es")]
+    model = language_id.fit(spark.createDataFrame(rows, DOCS), F.lit(True))
+    want = plain_decoder(rows, model.code)
+    for _, text, _ in rows:
+        lang, score, ambiguous = model.predict(text)
+        assert (lang, ambiguous) == (want[text][0], want[text][2]) and score == pytest.approx(want[text][1], abs=1e-4)
+
+
+def test_equal_losses_go_to_the_first_language():
+    tied = language_id.Model(["a", "b"], np.array([[1.0], [-1.0]], np.float32), np.zeros((language_id.BUCKETS, 1), np.float32), np.ones(1))
+    assert tied.predict("some letters") == ("a", 0.5, True)
+
+
 def test_long_texts_equal_their_parts():
     whole = "word é " * 200_000
     found = np.concatenate(list(language_id.grams(whole)))
