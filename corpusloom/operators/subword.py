@@ -1,23 +1,23 @@
 """Subword tokenizers over a vocabulary table: greedy longest match, and best segmentation by scores.
 
-Text is split in the JVM. A batch's distinct words are segmented once each, and a worker keeps what
-it has segmented; the vocabulary is broadcast behind a check of its size.
+Text is split in the JVM. The distinct words of a part of a batch are segmented once each, and a
+worker keeps what it has segmented, up to a bound; the vocabulary is broadcast behind a check of its size.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from corpusloom.functions.lookup import MAX_BYTES, TableTooLarge, id_tokens
+from corpusloom.functions.lookup import MAX_BYTES, Kept, TableTooLarge, id_tokens, words_to_ids
 from corpusloom.functions.sequences import Specials, as_col
 from corpusloom.functions.text import words
 from corpusloom.operators.vocab import token_counts
 
 CONTINUED, MARK = "##", "▁"
-KEPT_WORDS = 200_000
 UNKNOWN_PENALTY = 10_000  # below the least score, in the unit of the scores
 
 
@@ -58,31 +58,32 @@ class BestScores:
     def __init__(self, rows: Iterable[tuple], unk: int):
         rows = list(rows)
         self.pieces = {token: (score, i) for token, i, score in rows}
-        self.longest = max(map(len, self.pieces), default=1)
+        # All beginnings of all pieces: the trie, walked one sign at a time; those that are a piece have its score and id.
+        self.begun = {piece[:i]: self.pieces.get(piece[:i]) for piece in self.pieces for i in range(1, len(piece) + 1)}
         self.unknown = (min((score for _, _, score in rows), default=0) - UNKNOWN_PENALTY, unk)
 
     def __call__(self, word: str) -> list[int]:
-        best: list[tuple] = [(0, 0, 0)]  # sum, begin of the last piece, its id
-        for end in range(1, len(word) + 1):
-            top = None
-            for begin in range(max(0, end - self.longest), end):
-                piece = self.pieces.get(word[begin:end])
-                if piece is None:
-                    if end - begin > 1:
-                        continue
-                    piece = self.unknown
-                total = best[begin][0] + piece[0]
-                if top is None or total > top[0]:
-                    top = (total, begin, piece[1])
-            best.append(top)
-        found, at = [], len(word)
+        size, get, nothing = len(word), self.begun.get, ()
+        sums, begins, ids = [0] + [-math.inf] * size, [0] * (size + 1), [0] * (size + 1)
+        for begin in range(size):
+            # Every place is reached, as the sign before it can be an unknown. Longer pieces come first to their end.
+            before = sums[begin]
+            if not get(word[begin]) and before + self.unknown[0] > sums[begin + 1]:
+                sums[begin + 1], begins[begin + 1], ids[begin + 1] = before + self.unknown[0], begin, self.unknown[1]
+            for end in range(begin + 1, size + 1):
+                piece = get(word[begin:end], nothing)
+                if piece is nothing:
+                    break
+                if piece and before + piece[0] > sums[end]:
+                    sums[end], begins[end], ids[end] = before + piece[0], begin, piece[1]
+        found, at = [], size
         while at:
-            found.append(best[at][2])
-            at = best[at][1]
+            found.append(ids[at])
+            at = begins[at]
         return found[::-1]
 
 
-_SEGMENTERS: dict[int, tuple[Callable[[str], list[int]], dict[str, list[int]]]] = {}  # by broadcast, in a worker
+_SEGMENTERS: dict[int, Kept] = {}  # by broadcast, in a worker
 
 
 class SubwordTokenizer:
@@ -101,21 +102,8 @@ class SubwordTokenizer:
         def segment(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             if number not in _SEGMENTERS:
                 _SEGMENTERS.clear()
-                _SEGMENTERS[number] = make(shared.value), {}
-            segmenter, kept = _SEGMENTERS[number]
-            for lists in batches:
-                coded = lists.values.dictionary_encode()
-                if len(kept) > KEPT_WORDS:
-                    kept.clear()
-                found = []
-                for word in coded.dictionary.to_pylist():
-                    if word not in kept:
-                        kept[word] = segmenter(word)
-                    found.append(kept[word])
-                pieces = pa.array(found, pa.list_(pa.int32())).take(coded.indices)
-                # the pieces of a row run from those of its first word to those of its last
-                offsets = pa.array(pieces.offsets.to_numpy()[lists.offsets.to_numpy()])
-                yield pa.ListArray.from_arrays(offsets, pieces.values)
+                _SEGMENTERS[number] = Kept(make(shared.value))
+            yield from words_to_ids(batches, _SEGMENTERS[number])
 
         self._segment = segment
         self._decode: Callable[[Column], Column] | None = None

@@ -1,8 +1,10 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.functions import lookup
 from corpusloom.functions.lookup import TableTooLarge
 from corpusloom.functions.sequences import Specials
 from corpusloom.functions.text import words
@@ -17,6 +19,8 @@ from corpusloom.operators.tokenize import (
     overlength_report,
     roundtrip_report,
 )
+from corpusloom.plans import catalog  # noqa: F401  (registers the queries)
+from corpusloom.plans.registry import QUERIES
 
 TEXTS = [
     "the cat sat on the mat.", "the dog, the cat", "", "   ", "zebra _ quagga zebra", "un seul mot",
@@ -305,3 +309,25 @@ def test_bpe_ids_agree_with_a_public_implementation(spark):
 def test_specials_do_not_overlap():
     sp = Specials()
     assert sp.first_free == 5 and sp.structural == (0, 1, 2, 4) and len(sp.names) == 5
+
+
+def test_lookups_take_a_batch_in_steps(monkeypatch):
+    monkeypatch.setattr(lookup, "STEP", 4)
+    lists = pa.array([["a"], [], None, ["b"] * 6, ["a", "c", "b"], ["c"], []])
+    for batch in (lists, lists[1:6], lists[:0]):
+        parts = list(lookup.steps(iter([batch])))
+        assert [v for p in parts for v in p.to_pylist()] == batch.to_pylist()
+        assert all(len(p) == 1 or len(lookup.values_of(p)) <= 4 for p in parts)
+        back = [v for p in parts for v in lookup.relist(p, lookup.values_of(p)).to_pylist()]
+        assert back == batch.to_pylist()
+    ids = {"a": [1], "b": [2, 3], "c": []}
+    made = list(lookup.words_to_ids(iter([pa.array([["a", "b"], [], ["b", "c", "b"], ["c"]])]), ids.get))
+    assert len(made) > 1 and [v for p in made for v in p.to_pylist()] == [[1, 2, 3], [], [2, 3, 2, 3], []]
+
+
+def test_kept_words_are_bounded(monkeypatch):
+    monkeypatch.setattr(lookup, "KEPT_SIGNS", 10)
+    made = []
+    kept = lookup.Kept(lambda w: made.append(w) or [len(w)])
+    assert [kept(w) for w in ("abc", "abc", "d" * 40, "abc", "ef", "abc")] == [[3], [3], [40], [3], [2], [3]]
+    assert made == ["abc", "d" * 40, "abc", "ef"] and sum(map(len, kept.found)) <= 10
