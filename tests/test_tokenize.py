@@ -331,3 +331,16 @@ def test_kept_words_are_bounded(monkeypatch):
     kept = lookup.Kept(lambda w: made.append(w) or [len(w)])
     assert [kept(w) for w in ("abc", "abc", "d" * 40, "abc", "ef", "abc")] == [[3], [3], [40], [3], [2], [3]]
     assert made == ["abc", "d" * 40, "abc", "ef"] and sum(map(len, kept.found)) <= 10
+
+
+def test_every_word_of_rows_whose_ids_repeat(spark, tmp_path):
+    rows = [(1, "a b c"), (1, "c d"), (None, "b"), (None, None), (2, ""), (2, "e a")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    monkey = pytest.MonkeyPatch()
+    with monkey.context() as m:
+        m.setattr(tokenize, "HOT_ENTRIES", 2)  # a and b
+        m.setattr(lookup, "MAX_BYTES", 60)  # the whole table takes more
+        found = QUERIES["encode_words"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, found), key=repr) == sorted(
+        [(1, "5 6 7"), (1, "7 8"), (None, "6"), (None, ""), (2, ""), (2, "9 5")], key=repr
+    )
