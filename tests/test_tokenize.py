@@ -344,3 +344,10 @@ def test_every_word_of_rows_whose_ids_repeat(spark, tmp_path):
     assert sorted(map(tuple, found), key=repr) == sorted(
         [(1, "5 6 7"), (1, "7 8"), (None, "6"), (None, ""), (2, ""), (2, "9 5")], key=repr
     )
+
+
+def test_a_word_is_looked_at_once_for_its_pairs(spark):
+    df = spark.createDataFrame([("ab abc a",), ("ab \x01x",)], "text string")
+    counted = bpe.symbol_table(bpe.bpe_word_counts(df, "text"))
+    assert "Aggregate" not in counted._jdf.queryExecution().optimizedPlan().toString()  # no filter can move before the counting
+    assert {(r.left, r.right): r.n for r in bpe.bpe_pair_counts(counted).collect()} == {("a", "b"): 3, ("b", "c"): 1}
