@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from corpusloom.functions.draws import below, digest, draw_int, draw_unit
+from corpusloom.functions.draws import below, draw_int
 from corpusloom.functions.sequences import IGNORE_INDEX, Specials, mask_pad, pad_right, take_field
 
 # Shares of the chosen tokens that become the mask token and a random token.
@@ -31,11 +31,21 @@ def pad_batch(
     ``within`` as for ``pack``: with the range column of a row index aligned to the batch size the
     rows need not be shuffled again.
     """
+    df = _with_longest(df, batch_size, next(iter(fills)), multiple_of, order, within)
+    return _padded(df, fills)
+
+
+def _with_longest(
+    df: DataFrame, batch_size: int, lead: str, multiple_of: int | None, order: str, within: Sequence[str]
+) -> DataFrame:
     df = mini_batches(df, batch_size, order)
-    longest = F.max(F.size(next(iter(fills)))).over(Window.partitionBy(*within, "mini_batch_id"))
+    longest = F.max(F.size(lead)).over(Window.partitionBy(*within, "mini_batch_id"))
     if multiple_of:
         longest = (F.ceil(longest / multiple_of) * multiple_of).cast("int")
-    df = df.withColumn("__longest", longest)
+    return df.withColumn("__longest", longest)
+
+
+def _padded(df: DataFrame, fills: dict[str, int]) -> DataFrame:
     return df.withColumns({c: pad_right(c, F.col("__longest"), fill) for c, fill in fills.items()}).drop("__longest")
 
 
@@ -64,11 +74,11 @@ def collate_mlm(
     order: str = "row_idx",
     within: Sequence[str] = (),
 ) -> DataFrame:
-    """Masked batches: ids and special mask padded, then masked at random."""
-    fills = {"input_ids": specials.pad, "special_tokens_mask": 1}
+    """Masked batches: masked at random, then padded; what pads is never chosen, so it needs no draw."""
+    fills = {"input_ids": specials.pad, "special_tokens_mask": 1, "labels": IGNORE_INDEX}
     fills |= {"attention_mask": 0} if "attention_mask" in df.columns else {}
-    out = pad_batch(df, batch_size, fills, multiple_of, order, within)
-    return mask_tokens(out, specials, vocab_size, p, seed, order)
+    df = _with_longest(df, batch_size, "input_ids", multiple_of, order, within)
+    return _padded(mask_tokens(df, specials, vocab_size, p, seed, order), fills)
 
 
 def mask_tokens(
@@ -85,27 +95,27 @@ def mask_tokens(
     80 % become the mask id, 10 % a random id, 10 % stay. All draws come from
     ``md5(key, position, seed)``. Needs ``special_tokens_mask``.
     """
+    # ``digest(key, position, seed)`` with all but the position joined outside; a null key is left out, as there.
+    before, after = F.coalesce(F.concat(F.col(key).cast("string"), F.lit("-")), F.lit("")), F.lit(f"-{seed}")
     drawn = F.transform(
-        "special_tokens_mask", lambda s, i: F.when(s == 0, digest(F.col(key), i, F.lit(seed)))
+        "special_tokens_mask", lambda s, i: F.when(s == 0, F.md5(F.concat(before, i.cast("string"), after)))
     )
 
-    def chosen(h: Column) -> Column:
-        return h.isNotNull() & below(h, p)
-
     def hidden(x: Column, h: Column) -> Column:
-        kind = draw_unit(h, 9)
+        kind = F.substring(h, 9, 8)
         return (
-            F.when(kind < MASK_SHARE, F.lit(specials.mask))
-            .when(kind < MASK_SHARE + RANDOM_SHARE, F.pmod(draw_int(h, 17), F.lit(vocab_size)).cast("int"))
+            F.when(h.isNull(), x)
+            .when(below(kind, MASK_SHARE), F.lit(specials.mask))
+            .when(below(kind, MASK_SHARE + RANDOM_SHARE), F.pmod(draw_int(h, 17), F.lit(vocab_size)).cast("int"))
             .otherwise(x)
         )
 
     return (
-        df.withColumn("__h", drawn)
+        df.withColumn("__h", F.transform(drawn, lambda h: F.when(below(h, p), h)))  # null where not chosen
         .withColumns(
             {
-                "input_ids": F.zip_with("input_ids", "__h", lambda x, h: F.when(chosen(h), hidden(x, h)).otherwise(x)),
-                "labels": F.zip_with("input_ids", "__h", lambda x, h: F.when(chosen(h), x).otherwise(IGNORE_INDEX)),
+                "input_ids": F.zip_with("input_ids", "__h", hidden),
+                "labels": F.zip_with("input_ids", "__h", lambda x, h: F.when(h.isNull(), IGNORE_INDEX).otherwise(x)),
             }
         )
         .drop("__h")

@@ -1,3 +1,4 @@
+import hashlib
 import math
 
 import pytest
@@ -6,6 +7,8 @@ from pyspark.sql import functions as F
 from corpusloom.functions.sequences import Specials, add_special, add_special_pair
 from corpusloom.operators import collate, evaluate
 from corpusloom.operators.userfn import map_batches
+from corpusloom.plans import catalog
+from corpusloom.session import cut_lineage
 
 SP = Specials()
 
@@ -64,6 +67,55 @@ def test_masked_batches(spark):
     assert out.labels == [-100, 9, -100, -100, -100] and out.input_ids[3:] == [0, 0]
 
 
+def test_masking_is_done_before_padding(spark):
+    """What pads is never chosen, so it is not gone through for draws."""
+    df = rows(spark, [[1, 9, 2]]).withColumn("special_tokens_mask", F.transform("input_ids", lambda x: (x < 5).cast("int")))
+    plan = collate.collate(df, "masked", 2, SP, 100, multiple_of=8)._jdf.queryExecution().analyzed().toString().splitlines()
+    padded, drawn = (next(i for i, line in enumerate(plan) if part in line) for part in ("array_repeat(", "md5("))
+    assert padded < drawn  # the last step stands first
+
+
+@pytest.mark.parametrize("multiple", [None, 8])
+def test_masked_batches_follow_the_digests(spark, multiple):
+    lists, keys = [[1] + [50 + i] * n + [2] for i, n in enumerate([0, 40, 3, 25, 11])], [0, 1, 2, 3, None]
+    df = spark.createDataFrame(list(zip(keys, lists)), "row_idx long, input_ids array<int>")
+    df = df.withColumn("special_tokens_mask", F.transform("input_ids", lambda x: (x < 5).cast("int")))
+    df = df.withColumn("attention_mask", F.transform("input_ids", lambda x: F.lit(1)))
+    got = {r.row_idx: r for r in collate.collate(df, "masked", 2, SP, 1000, p=0.5, seed=3, multiple_of=multiple).collect()}
+    for key, ids in zip(keys, lists):
+        longest = max(len(x) for k, x in zip(keys, lists) if (k is None) == (key is None) and (k is None or k // 2 == key // 2))
+        size = longest if multiple is None else -(-longest // multiple) * multiple
+        want, labels = [], []
+        for i, x in enumerate(ids):
+            h = hashlib.md5("-".join(str(v) for v in (key, i, 3) if v is not None).encode()).hexdigest()
+            first, kind, other = (int(h[a : a + 8], 16) for a in (0, 8, 16))
+            chosen = x >= 5 and first / 2**32 < 0.5
+            share = kind / 2**32
+            want.append(x if not chosen or share >= 0.9 else SP.mask if share < 0.8 else other % 1000)
+            labels.append(x if chosen else -100)
+        pad = size - len(ids)
+        row = got[key]
+        assert (row.input_ids, row.labels) == (want + [0] * pad, labels + [-100] * pad)
+        assert (row.attention_mask, row.special_tokens_mask[len(ids) :]) == ([1] * len(ids) + [0] * pad, [1] * pad)
+
+
+def test_masked_query_writes_and_moves_ids_only(spark, tmp_path, monkeypatch):
+    """The masks follow from the ids, so they are made where the batches are."""
+    spark.createDataFrame([(i, f"a b c{i}\n\nd a") for i in range(40)], "doc_id long, text string").write.parquet(
+        str(tmp_path / "documents.parquet")
+    )
+    written = {}
+
+    def noted(df, name="stage"):
+        written[name] = df.columns
+        return cut_lineage(df, name)
+
+    monkeypatch.setattr(catalog, "cut_lineage", noted)
+    out = catalog.masked_batches(spark, str(tmp_path), 8).orderBy("row_idx").collect()
+    assert written["lines"] == ["doc_id", "line_no", "input_ids"]
+    assert len(out) == 80 and out[0].attention_mask == "1 1 1 1 1 0 0 0" and out[1].attention_mask == "1 1 1 1 0 0 0 0"
+
+
 def test_stacking(spark):
     df = rows(spark, [[1, 2], [3, 4], [5, 6]]).withColumn("labels", F.col("input_ids"))
     out = collate.collate(df.repartition(2), "fixed", 2).orderBy("mini_batch_id").collect()
