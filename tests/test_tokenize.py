@@ -19,7 +19,7 @@ from corpusloom.operators.tokenize import (
     overlength_report,
     roundtrip_report,
 )
-from corpusloom.plans import catalog  # noqa: F401  (registers the queries)
+from corpusloom.plans import catalog, catalog_bpe  # noqa: F401  (registers the queries)
 from corpusloom.plans.registry import QUERIES
 
 TEXTS = [
@@ -351,3 +351,23 @@ def test_a_word_is_looked_at_once_for_its_pairs(spark):
     counted = bpe.symbol_table(bpe.bpe_word_counts(df, "text"))
     assert "Aggregate" not in counted._jdf.queryExecution().optimizedPlan().toString()  # no filter can move before the counting
     assert {(r.left, r.right): r.n for r in bpe.bpe_pair_counts(counted).collect()} == {("a", "b"): 3, ("b", "c"): 1}
+
+
+def test_the_round_trip_query_trains_until_no_pair_is_left(spark, tmp_path, monkeypatch):
+    rnd, counts, used = random.Random(7), {}, []
+    rows = [(i, " ".join("".join(rnd.choices("abcdeé", k=rnd.randrange(1, 7))) for _ in range(30))) for i in range(4)]
+    rows += [(4, None), (4, ""), (None, "\x01\x02  x\n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    for r in df.select(F.explode(byte_level_split(F.col("text"))).alias("w")).collect():
+        counts[r.w] = counts.get(r.w, 0) + 1
+
+    def report(docs, text, tok):
+        used.append(tok)
+        return roundtrip_report(docs, text, tok)
+
+    monkeypatch.setattr(catalog_bpe, "roundtrip_report", report)
+    assert [tuple(r) for r in QUERIES["roundtrip_bpe"](spark, str(tmp_path)).collect()] == [(7, 0)]
+    merges = naive_bpe(counts, 1 << 20)
+    tokens = {"<|endoftext|>"} | set("".join(counts)) | {a + b for a, b in merges}
+    assert len(merges) > 3 * catalog_bpe.MERGES and {r.token for r in used[0].vocab.collect()} == tokens
