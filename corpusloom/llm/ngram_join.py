@@ -4,12 +4,13 @@
 2. A MinHash LSH forest: each class has ``TREES`` sequences of ``DEPTH`` labels, and the sorted label
    sequences of a tree are a prefix trie. The prefix that must match is shortened from ``DEPTH`` label
    by label until the target recall is reached twice: by two sets of exactly the threshold (more
-   similar ones meet more often), and by the pairs that ``SAMPLE`` classes form with all classes,
-   whose whole signatures tell which are similar and how deep they meet. The sequences are then
-   sorted by range; a run of equal prefixes is a trie node. Its classes are tied to the first of the
-   run in each range, the ends of ranges to each other where a run goes on. Connected sets of these
-   ties are the candidate clusters: every pair that shares a prefix lies within one, and so do pairs
-   that only a third class brings together.
+   similar ones meet more often), and by all pairs of classes that are similar by their whole
+   signatures, which also tell how deep they meet. These pairs are looked for in the clusters of a
+   prefix so short that it misses a pair at the threshold once in a million at most (``WITNESS``).
+   The sequences are sorted by range; a run of equal prefixes is a trie node. Its classes are tied to
+   the first of the run in each range, the ends of ranges to each other where a run goes on. Connected
+   sets of these ties are the candidate clusters: every pair that shares a prefix lies within one, and
+   so do pairs that only a third class brings together.
 3. Exact verification of all pairs of a cluster whose sizes allow the threshold. Large clusters are
    dealt by size class and hash into blocks of bounded size, and each pair of blocks is one group.
    A group gives per class the number of documents linked and a spanning tree of its links, never
@@ -38,7 +39,7 @@ from corpusloom.llm.shingles import digest, shingle_set, words_of
 from corpusloom.session import cut_lineage
 
 TREES, DEPTH, RECALL = 32, 8, 0.9999
-SAMPLE = 128  # classes whose similar partners are looked for among all classes to measure the recall
+WITNESS = 0.999999  # recall of the prefix whose clusters hold the pairs that longer ones are measured by
 LABEL = 2  # bytes
 BLOCK_ROWS, BLOCK_GRAMS = 512, 1 << 20
 SIZE_STEP = 1.26  # a little over 1 / 0.8: linked sets are in the same or the next size class
@@ -58,35 +59,49 @@ def prefix_length(threshold: float, recall: float = RECALL, trees: int = TREES,
     return 1
 
 
-def met_by_depth(classes: DataFrame, threshold: float, sample: int = SAMPLE) -> list[int]:
-    """How many pairs of a sampled class and any other one, similar by their whole signatures, share at
-    least 0, 1, … ``DEPTH`` labels in some tree. The sample is the classes of the least key hashes; it
-    is compared with every class, and only ``DEPTH + 1`` sums come to the driver."""
-    some = classes.where(F.col("labels").isNotNull()).orderBy(F.xxhash64("key", F.lit(11)), "key").limit(sample)
-    asked = [(bytes(r.key), np.frombuffer(r.labels, ">u2")) for r in some.select("key", "labels").collect()]
-
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met = np.zeros(DEPTH + 1, np.int64)
-        for batch in batches:
-            keys = batch.column(0).to_pylist()
-            every = np.frombuffer(b"".join(batch.column(1).to_pylist()), ">u2").reshape(len(keys), TREES * DEPTH)
-            for key, own in asked:
-                same = every == own
-                near = [i for i in np.flatnonzero(np.count_nonzero(same, axis=1) >= threshold * TREES * DEPTH) if keys[i] != key]
-                if near:
-                    deepest = np.logical_and.accumulate(same[near].reshape(-1, TREES, DEPTH), axis=2).sum(2).max(1)
-                    met += (deepest[:, None] >= np.arange(DEPTH + 1)).sum(0)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(DEPTH + 1)), pa.array(met)], ["depth", "n"])
-
-    found = classes.where(F.col("labels").isNotNull()).select("key", "labels").mapInArrow(compared, "depth long, n long")
-    sums = {r.depth: r.n for r in found.groupBy("depth").agg(F.sum("n").alias("n")).collect()}
+def one_sided(group: pd.DataFrame) -> bool:
+    """Whether a group of ``blocks`` holds the pairs inside one block, not those between two."""
+    pair = group["pair"].iloc[0].split(":")
+    return pair[:2] == pair[2:] or len(pair) == 1
+
+
+def depths(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """How many pairs of a group, similar by their whole signatures, share at least 0, 1, … ``DEPTH``
+    labels in some tree; both classes of a pair count."""
+    group = group.sort_values("side", ignore_index=True)
+    every = np.frombuffer(b"".join(group["grams"]), np.uint16).reshape(len(group), TREES * DEPTH)
+    cut, inside = int((group["side"] == 0).sum()), one_sided(group)
+    met = np.zeros(DEPTH + 1, np.int64)
+    for i in range(cut):
+        same = every[i + 1 if inside else cut :] == every[i]
+        same = same[np.count_nonzero(same, axis=1) >= threshold * TREES * DEPTH]
+        if len(same):
+            deepest = np.logical_and.accumulate(same.reshape(-1, TREES, DEPTH), axis=2).sum(2).max(1)
+            met += 2 * (deepest[:, None] >= np.arange(DEPTH + 1)).sum(0)
+    return pd.DataFrame({"depth": np.arange(DEPTH + 1), "n": met})
+
+
+def witnesses(classes: DataFrame, threshold: float) -> DataFrame:
+    """(key, labels, cluster) of the classes that share the prefix of recall ``WITNESS`` with another one."""
+    clusters = candidates(classes, prefix_length(threshold, WITNESS))
+    return cut_lineage(maybe_among(classes.select("key", "labels"), clusters, ["key"]).join(clusters, "key"), "join-witnesses")
+
+
+def met_by_depth(classes: DataFrame, threshold: float, found: DataFrame | None = None) -> list[int]:
+    """How many pairs of a class and any other one, similar by their whole signatures, share at least
+    0, 1, … ``DEPTH`` labels in some tree. All pairs inside the clusters of ``found`` (``witnesses``,
+    looked for if not given) are compared; only ``DEPTH + 1`` sums come to the driver."""
+    found = witnesses(classes, threshold) if found is None else found
+    members = found.select("cluster", "key", F.lit(1).alias("n_copies"), F.col("labels").alias("grams"), F.lit(1).alias("size"))
+    met = blocks(members).groupBy("cluster", "pair").applyInPandas(lambda group: depths(group, threshold), "depth int, n long")
+    sums = {r.depth: r.n for r in met.groupBy("depth").agg(F.sum("n").alias("n")).collect()}
     return [sums.get(k, 0) for k in range(DEPTH + 1)]
 
 
-def adapted_length(classes: DataFrame, threshold: float, recall: float = RECALL) -> int:
-    """The longest prefix with which a pair at the threshold and the pairs of the sample are both met
-    with the target recall."""
-    met = met_by_depth(classes, threshold)
+def adapted_length(classes: DataFrame, threshold: float, recall: float = RECALL, found: DataFrame | None = None) -> int:
+    """The longest prefix with which a pair at the threshold and the similar pairs of all classes are
+    both met with the target recall."""
+    met = met_by_depth(classes, threshold, found)
     k = prefix_length(threshold, recall)
     while k > 1 and met[k] < recall * met[0]:
         k -= 1
@@ -165,14 +180,13 @@ def linked(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
     group = group.sort_values(["side", "key"], ignore_index=True)
     sets = [np.asarray(g).view(np.uint64) for g in group["grams"]]
     sizes, copies = np.array([len(s) for s in sets]), group["n_copies"].to_numpy()
-    pair = group["pair"].iloc[0].split(":")
-    one_sided = pair[:2] == pair[2:] or len(pair) == 1
+    inside = one_sided(group)
     cut = int((group["side"] == 0).sum())
-    rows, cols = np.arange(cut), np.arange(len(sets)) if one_sided else np.arange(cut, len(sets))
+    rows, cols = np.arange(cut), np.arange(len(sets)) if inside else np.arange(cut, len(sets))
     both = shared([sets[i] for i in rows], [sets[i] for i in cols])
     union = sizes[rows][:, None] + sizes[cols][None, :] - both
     near = both >= threshold * union - 1e-9 * union
-    if one_sided:
+    if inside:
         np.fill_diagonal(near, False)
         every = near
     else:
@@ -337,7 +351,9 @@ def jaccard_classes(
     )
     classes = classes.select("key", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("text_hash"), "n_copies", "labels")
     classes = cut_lineage(classes, "join-classes")
-    clusters = candidates(classes, adapted_length(classes, threshold))
+    # What shares the longer prefix shares the shorter one too, so only these classes are sorted again.
+    near = witnesses(classes, threshold)
+    clusters = candidates(near, adapted_length(classes, threshold, found=near))
     no_id = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     wanted = classes.join(clusters, "key").select("key", "cluster", "n_copies", "text_hash", no_id("first_id").alias("at"))
     wanted = cut_lineage(wanted, "join-wanted")

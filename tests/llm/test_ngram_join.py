@@ -83,6 +83,20 @@ def test_the_prefix_shrinks_until_sampled_pairs_meet(spark):
     assert j.met_by_depth(df.limit(0), 0.8) == [0] * 9 and j.adapted_length(df.limit(0), 0.8) == j.prefix_length(0.8)
 
 
+@pytest.mark.parametrize("rows", [512, 3])
+def test_the_prefix_follows_every_similar_pair(spark, monkeypatch, rows):
+    monkeypatch.setattr(j, "BLOCK_ROWS", rows)
+    rnd = np.random.default_rng(6)
+    sequences = [s for s in rnd.integers(0, 1 << 16, (150, j.TREES * j.DEPTH)) for _ in range(2)]
+    odd = sequences[40].copy()
+    odd[4 :: j.DEPTH] ^= 1  # one pair of 150 that no tree brings together beyond its fourth label
+    sequences[41] = odd
+    sequences += [sequences[0]] * 6  # a class of eight: 56 ordered pairs instead of 2
+    df = signed(spark, sequences).repartition(3)
+    assert j.met_by_depth(df, 0.8) == [354] * 5 + [352] * 4
+    assert j.adapted_length(df, 0.8) == 4
+
+
 @pytest.mark.parametrize("depth", [1, 3])
 def test_ties_connect_what_shares_a_prefix(spark, depth):
     rnd = random.Random(4)
